@@ -90,7 +90,6 @@ def best_brands(names: list[str]) -> pd.DataFrame:
     })
 
 
-@F.pandas_udf(BRAND_DDL)
 def _infer_brand(names: pd.Series) -> pd.DataFrame:
     long_enough = names.where(names.str.len() >= BRAND_MIN_NAME)
     codes, distinct = pd.factorize(long_enough)  # every distinct name of a batch is compared once
@@ -100,7 +99,6 @@ def _infer_brand(names: pd.Series) -> pd.DataFrame:
     return out
 
 
-@F.pandas_udf("double")
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     out = pd.Series(index=a.index, dtype="float64")
     for other, part in a.groupby(b):
@@ -109,10 +107,24 @@ def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def infer_brand(normalised_name: Column) -> Column:
-    return _infer_brand(normalised_name)
+    """Clearly best brand of a normalised Latin display name, if any."""
+    return F.pandas_udf(_infer_brand, BRAND_DDL)(normalised_name)
 
 
 def jaro_winkler_similarity(a: Column, b: Column) -> Column:
     """Null when either side is null."""
     return F.when(a.isNotNull() & b.isNotNull(),
-                  _jaro_winkler(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+                  F.pandas_udf(_jaro_winkler, "double")(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
+
+
+def _jaro(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = pd.Series(index=a.index, dtype="float64")
+    for other, part in a.groupby(b):
+        out[part.index] = jaro_winkler(list(part), other, scale=0.0)
+    return out
+
+
+def jaro_similarity(a: Column, b: Column) -> Column:
+    """Jaro similarity without the prefix bonus; null when either side is null."""
+    return F.when(a.isNotNull() & b.isNotNull(),
+                  F.pandas_udf(_jaro, "double")(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
