@@ -13,7 +13,7 @@ from headrisk.constants import HEADER_TEXT_MAX, MAILBOX_PROVIDERS
 from headrisk.functions import address as A
 from headrisk.functions import names as N
 from headrisk.functions import text as T
-from headrisk.functions.binding import let
+from headrisk.functions.binding import computed, let
 from headrisk.functions.domains import SuffixRules, domain_core, domain_parts_of, dot_suffixes
 from headrisk.functions.jaro import BRAND_DDL, infer_brand
 from headrisk.operators import auth
@@ -107,12 +107,13 @@ def with_facts(messages: DataFrame, settings: Settings, rules: SuffixRules, bran
           flatten(transform(auth, a -> flatten(transform(a.results, r ->
             array(r.mail_from_domain, r.helo_domain, r.header_from_domain, r.signing_domain))))))))
         """).alias("hosts"))
-    resolved = hosts.select(
-        *[c for c in hosts.columns if c != "hosts"],
-        F.map_from_arrays(F.col("hosts"), domain_parts_of("hosts", rules)).alias("parts"))
-    looked_up = resolved.select(
-        *resolved.columns,
+    resolved = computed(hosts, F.map_from_arrays(F.col("hosts"), domain_parts_of("hosts", rules)).alias("parts")).drop("hosts")
+    looked_up = computed(
+        resolved,
         _parts("from_domain").alias("from_parts"),
+        _parts("message_id_domain").alias("message_id_parts"),
+        _parts("substring(name_email, instr(name_email, '@') + 1)").alias("name_email_parts"),
+        header_facts().alias("header_facts"),
         F.expr("""
           flatten(transform(filter(auth, a -> a.trusted), a -> transform(a.results, r -> named_struct(
             'ar_pos', a.ar_pos, 'res_pos', r.res_pos, 'authserv_id', a.authserv_id,
@@ -126,20 +127,19 @@ def with_facts(messages: DataFrame, settings: Settings, rules: SuffixRules, bran
             'signing_domain', r.signing_domain,
             'signing_reg', try_element_at(parts, r.signing_domain).registrable_domain,
             'signing_depth', try_element_at(parts, r.signing_domain).subdomain_depth))))
-          """).alias("results"))
-    facts = looked_up.select(
-        *kept, "from_header", "from_address", "from_domain", "from_local", "sender_address", "from_parse",
-        "rfc_message_id", "message_id_domain", "display_name", "auth", "results", "from_parts",
-        header_facts().alias("header_facts"),
-        _parts("message_id_domain").alias("message_id_parts"),
-        "name_email",
-        _parts("substring(name_email, instr(name_email, '@') + 1)").alias("name_email_parts"),
-        auth.pass_alignment().alias("alignment"),
-        auth.third_party_auth().alias("third_party"),
+          """).alias("results"),
+    ).drop("parts")
+    aligned = computed(
+        looked_up,
+        auth.pass_alignment().alias("alignment"), auth.third_party_auth().alias("third_party"),
         auth.exact_alignment().alias("exact"),
         F.coalesce(T.is_random_local(F.col("from_local")), F.lit(False)).alias("random_local"),
-        T.first_random_label(F.col("from_domain")).alias("random_label"),
-    )
+        T.first_random_label(F.col("from_domain")).alias("random_label"))
+    facts = aligned.select(
+        *kept, "from_header", "from_address", "from_domain", "from_local", "sender_address", "from_parse",
+        "rfc_message_id", "message_id_domain", "display_name", "auth", "results", "from_parts",
+        "header_facts", "message_id_parts", "name_email", "name_email_parts", "alignment", "third_party", "exact",
+        "random_local", "random_label")
     core = N.normalise(domain_core(F.col("from_parts")))
     with_names = facts.select(
         *facts.columns,
@@ -161,7 +161,7 @@ def with_facts(messages: DataFrame, settings: Settings, rules: SuffixRules, bran
          else F.lit(None).cast(f"struct<{BRAND_DDL}>")).alias("brand"))
     scratch = {"name_normalised", "name_words", "name_non_latin", "domain_core", "name_reason", "name_spaced",
                "brand", "name_email", "name_email_parts"}
-    return judged.select(*[c for c in judged.columns if c not in scratch], display_name_facts().alias("name_facts"))
+    return computed(judged, display_name_facts().alias("name_facts")).drop(*scratch)
 
 
 def header_facts() -> Column:

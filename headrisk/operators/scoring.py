@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headrisk import constants as C
+from headrisk.functions.binding import computed
 from headrisk.functions.domains import SuffixRules
 from headrisk.operators import formulas as FX
 from headrisk.operators import rules as R
@@ -50,7 +51,7 @@ def score_facts(facts: DataFrame, settings: Settings, need_trusted: bool = False
     reasons = F.transform(R.all_reasons(settings, need_trusted), lambda r, i: F.struct(
         i.alias("seq"), r["layer"].alias("layer"), r["key"].alias("key"), r["label"].alias("label"),
         r["delta"].alias("delta"), r["ctx"].alias("ctx")))
-    scored = facts.withColumn("score_reasons", reasons)
+    scored = computed(facts, reasons.alias("score_reasons"))
     scored = scored.withColumn("score", total_score(F.col("score_reasons"), settings.heuristic("layer3Cap")))
     scored = FX.apply_formulas(scored, settings)
     return scored.withColumn("classification", classify(F.col("score")))

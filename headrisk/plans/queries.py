@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,7 +137,9 @@ def _snake(name: str) -> str:
     return "".join("_" + c.lower() if c.isupper() else c for c in name)
 
 
-def _rule_columns(settings):
+@lru_cache(maxsize=4)
+def _rule_columns(_application: str):
+    settings = M.derived_settings()
     groups = (("identity", R.identity_rules(settings)), ("heuristic", R.heuristic_rules(settings)),
               ("composite", R.composite_rules(settings) + R.consistency_rules(settings)))
     keys = {g: [k for k in O.RULE_SQL if k.startswith(g + ".")] for g, _c in groups}
@@ -145,7 +148,7 @@ def _rule_columns(settings):
 
 def _rule_query(key: str):
     def run(spark, sf):
-        column = _rule_columns(M.derived_settings())[key]
+        column = _rule_columns(spark.sparkContext.applicationId)[key]
         return (looked_up(spark, sf).select("msg_id", column.alias("r")).where("r IS NOT NULL")
                 .select("msg_id", "r.layer", "r.key", "r.delta"))
     return run
