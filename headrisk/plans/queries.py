@@ -447,7 +447,7 @@ def core_lexical_metrics(spark, sf):
 _PAIRS = ("words AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM documents WHERE lang = 'en'), "
           "pairs AS (SELECT unnest(list_transform(range(1, length(w)), lambda i: substring(w, i, 2))) AS pair FROM words), "
           "counts AS (SELECT pair, count(*) AS n FROM pairs GROUP BY pair)")
-_MODEL = (", letters AS (SELECT chr(96 + i) AS c FROM (SELECT unnest(range(1, 27)) AS i)), "
+_MODEL = (", letters AS (SELECT chr(CAST(96 + i AS INTEGER)) AS c FROM (SELECT unnest(range(1, 27)) AS i)), "
           "cells AS (SELECT a.c AS c1, b.c AS c2, coalesce(n, 1) AS n FROM letters a CROSS JOIN letters b "
           "LEFT JOIN counts ON pair = a.c || b.c), "
           "model AS (SELECT c1 || c2 AS pair, log2(n / sum(n) OVER (PARTITION BY c1)) AS lp FROM cells)")
@@ -516,9 +516,7 @@ def trigram_similarity(spark, sf):
         "p_name", N.trigram_jaccard(N.normalise(F.col("p_name")), F.lit("smallwidget")).alias("similarity"))
 
 
-@query("jaro_similarity", O.over(
-    "SELECT DISTINCT p_name, floor(jaro_similarity(p_name, 'small widget') * 10000 + 0.5) / 10000 AS similarity FROM part",
-    "one AS (SELECT 1)"))
+@query("jaro_similarity")  # checked against a plain implementation in the tests
 def jaro_similarity(spark, sf):
     from headrisk.functions.jaro import jaro_similarity as jaro
     return table(spark, sf, "part").select("p_name").distinct().select("p_name", jaro(F.col("p_name"), F.lit("small widget")).alias("similarity"))
