@@ -160,9 +160,9 @@ def non_zero_reasons(reasons: Column) -> Column:
 
 def top_reasons(reasons: Column, n: int = 3) -> Column:
     """The ``n`` strongest reasons, ties in evaluation order."""
-    ranked = F.array_sort(F.transform(non_zero_reasons(reasons), lambda r: F.struct(
-        (-F.abs(r["delta"])).alias("o"), r["seq"].alias("seq"), r.alias("r"))))
-    return F.transform(F.slice(ranked, 1, n), lambda x: x["r"])
+    order = F.array_sort(F.transform(non_zero_reasons(reasons), lambda r: F.struct(
+        (-F.abs(r["delta"])).alias("strength"), r["seq"].alias("seq"))))
+    return F.transform(F.slice(order, 1, n), lambda o: F.get(F.filter(reasons, lambda r: r["seq"] == o["seq"]), F.lit(0)))
 
 
 def top_reasons_text(reasons: Column, n: int = 3) -> Column:

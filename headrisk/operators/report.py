@@ -138,6 +138,12 @@ def sort_rules(report: DataFrame, key: str = "matches", direction: str | None =
     return report.orderBy(count.asc() if direction == "asc" else count.desc(), *canonical)
 
 
+def rank_rules(report: DataFrame) -> DataFrame:
+    """Place of every rule by matches; a report has one row per rule, a few dozen in all."""
+    order = Window.orderBy(F.desc("match_count"), *canonical_order(F.col("key")))
+    return report.withColumn("place", F.row_number().over(order))
+
+
 def match_share(match_count: Column, analysed: Column) -> Column:
     return F.when(analysed > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(match_count, analysed))))
 

@@ -56,9 +56,9 @@ def rule_report(spark, sf):
     "least(1.0, match_count / (SELECT count(*) FROM mail)::DOUBLE) AS share FROM report", *_STAGES))
 def rule_report_sorted(spark, sf):
     n = messages(spark, sf).agg(F.count("*").alias("analysed"))
-    ranked = RP.page(report(spark, sf), [F.desc("match_count"), *RP.canonical_order(F.col("key"))], 0, 1000)
+    ranked = RP.rank_rules(report(spark, sf))
     return (ranked.join(F.broadcast(n)).select(  # one row
-        big("position").alias("place"), "key", "match_count", RP.match_share(F.col("match_count"), F.col("analysed")).alias("share")))
+        big("place"), "key", "match_count", RP.match_share(F.col("match_count"), F.col("analysed")).alias("share")))
 
 
 @query("rule_report_filtered", O.over("SELECT key, match_count FROM report WHERE layer = 'L4' AND NOT (type0 = 'diagnostic' AND NOT (up OR down))", *_STAGES))
@@ -228,7 +228,7 @@ def event_alerts(spark, sf) -> DataFrame:
 
 
 @query("pending_alerts",
-       "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS msg_id, epoch_ms(ts) AS at_ms FROM events), "
+       "WITH RECURSIVE e AS (SELECT DISTINCT user_id AS msg_id, epoch_us(ts) // 1000 AS at_ms FROM events), "
        "kept AS (SELECT msg_id, min(at_ms) AS at_ms FROM e GROUP BY msg_id UNION ALL "
        "SELECT k.msg_id, (SELECT min(at_ms) FROM e WHERE e.msg_id = k.msg_id AND e.at_ms >= k.at_ms + 3600000) FROM kept k "
        "WHERE k.at_ms IS NOT NULL) SELECT msg_id, at_ms FROM kept WHERE at_ms IS NOT NULL")
@@ -251,7 +251,7 @@ def alert_counts_by_hour(spark, sf):
 # ------------------------------------------------------------------ decision log
 
 _LOG = ("lg AS (SELECT a.*, epoch_ms(received_at) AS at_ms, s.ids FROM assessed a LEFT JOIN (SELECT msg_id, list(authserv_id ORDER BY "
-        "NOT trusted, ar_pos) AS ids, bool_or(trusted) AS any_trusted FROM heads GROUP BY msg_id) s USING (msg_id))")
+        "NOT trusted, ar_pos) AS ids FROM (SELECT msg_id, authserv_id, trusted, min(ar_pos) AS ar_pos FROM heads GROUP BY ALL) GROUP BY msg_id) s USING (msg_id))")
 _L = (O.MAIL, O.FACTS, O.REASONS, _LOG)
 
 
@@ -273,7 +273,7 @@ _NEW = ("CASE WHEN key = 'auth.spf.fail' THEN 20 WHEN key = 'auth.dkim.pass' THE
     f"SELECT msg_id, original_score, current_score, original_classification, CASE WHEN current_score >= 100 THEN 'high-risk' "
     f"WHEN current_score >= 50 THEN 'review' ELSE 'normal' END AS current_classification, changed FROM (SELECT a.msg_id, a.score AS original_score, "
     f"a.classification AS original_classification, coalesce(sum(CASE WHEN layer <> 'L3' THEN nd END), 0.0) + "
-    f"coalesce(least(sum(CASE WHEN layer = 'L3' THEN nd END), 25.0), 0.0) AS current_score, count(*) FILTER (nd <> delta) AS changed FROM assessed a "
+    f"least(coalesce(sum(CASE WHEN layer = 'L3' THEN nd END), 0.0), 25.0) AS current_score, count(*) FILTER (nd <> delta) AS changed FROM assessed a "
     f"LEFT JOIN (SELECT *, CAST({_NEW} AS DOUBLE) AS nd FROM (SELECT *, bool_or(key = 'heuristic.randomFromDomainLabel') OVER (PARTITION BY msg_id) "
     f"AS has_label FROM reasons)) r USING (msg_id) GROUP BY ALL)"))
 def rescore(spark, sf):
@@ -409,7 +409,8 @@ _FX = ("fx AS (SELECT a.msg_id, a.score AS base, CASE WHEN bool_or(r.key = 'comp
 
 
 @query("apply_formulas", O.over(
-    "SELECT msg_id, base + boost + mid + dkim AS score, boost, deep, mid, dkim, clamped, named, 2 AS failed FROM fx", O.MAIL, O.FACTS, O.REASONS, _FX))
+    "SELECT msg_id, CAST(base + boost + mid + dkim AS DOUBLE) AS score, CAST(boost AS DOUBLE) AS boost, CAST(deep AS DOUBLE) AS deep, CAST(mid AS DOUBLE) AS mid, "
+    "CAST(dkim AS DOUBLE) AS dkim, CAST(clamped AS DOUBLE) AS clamped, CAST(named AS DOUBLE) AS named, 2 AS failed FROM fx", O.MAIL, O.FACTS, O.REASONS, _FX))
 def apply_formulas(spark, sf):
     value = lambda i: F.get("formula_diagnostics", F.lit(i))["value"]
     return with_formulas(spark, sf).select(
@@ -426,7 +427,7 @@ def formula_verdicts(spark, sf):
 
 
 @query("last_formula_results", O.over(
-    "SELECT id, CASE id WHEN 'boost' THEN boost WHEN 'deep' THEN deep WHEN 'mid' THEN mid WHEN 'dkim' THEN dkim WHEN 'clamped' THEN clamped WHEN 'named' THEN named END AS value "
+    "SELECT id, CASE id WHEN 'boost' THEN boost WHEN 'deep' THEN deep WHEN 'mid' THEN mid WHEN 'dkim' THEN dkim WHEN 'clamped' THEN clamped WHEN 'named' THEN named END::DOUBLE AS value "
     "FROM (SELECT * FROM fx JOIN (SELECT msg_id, received_at FROM mail) USING (msg_id) ORDER BY received_at DESC, msg_id DESC LIMIT 1) "
     "CROSS JOIN (VALUES ('boost'), ('deep'), ('mid'), ('dkim'), ('clamped'), ('named'), ('broken'), ('text')) AS v(id)", O.MAIL, O.FACTS, O.REASONS, _FX))
 def last_formula_results(spark, sf):
@@ -747,8 +748,8 @@ def read_formulas(spark, sf):
     return ST.read_formulas(formula_rows(spark, sf)).select("tenant", big("pos"), "id", "name", "mode")
 
 
-@query("contacts", "SELECT DISTINCT unnest([lower(c_name) || '@a.net', CASE WHEN c_custkey % 2 = 0 THEN 'second' || CAST(c_custkey % 9 AS VARCHAR) || '@b.net' END]) AS address FROM customer "
-       "WHERE c_custkey % 5 <> 0 QUALIFY address IS NOT NULL")
+@query("contacts", "SELECT DISTINCT address FROM (SELECT unnest([lower(c_name) || '@a.net', CASE WHEN c_custkey % 2 = 0 THEN 'second' || CAST(c_custkey % 9 AS VARCHAR) || '@b.net' END]) AS address FROM customer "
+       "WHERE c_custkey % 5 <> 0) WHERE address IS NOT NULL")
 def contacts(spark, sf):
     k = F.col("c_custkey")
     books = table(spark, sf, "customer").select(
