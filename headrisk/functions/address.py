@@ -12,8 +12,16 @@ from headrisk.functions.binding import let
 BLANK = r"\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 
+ASCII_BLANK = " \t\n\x0b\f\r"
+
+
+def by_alphabet(value: Column, plain: Column, full: Column) -> Column:
+    """``plain`` for ASCII-only texts, where blanks are easy to tell, else ``full``."""
+    return F.when(F.length(value) == F.octet_length(value), plain).otherwise(full)
+
+
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return by_alphabet(s, F.btrim(s, F.lit(ASCII_BLANK)), F.regexp_replace(s, f"^[{BLANK}]+|[{BLANK}]+$", ""))
 
 
 def filled(s: Column) -> Column:
@@ -28,8 +36,13 @@ def header(headers: Column, name: str) -> Column:
 
 def mailbox_address(value: Column) -> Column:
     """Address inside angle brackets, else the first bare address; lowercased, null if none."""
-    angled = F.regexp_extract(value, f"<([^@<>{BLANK}]+@[^@<>{BLANK}]+)>", 1)
-    bare = F.regexp_extract(value, f'[^"<>{BLANK}]+@[^"<>{BLANK}]+', 0)
+    def angle_form(blank: str) -> Column:
+        return F.regexp_extract(value, f"<([^@<>{blank}]+@[^@<>{blank}]+)>", 1)
+
+    def bare_form(blank: str) -> Column:
+        return F.regexp_extract(value, f'[^"<>{blank}]+@[^"<>{blank}]+', 0)
+    angled = by_alphabet(value, angle_form(r"\s"), angle_form(BLANK))
+    bare = by_alphabet(value, bare_form(r"\s"), bare_form(BLANK))
     return F.when(value.contains("@"), let(angled, lambda a: F.when(a != "", F.lower(a)).otherwise(
         let(bare, lambda b: F.when(b != "", F.lower(b))))))
 
@@ -55,7 +68,9 @@ def parse_from(value: Column, address: Column | None = None) -> Column:
 
 
 def message_id_domain(value: Column) -> Column:
-    return let(F.regexp_extract(value, f"<[^@>{BLANK}]+@([^>{BLANK}]+)>", 1),
+    found = by_alphabet(value, F.regexp_extract(value, r"<[^@>\s]+@([^>\s]+)>", 1),
+                        F.regexp_extract(value, f"<[^@>{BLANK}]+@([^>{BLANK}]+)>", 1))
+    return let(found,
                lambda d: F.when(d != "", F.lower(d)))
 
 

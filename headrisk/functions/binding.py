@@ -16,4 +16,7 @@ def computed(df: DataFrame, *columns: Column) -> DataFrame:
     further than that, where a plain projection would be copied into the filter again and again;
     filters on other columns still reach the scan.
     """
-    return df.select("*", F.inline(F.array(F.struct(*columns))))
+    kept = df.columns
+    # the projection below the generator runs as generated code; an outer generator infers no filter
+    return (df.select("*", F.array(F.struct(*columns)).alias("_computed"))
+            .select(*kept, F.inline_outer("_computed")))

@@ -114,8 +114,12 @@ def sql_in_list(values) -> str:
 
 
 # a character no host may hold, an empty or overlong label, or a hyphen at the edge of a label
-BAD_HOST = (r"[^a-z0-9_.\\x{80}-\\x{10FFFF}-]|[.]{2}|[^.]{64}|(^|[.])-|-([.]|$)|^[.]|[.]$"
-            r"|^[0-9]{1,3}([.][0-9]{1,3}){3}$")
+BAD_HOST = r"[^a-z0-9_.\\x{80}-\\x{10FFFF}-]|[.]{2}|[^.]{64}|(^|[.])-|-([.]|$)|^[.]|[.]$"
+# the same for the usual ASCII host, in one pass and plain string tests
+GOOD_HOST = """h RLIKE '^[a-z0-9_-]++([.][a-z0-9_-]++)*+$'
+  AND NOT (contains(h, '.-') OR contains(h, '-.') OR startswith(h, '-') OR endswith(h, '-'))
+  AND (length(h) < 64 OR NOT h RLIKE '[^.]{64}')"""
+ADDRESS = "right(h, 1) <= '9' AND h RLIKE '^[0-9]{1,3}([.][0-9]{1,3}){3}$'"
 
 
 @lru_cache(maxsize=32)
@@ -127,18 +131,23 @@ def domain_parts_of(hosts: str, rules: SuffixRules) -> Column:
     """
     deepest = 1 + max((r.count(".") for r in rules.exact | rules.wildcard | rules.exception), default=0) + 1
     exact, wild = sql_in_list(rules.exact), sql_in_list(rules.wildcard)
+    # top-level names below which wildcard rules or exceptions occur at all
+    odd = sql_in_list({r.rsplit(".", 1)[-1] for r in rules.wildcard | rules.exception})
     exempt, p_exact = sql_in_list(rules.exception), sql_in_list(rules.private_exact)
     p_wild = sql_in_list(rules.private_wildcard)
     rest = "substring({0}, instr({0}, '.') + 1)".format
     dots = "(length({0}) - length(replace({0}, '.', '')))".format
     return F.expr(f"""
       transform(transform(transform(transform({hosts},
-        h -> named_struct('host', h, 'n', IF(h = '' OR length(h) > 255 OR h RLIKE '{BAD_HOST}', NULL, {dots('h')} + 1))),
-        s -> named_struct('host', s.host, 'n', s.n, 'names',
+        h -> named_struct('host', h, 'n', IF(h <> '' AND length(h) < 256
+            AND (({GOOD_HOST}) OR (octet_length(h) > length(h) AND NOT h RLIKE '{BAD_HOST}'))
+            AND NOT ({ADDRESS}), {dots('h')} + 1, NULL))),
+        s -> named_struct('host', s.host, 'n', s.n, 'odd', substring_index(s.host, '.', -1) IN {odd}, 'names',
           transform(sequence(least(s.n, {deepest}), 1, -1), k -> substring_index(s.host, '.', -k)))),
         s -> named_struct('host', s.host, 'n', s.n,
-          'free', get(filter(s.names, c -> c IN {exempt}), 0),
-          'hit', get(filter(s.names, c -> c IN {exact} OR (instr(c, '.') > 0 AND {rest('c')} IN {wild})), 0))),
+          'free', IF(s.odd, get(filter(s.names, c -> c IN {exempt}), 0), NULL),
+          'hit', get(filter(s.names, c -> c IN {exact}
+            OR (s.odd AND instr(c, '.') > 0 AND {rest('c')} IN {wild})), 0))),
         s -> transform(array(coalesce({rest('s.free')}, s.hit, substring_index(s.host, '.', -1))), sfx ->
           transform(array(IF(s.n > {dots('sfx')} + 1, substring_index(s.host, '.', -({dots('sfx')} + 2)), NULL)), reg ->
             named_struct('host', s.host, 'registrable_domain', reg,

@@ -6,15 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from headrisk.constants import HEADER_TEXT_MAX, NON_LATIN_RANGES
-from headrisk.functions.address import BLANK, filled, strip
+from headrisk.functions.address import BLANK, by_alphabet, filled, strip
 from headrisk.functions.binding import let
 from headrisk.functions.text import round3
 
 
 def display_name(from_header: Column) -> Column:
     """Text before the angle-bracket address, outer quotes removed; null when empty."""
-    shape = f"^(.*?)[{BLANK}]*<[^>]+>[{BLANK}]*$"
-    raw = strip(F.regexp_replace(F.regexp_extract(from_header, shape, 1), '^"|"$', ""))
+    def before_address(blank: str) -> Column:
+        return F.regexp_extract(from_header, f"^(.*?)[{blank}]*<[^>]+>[{blank}]*$", 1)
+    found = by_alphabet(from_header, before_address(r"\s"), before_address(BLANK))
+    raw = let(F.regexp_replace(found, '^"|"$', ""), strip)
     return F.when(from_header.contains("<"), let(raw, lambda r: F.left(filled(r), F.lit(HEADER_TEXT_MAX))))
 
 
@@ -43,7 +45,8 @@ def has_non_latin(s: Column) -> Column:
 
 
 def words(name: Column) -> Column:
-    return F.filter(F.split(strip(name), f"[{BLANK}]+"), lambda w: w != "")
+    pieces = by_alphabet(name, F.split(name, r"\s+"), F.split(name, f"[{BLANK}]+"))
+    return F.filter(pieces, lambda w: w != "")
 
 
 def brand_like(w: Column) -> Column:

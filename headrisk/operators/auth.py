@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headrisk.functions.address import BLANK, dkim_domain, email_to_domain, filled, strip
+from headrisk.functions.address import ASCII_BLANK, BLANK, dkim_domain, email_to_domain, filled, strip
 from headrisk.functions.binding import let
 from headrisk.functions.domains import dot_suffixes
 from headrisk.settings import Settings
@@ -45,19 +45,23 @@ def parse_header_value(value: Column) -> Column:
     clean = F.when(value.contains("("), F.regexp_replace(F.regexp_replace(value, COMMENT, " "), COMMENT, " ")) \
         .otherwise(value)
 
-    def result(piece: Column) -> Column:
-        head = F.regexp_extract(piece, METHOD, 0)
+    def result(part: Column) -> Column:
+        head = part["head"]
+        name = F.substring_index(F.substring_index(head, "=", 1), "/", 1)  # a method version is dropped
         return F.struct(
-            F.lower(F.regexp_extract(head, METHOD, 1)).alias("method"),
-            F.lower(F.regexp_extract(head, METHOD, 2)).alias("result"),
-            _properties(F.substring(piece, F.length(head) + 1, F.length(piece))).alias("properties"))
+            F.lower(F.btrim(name, F.lit(ASCII_BLANK))).alias("method"),
+            F.lower(F.btrim(F.substring_index(head, "=", -1), F.lit(ASCII_BLANK))).alias("result"),
+            _properties(F.substring(part["piece"], F.length(head) + 1, F.length(part["piece"]))).alias("properties"))
 
     def header_of(pieces: Column) -> Column:
         server = F.regexp_replace(strip(F.coalesce(F.get(pieces, F.lit(0)), F.lit(""))), r"\s+\d+$", "")
-        methods = F.filter(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))),
-                           lambda p: p.rlike(METHOD))
+        parts = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))),
+                            lambda p: F.struct(p.alias("piece"), F.regexp_extract(p, METHOD, 0).alias("head")))
+        methods = F.filter(parts, lambda p: p["head"] != "")
         return F.struct(server.alias("authserv_id"), F.transform(methods, result).alias("results"))
-    return let(F.regexp_extract_all(clean, F.lit(PIECE), F.lit(0)), header_of)
+    pieces = F.when(clean.contains('"'), F.regexp_extract_all(clean, F.lit(PIECE), F.lit(0))) \
+        .otherwise(F.split(clean, ";"))
+    return let(pieces, header_of)
 
 
 def parse_auth_results(headers: Column, settings: Settings) -> Column:
@@ -200,6 +204,15 @@ def third_party_auth() -> Column:
     )
 
 
+def foreign_authentication() -> Column:
+    """First passing MAIL FROM and all passing signers of other registrable domains."""
+    other = f"{_PASS_SPF} AND r.mail_from_reg <> {_FROM}"
+    return F.struct(
+        _first(other, "r.mail_from_domain").alias("mail_from_domain"),
+        _first(other, "r.mail_from_reg").alias("mail_from_registrable_domain"),
+        _distinct(f"{_PASS_DKIM} AND r.signing_reg <> {_FROM}", "r.signing_reg").alias("signers"))
+
+
 def exact_alignment() -> Column:
     """Alignment on equal host names, used by the sender-consistency rules."""
     return F.struct(

@@ -117,7 +117,7 @@ def with_facts(messages: DataFrame, settings: Settings, rules: SuffixRules, bran
         F.expr("""
           flatten(transform(filter(auth, a -> a.trusted), a -> transform(a.results, r -> named_struct(
             'ar_pos', a.ar_pos, 'res_pos', r.res_pos, 'authserv_id', a.authserv_id,
-            'method', r.method, 'result', r.result, 'properties', r.properties,
+            'method', r.method, 'result', r.result,
             'mail_from_domain', r.mail_from_domain,
             'mail_from_reg', try_element_at(parts, r.mail_from_domain).registrable_domain,
             'mail_from_depth', try_element_at(parts, r.mail_from_domain).subdomain_depth,
@@ -132,14 +132,14 @@ def with_facts(messages: DataFrame, settings: Settings, rules: SuffixRules, bran
     aligned = computed(
         looked_up,
         auth.pass_alignment().alias("alignment"), auth.third_party_auth().alias("third_party"),
-        auth.exact_alignment().alias("exact"),
+        auth.exact_alignment().alias("exact"), auth.foreign_authentication().alias("foreign"),
         F.coalesce(T.is_random_local(F.col("from_local")), F.lit(False)).alias("random_local"),
         T.first_random_label(F.col("from_domain")).alias("random_label"))
     facts = aligned.select(
         *kept, "from_header", "from_address", "from_domain", "from_local", "sender_address", "from_parse",
         "rfc_message_id", "message_id_domain", "display_name", "auth", "results", "from_parts",
         "header_facts", "message_id_parts", "name_email", "name_email_parts", "alignment", "third_party", "exact",
-        "random_local", "random_label")
+        "foreign", "random_local", "random_label")
     core = N.normalise(domain_core(F.col("from_parts")))
     with_names = facts.select(
         *facts.columns,

@@ -59,17 +59,14 @@ def identity_rules(settings: Settings) -> list[Column]:
     """Layer 2: who the passing results vouch for."""
     from_reg = F.col("from_parts.registrable_domain")
     base = {"from_domain": F.col("from_domain"), "from_registrable_domain": from_reg}
-    foreign = F.expr("get(filter(results, r -> coalesce(r.method = 'spf' AND r.result = 'pass' AND "
-                     "r.mail_from_reg <> from_parts.registrable_domain, false)), 0)")
-    signers = F.expr("array_distinct(transform(filter(results, r -> coalesce(r.method = 'dkim' AND r.result = 'pass'"
-                     " AND r.signing_reg <> from_parts.registrable_domain, false)), r -> r.signing_reg))")
+    foreign, signers = F.col("foreign"), F.col("foreign.signers")
     third = F.col("third_party")
     dkim_aligned = F.col("alignment.any_dkim_aligned")
     return [
-        when(from_reg.isNotNull() & ~dkim_aligned & foreign.isNotNull(),
+        when(from_reg.isNotNull() & ~dkim_aligned & foreign["mail_from_domain"].isNotNull(),
              reason("L2", "identity.spfMailFromMismatch", settings.identity("spfMailFromMismatch"),
                     ctx={**base, "smtp_mail_from_domain": foreign["mail_from_domain"],
-                         "smtp_mail_from_registrable_domain": foreign["mail_from_reg"]})),
+                         "smtp_mail_from_registrable_domain": foreign["mail_from_registrable_domain"]})),
         when(from_reg.isNotNull() & ~dkim_aligned & (F.size(signers) > 0),
              reason("L2", "identity.dkimDomainMismatch", settings.identity("dkimDomainMismatch"),
                     ctx={**base, "dkim_domains": _joined(signers)})),
