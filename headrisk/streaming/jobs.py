@@ -54,7 +54,7 @@ def delayed_alerts(events: DataFrame, delay_ms: int = C.ALERT_DELAY_MS, watermar
     ``events(msg_id, at timestamp, kind, junk, folder_type)``: kind ``alert`` asks for an alert,
     ``moved`` and ``deleted`` report where the message is now.
     """
-    return (events.withWatermark("at", watermark).groupBy("msg_id").transformWithState(
+    return (events.withWatermark("at", watermark).groupBy("msg_id").transformWithStateInPandas(
         statefulProcessor=DelayedAlert(delay_ms), outputStructType=DELAYED_DDL, outputMode="append",
         timeMode="eventTime"))
 
@@ -62,7 +62,7 @@ def delayed_alerts(events: DataFrame, delay_ms: int = C.ALERT_DELAY_MS, watermar
 def paced_stream(alerts: DataFrame, interval_ms: int = C.ALERT_INTERVAL_MS, queue_max: int = C.ALERT_QUEUE_MAX,
                  watermark: str = "0 seconds") -> DataFrame:
     """Paced alerts per owner; ``alerts(owner, at timestamp, msg_id, group_key, eligible)``."""
-    return (alerts.withWatermark("at", watermark).groupBy("owner").transformWithState(
+    return (alerts.withWatermark("at", watermark).groupBy("owner").transformWithStateInPandas(
         statefulProcessor=PacedAlerts(interval_ms, queue_max), outputStructType=PACED_STREAM_DDL,
         outputMode="append", timeMode="eventTime"))
 

@@ -87,14 +87,14 @@ def test_score_stream_equals_batch(spark, suffixes, tmp_path):
 def test_delayed_alerts_stream(spark, tmp_path):
     ev = [(1, 0, "alert", None), (2, 0, "alert", None), (2, 1, "moved", "junk"), (3, 1, "alert", None), (3, 2, "moved", "inbox"), (9, 100, "alert", None)]
     src = str(tmp_path / "ev")
-    spark.createDataFrame([(k, pd.Timestamp(s, unit="s").to_pydatetime(), kind, False, f) for k, s, kind, f in ev],
+    spark.createDataFrame([(k, pd.Timestamp(1000 + s, unit="s").to_pydatetime(), kind, False, f) for k, s, kind, f in ev],
                           "msg_id bigint, at timestamp, kind string, junk boolean, folder_type string").coalesce(1).write.parquet(src)
     stream = spark.readStream.schema("msg_id bigint, at timestamp, kind string, junk boolean, folder_type string").parquet(src)
     q = (jobs.delayed_alerts(stream, 3000).writeStream.format("parquet").option("path", str(tmp_path / "o"))
          .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
     q.awaitTermination(120)
     got = {(r["msg_id"], r["shown_at"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
-    assert got == {(1, 3000), (3, 4000)}
+    assert got == {(1, 1_003_000), (3, 1_004_000)}
 
 
 def test_settings_document(spark, tmp_path):
