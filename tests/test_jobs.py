@@ -1,5 +1,6 @@
 import json
 import random
+import uuid
 
 import pandas as pd
 from conftest import mail
@@ -77,7 +78,7 @@ def test_score_stream_equals_batch(spark, suffixes, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     m.write.parquet(src)
     stream = stream_messages(spark, src)
-    checkpoint = jobs.checkpoint_dir(spark, "score", str(tmp_path / "progress"))
+    checkpoint = jobs.checkpoint_dir(spark, f"score-{uuid.uuid4()}", str(tmp_path / "progress"))
     jobs.score_stream(stream, out, checkpoint, TRUST, suffixes).awaitTermination(120)
     want = log_entries(assess(m, TRUST, suffixes), F.col("received_at"), TRUST)
     pick = lambda d: sorted((r["msg_id"], r["score"], r["classification"]) for r in d.collect())
