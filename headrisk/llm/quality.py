@@ -147,6 +147,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass the base rules and their group's limits, with their columns as they were."""
-    counted = with_counts(docs)
+    used = ["doc_id", "lang", "source", "text"]
+    rest = [c for c in docs.columns if c not in used]
+    own = docs.select(*used, F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_rest"))
+    counted = with_counts(own)
     limits = saved(thresholds(sketches(counted, ["lang", "source"])), "limits")
-    return judged(counted, limits).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(counted, limits).where("kept").select(*[F.col(c) if c in used else F.col("_rest")[c].alias(c) for c in docs.columns])
