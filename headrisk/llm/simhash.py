@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
-from headrisk.llm.common import NULL_ID, as_long, as_unsigned, doc_key, from_key, mixed, saved, whole_groups
+from headrisk.llm.common import as_long, as_unsigned, doc_key, from_key, mixed, saved, whole_groups
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -175,21 +176,30 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp and component: the smallest id that is reachable. One row for each row."""
+def _grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """doc, fp and component, with ids as keys."""
     marked = saved(docs.select(doc_key().alias("doc"), _fingerprints(shingle)("text").alias("fp")), "simhash")
     nodes = saved(marked.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-nodes")
     roots = components(links(nodes, max_bits))
     rooted = saved(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(firsts, "root").select(F.col("fp").alias("own_fp"), "component")
-    return (marked.join(named, F.col("fp") == F.col("own_fp"))
-            .select(from_key("doc").alias("doc_id"), "fp", from_key("component").alias("component")))
+    named = rooted.join(firsts, "root").select(F.col("fp").alias("own_fp"), "root", "component")
+    return marked.join(named, F.col("fp") == F.col("own_fp")).select("doc", "fp", "root", "component")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its columns. Of rows that share this id and all else one stays."""
-    groups = near_duplicates(docs)
-    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_first")).distinct()
-    kept = docs.withColumn("_key", doc_key()).join(firsts, F.col("_key") == F.col("_first"), "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fp and component: the smallest id that is reachable. One row for each row."""
+    return _grouped(docs, shingle, max_bits).select(from_key("doc").alias("doc_id"), "fp", from_key("component").alias("component"))
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One document of each component, the one with the smallest id, with its columns. Where rows share that id, one with the least fingerprint stays."""
+    groups = saved(_grouped(docs, shingle, max_bits), "simhash-groups")
+    shared = groups.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc").alias("_shared"))
+    firsts = groups.groupBy("root").agg(F.min(F.struct("doc", "fp")).alias("x")).select(F.col("x.doc").alias("_first"), F.col("x.fp").alias("_fp"))
+    firsts = firsts.join(shared, F.col("_first") == F.col("_shared"), "left").select("_first", "_fp", F.col("_shared").isNotNull().alias("_many"))
+    kept = docs.withColumn("_key", doc_key()).join(firsts, F.col("_key") == F.col("_first"))
+    # only rows that share their id need a look at their text
+    kept = kept.withColumn("_own", _fingerprints(shingle)(F.when(F.col("_many"), F.col("text")))).where("NOT _many OR _own = _fp")
+    kept = kept.withColumn("_row", F.row_number().over(W.partitionBy("_key", "_fp").orderBy(F.lit(0)))).where("_row = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
