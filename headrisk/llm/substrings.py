@@ -5,13 +5,14 @@ window that occurs twice, and its leaves are the starts. The tree is never in on
 prefixes in two steps, and a node is named by a hash of the words on its path:
 
 1. Every window holds one marked start, the one of its `PREFIX`-word grams that has the least hash, so equal windows have equal marks. The marked
-   suffixes, about one in six, are dealt out by their PREFIX-word prefix. A prefix with one suffix has no inner node below it, and is left out.
+   suffixes, about one in seven, are dealt out by their PREFIX-word prefix. A prefix with one suffix has no inner node below it, and is left out.
 2. Only the windows of the marks that are left are followed to full depth: their starts are dealt out by the longer prefix, all WINDOW words, so
    the groups are small; sorted by name, place and check hash, each group is a subtree whose inner nodes are runs of one name. All leaves but the first
    are repeats; neighbouring ones are joined to maximal stretches, which go back to their documents.
 
 A task tells by itself that a prefix or a window occurs again within one of its batches, and sends one suffix in place of the many: a passage that
-a third of all documents hold costs its group a row for each batch. Names have 96 bits.
+a third of all documents hold costs its group a row for each batch. Documents with one sequence of words are found along with the marks: all but the
+first are repeats from end to end, and their windows are not sent. Names have 96 bits, those of documents 124.
 
 Order is by id, then by place. Nulls: a null text has no words; a null id sorts first. Rows that share an id count as one place in that order:
 neither's window is removed because of the other's at the same start. Short texts have no window. An empty table gives an empty result.
@@ -31,10 +32,13 @@ from pyspark.sql import DataFrame, functions as F
 from headrisk.llm.common import MULTIPLIER, as_long, as_unsigned, doc_key, mixed, saved, whole_groups
 
 WINDOW = 20
-PREFIX = 10
+PREFIX = 8
 #: Words whose hashes a worker remembers before it starts anew.
 REMEMBERED = 500_000
 _LOW = np.uint64(0xFFFFFFFF)
+_KNOWN = np.uint64(1 << 31)
+#: Of the texts on their way between jobs.
+_LEVEL = 6
 
 
 class WordHashes(dict):
@@ -68,18 +72,20 @@ def marks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=_LEVEL)
     for batch in batches:
         yield batch.set_column(1, batch.schema.names[1], pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary()))
 
 
 def _send_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to name, doc and place of the marked suffixes. Sent: 0 by its name; 1 the same, occurs again here; 2 anywhere, is known to occur again."""
+    """(doc, text) to name, doc and place of the marked suffixes. Sent: 0 by its name; 1 the same, occurs again here; 2 anywhere, is known to occur again; 3 a document by its name."""
     for batch in batches:
-        docs, names, places = [], [], []
+        docs, names, places, wholes = [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             words = (text.as_py() or "").encode().split()
             if len(words) >= WINDOW:
+                whole = xxhash.xxh3_128_intdigest(b" ".join(words))
+                wholes.append((whole & (2**64 - 1), doc, (whole >> 68 << 2) + 3))
                 at, name = marks(word_hashes(words))
                 at = np.unique(at)
                 docs.append(np.full(len(at), doc, np.int64))
@@ -94,14 +100,24 @@ def _send_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = ~first | np.r_[~first[1:], False]
         sent = np.where(first, again, 2).astype(np.int64)
         route = np.where(first, name, mixed(name + as_unsigned(doc) * MULTIPLIER + place.astype(np.uint64)))
-        yield pa.RecordBatch.from_arrays([pa.array(as_long(route)), pa.array(doc), pa.array(place.astype(np.int64) * 4 + sent)], names=["route", "doc", "place"])
+        whole = [np.array(x, t) for x, t in zip(zip(*wholes), (np.uint64, np.int64, np.uint64))]
+        packed = (place.astype(np.int64) * 4 + sent).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate([route, whole[0]]))), pa.array(np.concatenate([doc, whole[1]])),
+                                          pa.array(as_long(np.concatenate([packed, whole[2]])))], names=["route", "doc", "place"])
 
 
 def _occur_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The marked suffixes whose prefix has two or more."""
+    """The marked suffixes whose prefix has two or more; with place -1, documents that are copies of earlier ones."""
     for table in whole_groups(batches, lambda t: t.column("route").to_numpy()):
         route, doc, place = (table.column(c).to_numpy() for c in ("route", "doc", "place"))
-        sent = place % 4
+        sent = place & 3
+        whole = np.flatnonzero(sent == 3)
+        if len(whole):
+            whole = whole[np.lexsort((doc[whole], place[whole], route[whole]))]
+            same = np.r_[False, (route[whole][1:] == route[whole][:-1]) & (place[whole][1:] == place[whole][:-1])]
+            first = whole[np.maximum.accumulate(np.where(same, 0, np.arange(len(whole))))]
+            copies = doc[whole][doc[whole] != doc[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(copies), pa.array(np.full(len(copies), -1))], names=["doc", "place"])
         named = np.flatnonzero(sent < 2)
         borders = np.flatnonzero(np.r_[True, route[named][1:] != route[named][:-1]]) if len(named) else np.zeros(0, np.int64)
         keep = sent == 2
@@ -109,7 +125,7 @@ def _occur_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(np.r_[borders, len(named)])
             keep[named] = np.repeat((sizes > 1) | (np.maximum.reduceat(sent[named], borders) > 0), sizes)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(place[keep] // 4)], names=["doc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(place[keep] >> 2)], names=["doc", "place"])
 
 
 def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray, np.ndarray]]]]:
@@ -147,13 +163,17 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     unpress = zstandard.ZstdDecompressor()
     for batch, documents in _with_texts(batches):
         ids, texts = batch.column("_doc").to_numpy(), batch.column("text")
-        docs, names, checks, places = [], [], [], []
+        docs, names, checks, places, copies = [], [], [], [], []
         for i, left, _ in documents:
             if not len(left):
                 continue
             x = word_hashes(unpress.decompress(texts[i].as_py()).split())
             if len(x) < WINDOW:
                 continue
+            if left.min() < 0:
+                start = np.unique(np.r_[np.arange(0, len(x) - WINDOW, WINDOW), len(x) - WINDOW])
+                copies.append((np.full(len(start), ids[i], np.int64), start))
+                continue
             at, _ = marks(x)
             asked = np.zeros(len(x), bool)
             asked[left[left < len(x)]] = True
@@ -162,6 +182,10 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             names.append(mixed(grams(x, WINDOW))[start])
             checks.append(grams(mixed(x), WINDOW)[start] >> np.uint64(32))
             places.append(start.astype(np.int64))
+        if copies:
+            doc, start = map(np.concatenate, zip(*copies))
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(mixed(as_unsigned(doc)))), pa.array(doc), pa.array(as_long(start.astype(np.uint64) << np.uint64(32) | _KNOWN))],
+                                             names=["route", "doc", "place"])
         if not docs:
             continue
         doc, name, check, place = map(np.concatenate, (docs, names, checks, places))
@@ -171,7 +195,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(name))))
         repeat = same & ((doc != doc[head]) | (place != place[head]))
         route = np.where(repeat, mixed(as_unsigned(doc)), name)
-        low = np.where(repeat, np.uint64(1) << np.uint64(31), np.uint64(0)) | (check >> np.uint64(1))
+        low = np.where(repeat, _KNOWN, np.uint64(0)) | (check >> np.uint64(1))
         yield pa.RecordBatch.from_arrays([pa.array(as_long(route)), pa.array(doc), pa.array(as_long(place.astype(np.uint64) << np.uint64(32) | low))], names=["route", "doc", "place"])
 
 
