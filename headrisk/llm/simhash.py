@@ -36,9 +36,9 @@ PIVOTS = 24
 #: Reference fingerprints: a fixed pseudo-random set.
 REFERENCES = mixed(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Most nodes that chance should bring to a cell, on average.
-CELL = 16
+CELL = 64
 #: Cells up to this size are compared pair by pair, larger ones searched.
-SMALL_CELL = 8
+SMALL_CELL = 128
 _HASHES_AT_ONCE = 65536
 
 
