@@ -14,8 +14,6 @@ NO_RESULTS_MIN_SAMPLE = 5
 CANDIDATES_MAX = 50
 SETUPS_MAX = 50
 LOG_MAX = 1000
-RUN_LIMIT_DEFAULT = 1000
-RUN_LIMIT_CEILING = 10000
 PAGE_SIZE = 100
 ALERT_MAX_SCORE = 49
 ALERT_DELAY_MS = 3000
@@ -80,11 +78,24 @@ _SPF_50 = {"pass": 0, "fail": 50, "none": 5, "softfail": 15,
            "neutral": 5, "temperror": 10, "permerror": 20}
 _DKIM_25 = {"pass": 0, "fail": 25, "none": 5, "temperror": 10, "permerror": 20}
 _DKIM_15 = {"pass": 0, "fail": 15, "none": 5, "temperror": 10, "permerror": 20}
-_V2_COMPOSITE = {**COMPOSITE_SCORES, "geoTokenCompoundDomain": 30}
-_ADDED_IN_V2 = ("unsecuredDeepSubdomain", "dkimFailWithAlignedPass", "brandDivergencePhishing",
-                "unauthenticatedFromSpoof", "authenticatedDisplayNameSpoof", "publicDomainSpoofing")
-_V1_COMPOSITE = {k: v for k, v in _V2_COMPOSITE.items() if k not in _ADDED_IN_V2}
-_V1_COMPOSITE["messageIdMismatchWithUnalignedAuth"] = 20
+_V2_COMPOSITE = {
+    "spfAlignedDkimUnalignedRandomLocal": 30, "authAlignedRandomDomain": 40, "thirdPartyAuthRandomLocal": 25,
+    "messageIdMismatchWithUnalignedAuth": 30, "messageIdUnregistrableMismatch": 50,
+    "fromSenderMismatchWithUnalignedAuth": 15, "deepRandomFromSubdomain": 25, "unsecuredDeepSubdomain": 25,
+    "delegatedDkimAlignedRouteConsistent": -30, "spfPassDkimFailRandomLocal": 25, "dkimAlignedLexicalMitigation": -30,
+    "ownDomainAuthFail": 75, "unparseableFromWithInfrastructureMismatch": 50,
+    "dmarcFailDkimAlignedListMitigation": -15, "geoTokenCompoundDomain": 30, "deepServiceWordSubdomain": 30,
+    "dkimFailWithAlignedPass": 35, "brandDivergencePhishing": 50, "unauthenticatedFromSpoof": 35,
+    "authenticatedDisplayNameSpoof": 40, "publicDomainSpoofing": 45,
+}
+_V1_COMPOSITE = {
+    "spfAlignedDkimUnalignedRandomLocal": 30, "authAlignedRandomDomain": 40, "thirdPartyAuthRandomLocal": 25,
+    "messageIdMismatchWithUnalignedAuth": 20, "messageIdUnregistrableMismatch": 50,
+    "fromSenderMismatchWithUnalignedAuth": 15, "deepRandomFromSubdomain": 25,
+    "delegatedDkimAlignedRouteConsistent": -30, "spfPassDkimFailRandomLocal": 25, "dkimAlignedLexicalMitigation": -30,
+    "ownDomainAuthFail": 75, "unparseableFromWithInfrastructureMismatch": 50,
+    "dmarcFailDkimAlignedListMitigation": -15, "geoTokenCompoundDomain": 30, "deepServiceWordSubdomain": 30,
+}
 
 EARLIER_SCORES = [
     ("pre-v0.2.2", "auth", {"dmarc": {"pass": 0, "fail": 50, "none": 10, "policy": 0},

@@ -7,7 +7,6 @@ message is resolved inside one projection: no join, no shuffle and no hot key.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -15,14 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIX_CONF = "spark.headrisk.publicSuffixList"
-SUFFIX_DEFAULT_PATH = "/usr/share/publicsuffix/public_suffix_list.dat"
 SUFFIX_RULES_MAX = 50_000
 
 PARTS_DDL = ("struct<host:string,registrable_domain:string,public_suffix:string,subdomain:string,"
              "subdomain_depth:int,is_icann:boolean,is_private:boolean>")
 
-# Used only where no suffix list is given: common registries with names on the second level.
-FALLBACK_RULES = (
+# Common registries with names on the second level, for tests and tables that need no full list. Nothing falls back to them.
+COMMON_RULES = (
     [(tld, "exact", "icann") for tld in
      "com net org info biz edu gov mil int io co me ai tv cc xyz app dev jp uk de fr it es ca au br".split()]
     + [(f"{second}.{tld}", "exact", "icann")
@@ -88,11 +86,11 @@ def suffix_rules_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_suffix_rules(spark: SparkSession, path: str | None = None) -> SuffixRules:
-    """Rules from ``path``, the session setting, or the system list; a short built-in set otherwise."""
+    """Rules from ``path`` or the session setting. Its version decides every registrable domain, so there is no default."""
     path = path or spark.conf.get(SUFFIX_CONF, None)
-    if path is None and os.path.exists(SUFFIX_DEFAULT_PATH):
-        path = SUFFIX_DEFAULT_PATH
-    return _rules_from(spark, path) if path else SuffixRules.from_rows(FALLBACK_RULES)
+    if not path:
+        raise ValueError(f"no public-suffix list: pass its path or set {SUFFIX_CONF}")
+    return _rules_from(spark, path)
 
 
 _RULES_CACHE: dict = {}

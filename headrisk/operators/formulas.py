@@ -57,7 +57,7 @@ def check_formula(text: str, mode: str) -> None:
         raise FormulaError("only a single expression is allowed")
     if re.search(r"[/%]", code):
         raise FormulaError("use try_divide or try_mod")
-    if re.search(r"\b(select|from|cast)\b(?!_)", code, re.I) and not re.search(r"try_cast", code):
+    if re.search(r"\b(select|from|cast|table|lateral|exists|over|with)\b", code, re.I):
         raise FormulaError("only expressions over the formula context are allowed")
     for name in re.findall(r"([A-Za-z_][\w.]*)\s*\(", code):
         if name not in ALLOWED and name.lower() not in KEYWORDS:

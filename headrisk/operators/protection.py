@@ -62,7 +62,7 @@ def whitelist_entries(addresses: DataFrame, column: str = "address") -> DataFram
 def account_mail(log: DataFrame, settings: Settings, hosts: DataFrame | None = None) -> DataFrame:
     """Newest twenty messages of every account by what vouched for them.
 
-    ``hosts(account_id, host)`` adds how often that server is among the logged ones.
+    ``hosts(account_id, host)`` adds how often that server is among the logged ones: a row for each account and host.
     """
     sample = newest_per_account(log)
     ids = F.filter(F.coalesce("authserv_ids", F.array().cast("array<string>")), lambda i: i != "")
@@ -74,12 +74,13 @@ def account_mail(log: DataFrame, settings: Settings, hosts: DataFrame | None = N
     seen = F.lit(False)
     possibly = F.lit(False)
     if hosts is not None:
-        wanted = hosts.select(F.col("account_id").alias("_account"), filled(F.lower(strip(F.col("host")))).alias("_host"))
+        wanted = hosts.select(F.col("account_id").alias("_account"), filled(F.lower(strip(F.col("host")))).alias("_host")).distinct()
         rows = rows.join(wanted, F.col("account_id") == F.col("_account"), "left")
         seen = F.coalesce(F.exists("authserv_ids", lambda i: F.lower(i) == F.col("_host")), F.lit(False))
         possibly = F.col("_host").isNotNull() & ~seen & F.col("authserv_ids_truncated")
     count = lambda c: F.count_if(F.col("_cls") == c).alias(c)
-    return rows.groupBy("account_id").agg(
+    keys = ["account_id"] if hosts is None else ["account_id", F.col("_host").alias("host")]
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("total"), count("trusted"), count("untrusted"), count("unknown"), count("none"),
         F.count_if(seen).alias("host_seen"), F.count_if(possibly).alias("host_possibly_seen"))
 
@@ -179,7 +180,8 @@ def check_setup(choices: DataFrame, accounts: DataFrame, suggestions: DataFrame,
     value = F.lower(strip(F.coalesce("host", F.lit(""))))
     base = (choices.select("account_id", value.alias("host"))
             .join(accounts.select("account_id", "domains"), "account_id", "left")
-            .join(mail, "account_id", "left"))
+            .join(mail.withColumnRenamed("account_id", "_mail_account").withColumnRenamed("host", "_mail_host"),
+                  (F.col("account_id") == F.col("_mail_account")) & filled(F.col("host")).eqNullSafe(F.col("_mail_host")), "left"))
     hinted = suggestions.select("account_id", "host", F.col("source").alias("hint")).dropDuplicates(["account_id", "host"])
     related_hosts = (accounts.select("account_id", F.explode("domains").alias("related"))
                      .unionByName(suggestions.where("source = 'mx'").select("account_id", F.col("host").alias("related"))))

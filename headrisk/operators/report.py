@@ -156,12 +156,12 @@ def classification_counts(assessments: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ runs
 
-def resolve_limit(limit: int | None = C.RUN_LIMIT_DEFAULT, ceiling: int | None = C.RUN_LIMIT_CEILING) -> int | None:
-    """Messages of one run; None asks for the ceiling, and a ceiling of None for no bound at all."""
+def resolve_limit(limit: int | None = None, ceiling: int | None = None) -> int | None:
+    """Messages of one run; None means all of them. A ceiling is for callers that bound what users may ask for."""
     if limit is None:
-        return ceiling
+        return None
     if not isinstance(limit, int) or isinstance(limit, bool) or limit < 1 or (ceiling and limit > ceiling):
-        raise ValueError(f"analysis limit must be an integer from 1 to {ceiling}")
+        raise ValueError(f"analysis limit must be an integer from 1 to {ceiling or 'any number'}")
     return limit
 
 
@@ -171,7 +171,8 @@ def tag_requests(requested: DataFrame, limit: int | None) -> DataFrame:
     Only the first ``limit`` distinct ids are kept. An id past the limit is counted as such each
     time, because it was never kept and cannot be repeated.
     """
-    checked = requested.withColumn("msg_id", F.expr("try_cast(msg_id AS BIGINT)"))
+    checked = requested.withColumn("msg_id", F.expr(
+        "CASE WHEN try_cast(msg_id AS DOUBLE) = floor(try_cast(msg_id AS DOUBLE)) THEN try_cast(msg_id AS BIGINT) END"))
     valid = checked.where(F.col("msg_id") >= 0)
     first = valid.groupBy("msg_id").agg(F.min("pos").alias("first_pos"))
     if limit is None:
@@ -219,8 +220,8 @@ def order_failures(outcomes: DataFrame) -> DataFrame:
     return outcomes.where(F.col("outcome").isin("not-found", "read-failed", "assessment-failed")).orderBy("pos")
 
 
-def run_report(requested: DataFrame, messages: DataFrame, score, limit: int | None = C.RUN_LIMIT_DEFAULT,
-               ceiling: int | None = C.RUN_LIMIT_CEILING) -> dict[str, DataFrame]:
+def run_report(requested: DataFrame, messages: DataFrame, score, limit: int | None = None,
+               ceiling: int | None = None) -> dict[str, DataFrame]:
     """Totals, classes, rules and rejects of one run over requested message ids.
 
     ``score`` turns messages into assessments, so every message sees the same settings.

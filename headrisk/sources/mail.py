@@ -101,7 +101,7 @@ def mx_records(answers: DataFrame) -> DataFrame:
     exchange = F.lower(F.regexp_replace(F.get(words, F.lit(1)), r"\.$", ""))
     return (rows.where(F.size(words) >= 2)
             .select("domain", exchange.alias("exchange"), F.coalesce(priority, F.lit(10)).alias("priority"), "pos")
-            .where("exchange <> ''"))
+            .where("exchange <> ''").orderBy("domain", "priority", "pos"))
 
 
 def mx_status(answers: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def spark():
 @pytest.fixture(scope="session")
 def suffixes(spark):
     from headrisk.functions.domains import load_suffix_rules
-    return load_suffix_rules(spark)
+    return load_suffix_rules(spark, "/usr/share/publicsuffix/public_suffix_list.dat")
 
 
 def mail(spark, *messages):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from headrisk.functions import address as A
 from headrisk.functions import names as N
 from headrisk.functions import text as T
-from headrisk.functions.domains import FALLBACK_RULES, SuffixRules, build_domain_dim, suffix_rules_table
+from headrisk.functions.domains import COMMON_RULES, SuffixRules, build_domain_dim, suffix_rules_table
 from headrisk.functions.jaro import best_brands, infer_brand, jaro_winkler
 from headrisk.operators.facts import headers_from_pairs, lower_header_names, mailbox_provider
 
@@ -44,7 +44,7 @@ def test_wildcards_and_exceptions(spark, tmp_path):
 
 
 def test_fallback_rules_know_common_registries(spark):
-    rules = SuffixRules.from_rows(FALLBACK_RULES)
+    rules = SuffixRules.from_rows(COMMON_RULES)
     df = spark.createDataFrame([("a.b.co.jp",), ("x.y.com",)], "host string")
     assert {r["registrable_domain"] for r in build_domain_dim(df, rules).collect()} == {"b.co.jp", "y.com"}
 

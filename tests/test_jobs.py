@@ -128,3 +128,31 @@ def test_setup_checklist(spark, suffixes):
     got = P.check_setup(choices, P.setup_accounts(ids), sug, TRUST, P.account_mail(log, TRUST, choices), suffixes)
     assert [(r["key"], r["level"]) for r in got.orderBy("item_order").collect()] == [
         ("account_domains", "ok"), ("mail_summary", "ok"), ("host_matches_hint", "ok"), ("host_seen", "info")]
+
+
+def test_formula_reads_no_table():
+    import pytest
+
+    from headrisk.operators.formulas import FormulaError, check_formula
+
+    for text in ("try_cast('1' AS INT) + (SELECT x FROM secret LIMIT 1)", "if(exists(SELECT 1), 1, 0)", "base_score + (TABLE secret)"):
+        with pytest.raises(FormulaError):
+            check_formula(text, "add")
+    check_formula("try_cast(from_.subdomain_depth AS DOUBLE) + 1", "add")
+
+
+def test_two_hosts_of_one_account_do_not_double_its_mail(spark):
+    from headrisk.operators import protection as P
+
+    log = spark.createDataFrame([("a", 1, 5, ["mx.one.net"], False)], "account_id string, msg_id long, at_ms long, authserv_ids array<string>, authserv_ids_truncated boolean")
+    log = log.withColumn("assessed_at", F.timestamp_millis("at_ms"))
+    hosts = spark.createDataFrame([("a", "MX.one.net"), ("a", "other.net")], "account_id string, host string")
+    got = sorted((r.host, r.total, r.host_seen) for r in P.account_mail(log, TRUST, hosts).collect())
+    assert got == [("mx.one.net", 1, 1), ("other.net", 1, 0)]
+
+
+def test_message_ids_are_whole_numbers(spark):
+    from headrisk.operators import report as RP
+
+    asked = spark.createDataFrame([(1, 1.5), (2, 2.0), (3, -1.0), (4, None)], "pos long, msg_id double")
+    assert {r.pos: r.outcome for r in RP.tag_requests(asked, None).collect()} == {1: "invalid-id", 2: "kept", 3: "invalid-id", 4: "invalid-id"}

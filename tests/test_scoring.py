@@ -160,7 +160,7 @@ def test_date_scope_errors(spark):
 
 def test_limits():
     import pytest
-    assert RP.resolve_limit() == 1000 and RP.resolve_limit(None) == 10000 and RP.resolve_limit(None, None) is None
+    assert RP.resolve_limit() is None and RP.resolve_limit(None, 10) is None and RP.resolve_limit(7, 10) == 7
     for bad in (0, 10001, 1.5, True):
         with pytest.raises(ValueError):
             RP.resolve_limit(bad)
