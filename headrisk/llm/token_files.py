@@ -23,7 +23,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headrisk.llm.common import doc_key, from_key
+from headrisk.llm.common import bounded_batches, doc_key, from_key
 from headrisk.llm.packing import TEXTS_AT_ONCE, part_starts
 from headrisk.llm.tokens import encoder
 
@@ -43,7 +43,11 @@ def _ids(texts: list[str | None], tokenizer: str, end_id: int, width: int) -> li
 
 @lru_cache(2)
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(data) if data else None
+    if not data:
+        return None
+    found = zstandard.ZstdCompressionDict(data)
+    found.precompute_compress(level=LEVEL)  # else every document's compression starts by reading the dictionary
+    return found
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
@@ -96,6 +100,7 @@ def _write(tokenizer: str, end_id: int, width: int, data: bytes):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Writes the file set of all documents into the folder."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     width = 2 if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id) < 65536 else 4
     data = train_dictionary(docs, tokenizer, end_id, width)
