@@ -15,6 +15,9 @@ NULL_ID = -(2**63)
 #: An odd multiplier for polynomial hashes modulo 2^64.
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
+#: Bytes of a batch between Spark and Python.
+BATCH_BYTES = 8 << 20
+
 _own_folder: dict[str, str] = {}
 
 
@@ -26,6 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="headrisk-"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python at most BATCH_BYTES at once, or one row: texts can be long, and by default only rows are counted."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -73,6 +81,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Memory:
+    """What a worker made lately, by key. At `limit` entries, those not asked for since the last time are forgotten."""
+
+    def __init__(self, limit: int) -> None:
+        self.now: dict = {}
+        self.before: dict = {}
+        self.limit = limit
+
+    def missing(self, keys: set) -> set:
+        """The keys that are to be made anew and put into `now`; the others are there after the call."""
+        if len(self.now) > self.limit:
+            self.before, self.now = self.now, {}
+        lack = keys.difference(self.now)
+        if self.before:
+            kept = lack & self.before.keys()
+            self.now.update((k, self.before[k]) for k in kept)
+            lack -= kept
+        return lack
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: Callable[[pa.Table], np.ndarray], rows: int = 200_000) -> Iterator[pa.Table]:
     """Sorted batches joined into tables that end where a key ends. A key with more rows than `rows` comes whole."""
     held: list[pa.RecordBatch] = []

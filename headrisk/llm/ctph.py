@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from headrisk.llm.common import MULTIPLIER, NULL_ID, doc_key, from_key, mixed, saved
+from headrisk.llm.common import MULTIPLIER, NULL_ID, bounded_batches, doc_key, from_key, mixed, saved
 
 ROLL = 7
 MOST_CHUNKS = 64
@@ -180,6 +180,7 @@ def _across(texts: pa.Array, others: pa.Array) -> pa.Array:
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """A row for each document: fingerprints of its text and of its edited text, and how alike they and the next document's are."""
+    bounded_batches(docs.sparkSession)
     order = [F.col("doc").desc(), F.col("text").desc_nulls_last()]
     ranged = docs.select(doc_key().alias("doc"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
     rows = saved(ranged.mapInArrow(_stretch, f"{_OUT}, part long, place long"), "ctph")

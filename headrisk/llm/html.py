@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from headrisk.llm.common import bounded_batches
+
 # Element and attribute names.
 RAW = "script style noscript template title textarea select option svg math iframe object canvas audio video button".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -191,5 +193,6 @@ def main_text_of(pages: pa.Array) -> pa.Array:
 
 def extract(pages: DataFrame) -> DataFrame:
     """The pages with `text` in place of `html`."""
+    bounded_batches(pages.sparkSession)
     rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("html", "text")]
     return pages.select(*rest, main_text_of("html").alias("text"))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from headrisk.llm.common import as_long, as_unsigned, doc_key, mixed, saved, whole_groups
+from headrisk.llm.common import as_long, as_unsigned, bounded_batches, doc_key, mixed, saved, whole_groups
 
 MIN_DOCS = 10
 DOCS_IN_BLOCK = 1000
@@ -198,6 +198,7 @@ def _block(n_blocks: int) -> F.Column:
 
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with the lines left in `text`, and _n_lines (before) and _n_dropped."""
+    bounded_batches(docs.sparkSession)
     n_blocks = max(1, -(-docs.count() // DOCS_IN_BLOCK))
     keys = common_keys(docs, n_blocks, min_docs)
     none = F.lit(None).cast("long")

@@ -20,20 +20,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from headrisk.llm.common import saved
-from headrisk.llm.tokens import encoder
+from headrisk.llm.common import bounded_batches, saved
+from headrisk.llm.tokens import REMEMBERED, encoder
 
 SIZE = 2048
 TEXTS_AT_ONCE = 64
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def tokenize(tokenizer: str, end_id: int):
+def tokenize(tokenizer: str, end_id: int, remember: int = REMEMBERED):
     """(doc_id, text) to part, doc_id, place in the part, number of ids, ids."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, place = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, place = encoder(tokenizer, remember), TaskContext.get().partitionId(), 0
         for batch in batches:
             for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 some = batch.slice(i, TEXTS_AT_ONCE)
@@ -43,6 +43,7 @@ def tokenize(tokenizer: str, end_id: int):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int64)), some.column(0), pa.array(ends - counts), pa.array(counts),
                                                   pa.array([_narrow(x) for x in ids], pa.binary())], names=["part", "doc_id", "place", "n", "ids"])
                 place = int(ends[-1])
+        encode.known.before = {}  # what rests in an idle worker is half as much
 
     return run
 
@@ -81,9 +82,10 @@ def _cut(size: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, remember: int = REMEMBERED) -> DataFrame:
     """The pieces of all documents, with their ids as little-endian unsigned 32-bit integers."""
-    ids = saved(docs.select("doc_id", "text").mapInArrow(tokenize(tokenizer, end_id), "part long, doc_id long, place long, n long, ids binary"), "packed-ids")
+    bounded_batches(docs.sparkSession)
+    ids = saved(docs.select("doc_id", "text").mapInArrow(tokenize(tokenizer, end_id, remember), "part long, doc_id long, place long, n long, ids binary"), "packed-ids")
     starts = part_starts(ids.groupBy("part").agg(F.sum("n").alias("n")))
     # one row for each task of pass one: its bound is the number of tasks, not of documents
     placed = ids.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("place")).alias("begin"), "n", "ids")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
-from headrisk.llm.common import saved
+from headrisk.llm.common import bounded_batches, saved
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -141,12 +141,14 @@ def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per document: its id, language and source, `quality`, `kept` and `limits`, without the text."""
+    bounded_batches(docs.sparkSession)
     counted = saved(with_counts(docs.select("doc_id", "lang", "source", "text")).drop("text"), "quality")
     return judged(counted, saved(thresholds(sketches(counted, ["lang", "source"])), "limits"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass the base rules and their group's limits, with their columns as they were."""
+    bounded_batches(docs.sparkSession)
     used = ["doc_id", "lang", "source", "text"]
     rest = [c for c in docs.columns if c not in used]
     own = docs.select(*used, F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_rest"))

@@ -24,8 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from headrisk.llm.common import Memory, bounded_batches
+
 MARK = "▁"
-REMEMBERED = 1_000_000
+#: Words that a worker remembers for certain; at most twice as many.
+REMEMBERED = 250_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _PROBE = "  a b\tC é ﬁ\n"
 
@@ -57,7 +60,7 @@ class Transducer:
                     node = node.setdefault(c, {})
                 node[""] = i
         self.good: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(REMEMBERED)
 
     @staticmethod
     def normalize(text: str) -> str:
@@ -119,11 +122,10 @@ class Transducer:
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         words = _WORD.findall(self.normalize(text or ""))
-        for w in set(words).difference(known):
+        new = self.known.missing(set(words))
+        known = self.known.now
+        for w in new:
             ids: list[int] = []
             for p in self.path(w):
                 ids.extend([p] if p >= 0 else [self.byte_id[b] for b in chr(-p - 1).encode()])
@@ -165,6 +167,7 @@ def decoded(model: str, ids: str = "ids") -> F.Column:
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """The documents with `ids`."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("ids", encoded(model))
 
 

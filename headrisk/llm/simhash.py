@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from headrisk.llm.common import as_long, as_unsigned, doc_key, from_key, mixed, saved, whole_groups
+from headrisk.llm.common import as_long, as_unsigned, bounded_batches, doc_key, from_key, mixed, saved, whole_groups
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -178,6 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
     """doc, fp and component, with ids as keys."""
+    bounded_batches(docs.sparkSession)
     marked = saved(docs.select(doc_key().alias("doc"), _fingerprints(shingle)("text").alias("fp")), "simhash")
     nodes = saved(marked.groupBy("fp").agg(F.min("doc").alias("first")), "simhash-nodes")
     roots = components(links(nodes, max_bits))
@@ -194,6 +195,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each component, the one with the smallest id, with its columns. Where rows share that id, one with the least fingerprint stays."""
+    bounded_batches(docs.sparkSession)
     groups = saved(_grouped(docs, shingle, max_bits), "simhash-groups")
     shared = groups.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc").alias("_shared"))
     firsts = groups.groupBy("root").agg(F.min(F.struct("doc", "fp")).alias("x")).select(F.col("x.doc").alias("_first"), F.col("x.fp").alias("_fp"))

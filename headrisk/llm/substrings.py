@@ -29,31 +29,18 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from headrisk.llm.common import MULTIPLIER, as_long, as_unsigned, doc_key, mixed, saved, whole_groups
+from headrisk.llm.common import MULTIPLIER, as_long, as_unsigned, bounded_batches, doc_key, mixed, saved, whole_groups
 
 WINDOW = 20
 PREFIX = 8
-#: Words whose hashes a worker remembers before it starts anew.
-REMEMBERED = 500_000
 _LOW = np.uint64(0xFFFFFFFF)
 _KNOWN = np.uint64(1 << 31)
 #: Of the texts on their way between jobs.
 _LEVEL = 6
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def grams(x: np.ndarray, length: int) -> np.ndarray:
@@ -257,6 +244,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with what is left of `text` (words joined by one space where any were removed; null becomes empty), _n_words before and _n_removed."""
+    bounded_batches(docs.sparkSession)
     found = saved(repeats(docs), "repeats")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")

@@ -7,8 +7,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+from headrisk.llm.common import Memory
+
+#: Pieces that a worker remembers for certain; at most twice as many.
+REMEMBERED = 500_000
 #: A piece is a run of spaces and newlines with what follows up to the next one; byte-level pre-tokens never cross from a
 #: character that is no white space to one that is, so the pieces' ids joined are the text's. That holds where spaces and
 #: newlines are the only white space; other texts go to the tokenizer whole.
@@ -22,23 +24,21 @@ _DTYPE = "<u4"
 class Encoder:
     """Gives texts their ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remember: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(remember)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, _DTYPE).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Meant for some dozens of texts at a time, whose new pieces are encoded together."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
         split = [None if t and _OTHER_SPACE.search(t) else _PIECE.findall(t or "") for t in texts]
-        new = set().union(*filter(None, split)).difference(known)
+        new = self.known.missing(set().union(*filter(None, split)))
+        known = self.known.now
         stems = {p: s for p in new if (s := p.rstrip(_MARKS)) and len(s) < len(p) and s[-1].isalpha()}
         todo = list(new.difference(stems).union(stems.values(), (p[len(s):] for p, s in stems.items())).difference(known))
         known.update(zip(todo, self._whole(todo)))
@@ -47,6 +47,6 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """The encoder of a worker, kept between its tasks."""
-    return Encoder(path)
+def encoder(path: str, remember: int = REMEMBERED) -> Encoder:
+    """The encoder of a worker, kept between its tasks. Fewer remembered pieces take less memory and more time."""
+    return Encoder(path, remember)

@@ -25,14 +25,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from headrisk.llm.common import as_long, as_unsigned, saved
+from headrisk.llm.common import as_long, as_unsigned, bounded_batches, saved
 
 RARE = 20_000
 LEAST = 3
 DISCOUNT = 0.75
 SCALE_ROWS = 20_000
 STRONG = 2.0
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: ASCII marks count as spaces, A-Z as a-z.
 _PLAIN = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -208,6 +208,7 @@ _places: tuple | None = None
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, and the difference that the score comes from."""
+    bounded_batches(docs.sparkSession)
     texts = labelled(docs, labels)
     shares = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     held_out = (fold(F.col("doc_id")) == 0).alias("held_out")
