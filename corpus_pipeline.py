@@ -19,6 +19,10 @@ from headrisk.llm.simhash import keep_first
 from headrisk.llm.substrings import remove_repeats
 
 
+#: Pieces of text that a packing worker remembers: fewer than by default, as the workers of earlier stages still hold memory.
+REMEMBERED = 100_000
+
+
 def _as_before(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """The changed documents with the columns of docs."""
     length = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None
@@ -47,7 +51,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of 2048 tokens, without the ids."""
-    return digest(pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return digest(pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remember=REMEMBERED))
 
 
 STAGES = [
