@@ -163,4 +163,4 @@ def test_limits():
     assert RP.resolve_limit() is None and RP.resolve_limit(None, 10) is None and RP.resolve_limit(7, 10) == 7
     for bad in (0, 10001, 1.5, True):
         with pytest.raises(ValueError):
-            RP.resolve_limit(bad)
+            RP.resolve_limit(bad, 10000)
