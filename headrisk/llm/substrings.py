@@ -8,7 +8,7 @@ prefixes in two steps, and a node is named by a hash of the words on its path:
    suffixes, about one in seven, are dealt out by their PREFIX-word prefix. A prefix with one suffix has no inner node below it, and is left out.
 2. Only the windows of the marks that are left are followed to full depth: their starts are dealt out by the longer prefix, all WINDOW words, so
    the groups are small; sorted by name, place and check hash, each group is a subtree whose inner nodes are runs of one name. All leaves but the first
-   are repeats; neighbouring ones are joined to maximal stretches, which go back to their documents.
+   are repeats, which go back to their documents and are joined to maximal stretches there.
 
 A task tells by itself that a prefix or a window occurs again within one of its batches, and sends one suffix in place of the many: a passage that
 a third of all documents hold costs its group a row for each batch. Documents with one sequence of words are found along with the marks: all but the
@@ -187,7 +187,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, start and end of stretches of words to remove: the leaves of inner nodes but each node's first, neighbours joined."""
+    """doc, start and end of stretches of words to remove: the leaves of inner nodes but each node's first. Neighbours that came by document are joined."""
     for table in whole_groups(batches, lambda t: t.column("route").to_numpy()):
         route, doc, packed = (table.column(c).to_numpy() for c in ("route", "doc", "place"))
         packed = as_unsigned(packed)
@@ -201,9 +201,11 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, place = doc[repeat], place[repeat]
         if not len(doc):
             continue
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        breaks = np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + WINDOW)]
+        # stretches of what came by document only: which named leaves meet here depends on the number of tasks
+        by_name = ~known[repeat]
+        order = np.lexsort((place, by_name, doc))
+        doc, place, by_name = doc[order], place[order], by_name[order]
+        breaks = np.r_[True, by_name[1:] | by_name[:-1] | (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + WINDOW)]
         starts = np.flatnonzero(breaks)
         ends = place[np.r_[starts[1:], len(doc)] - 1] + WINDOW
         yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(place[starts]), pa.array(ends)], names=["doc", "start", "end"])
