@@ -1,11 +1,13 @@
 """Toxicity from two Kneser-Ney bigram models, one of toxic and one of ordinary texts.
 
 Training texts are the labelled documents of folds 2 to 4 (crc32 of the id as text, mod 5); fold 1 sets the scale of the score and fold 0 is held out.
-All words of all training texts are counted, by class. Words and word pairs that are rarer than one in `RARE` in both classes (or met fewer than
-`LEAST` times) have no entry of their own: a rare word stands as one common symbol, a rare pair backs off. So the model has at most 2 * RARE
-words and as many pairs, whatever the size of the corpus, and can be sent to all tasks. In both orders a class keeps its counts less a discount, and gives the rest
+All words and word pairs of all training texts are counted, by class, and those met `LEAST` times in a class have an entry of their own, however large the
+corpus is: a rarer word is as good as unseen, a rarer pair backs off. In both orders a class keeps its counts less a discount, and gives the rest
 of its mass to the next lower order; the lowest is shared: the continuation counts (distinct words before a word) of both classes together.
 
+The model is a table of hashes of words and pairs with what they say for one class, and grows with the corpus; it is sent nowhere. Documents are numbered in blocks of
+`BLOCK_BYTES` of text; a block asks once for each of its distinct words and pairs, and a join brings what is known of them back beside the block's texts.
+
 A text's score compares the mean log-likelihoods per word, of all words and of those that speak for one class by more than `STRONG`: toxic texts are mostly
 ordinary, and the many small differences of their other words would hide the few large ones. A logistic function of both differences and of the length
 turns them into a probability; it is fitted on at most `SCALE_ROWS` labelled texts of fold 1, those with the smallest hash of their id.
@@ -16,23 +18,25 @@ get equal scores. Without labelled texts of both classes every score is the shar
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from headrisk.llm.common import as_long, as_unsigned, bounded_batches, saved
+from headrisk.llm.common import MULTIPLIER, as_long, as_unsigned, bounded_batches, mixed, saved
 
-RARE = 20_000
 LEAST = 3
 DISCOUNT = 0.75
 SCALE_ROWS = 20_000
 STRONG = 2.0
-REMEMBERED = 200_000
+#: Text of the documents that ask together.
+BLOCK_BYTES = 16 << 20
+#: Copies of the words' table, so that the pairs of a common word meet it in many tasks.
+COPIES = 16
 #: ASCII marks count as spaces, A-Z as a-z.
 _PLAIN = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -51,62 +55,50 @@ def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], names=["id", "pressed"])
 
 
+def given_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic and fold of the labels that are not held out."""
+    given = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
+    return given.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """id, pressed text, toxic and fold of the labelled documents that are not held out."""
-    given = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
-    given = given.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
+    given = given_labels(labels)
     texts = docs.where("doc_id IS NOT NULL").where(fold(F.col("doc_id")) != 0).select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(_press, "id long, pressed binary")
     return saved(texts.join(given, texts.id == given.doc_id).select("id", "pressed", "toxic", "fold"), "labelled")
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpress = zstandard.ZstdDecompressor()
-    for batch in batches:
-        counts = [Counter(), Counter()]
-        for text, toxic in zip(batch.column("pressed"), batch.column("toxic").to_pylist()):
-            counts[toxic].update(plain_words(unpress.decompress(text.as_py())))
-        words = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_pydict({"word": pa.array(as_long(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64))),
-                                          "ordinary": pa.array([counts[0][w] for w in words], pa.int64()), "toxic": pa.array([counts[1][w] for w in words], pa.int64())})
-
-
-class Places(dict):
-    """A word to its place in the sorted hashes of the vocabulary, counted from 1; 0 is a rare word."""
+def word_names(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-    def __init__(self, vocabulary: np.ndarray) -> None:
-        self.at = {h: i + 1 for i, h in enumerate(vocabulary.tolist())}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        place = self[word] = self.at.get(xxhash.xxh64_intdigest(word), 0)
-        return place
+def pair_names(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(first * MULTIPLIER + second)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-
-def _count_pairs(vocabulary: np.ndarray):
-    size = len(vocabulary) + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, unpress = Places(vocabulary), zstandard.ZstdDecompressor()
-        for batch in batches:
-            found = ([], [])
-            for text, toxic in zip(batch.column("pressed"), batch.column("toxic").to_pylist()):
-                at = places.of(plain_words(unpress.decompress(text.as_py())))
-                found[toxic].append(at[:-1] * size + at[1:])
-            for toxic, keys in enumerate(found):
-                if keys:
-                    key, n = np.unique(np.concatenate(keys), return_counts=True)
-                    zero = np.zeros(len(n), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(zero if toxic else n), pa.array(n if toxic else zero)], names=["pair", "ordinary", "toxic"])
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (second is null) and pairs of training texts with their counts by class."""
+    unpress = zstandard.ZstdDecompressor()
+    for batch in batches:
+        found: tuple[list, list] = ([], [])
+        for text, toxic in zip(batch.column("pressed"), batch.column("toxic").to_pylist()):
+            found[toxic].append(word_names(plain_words(unpress.decompress(text.as_py()))))
+        for toxic, texts in enumerate(found):
+            if not texts:
+                continue
+            words, n_words = np.unique(np.concatenate(texts), return_counts=True)
+            first, second = (np.concatenate([x[s] for x in texts]) for s in (slice(None, -1), slice(1, None)))
+            _, at, n_pairs = np.unique(pair_names(first, second), return_index=True, return_counts=True)
+            n = np.concatenate([n_words, n_pairs])
+            zero = np.zeros(len(n), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate([words, first[at]]))),
+                                              pa.array(as_long(np.concatenate([words, second[at]])), mask=np.arange(len(n)) < len(words)),
+                                              pa.array(zero if toxic else n), pa.array(n if toxic else zero)], names=["first", "second", "ordinary", "toxic"])
 
 
 class Model:
-    """Log-probabilities of both classes (row 0 ordinary, row 1 toxic) for words, and for pairs with an entry."""
+    """The two distributions in plain arrays, for vocabularies that fit in memory: log-probabilities of both classes (row 0 ordinary, row 1 toxic)
+    for words, and for pairs with an entry."""
 
     def __init__(self, vocabulary: np.ndarray, words: np.ndarray, before: np.ndarray, context: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> None:
         """words, context: counts by class and place, as a word and as the first of a pair; before: distinct words before a word."""
@@ -122,46 +114,149 @@ class Model:
         self.pair_log = np.log(kept + np.maximum(left, 1e-9)[:, pairs // self.size] * self.uni[:, pairs % self.size])
         self.uni_log = np.log(self.uni)
 
-    def differences(self, at: np.ndarray) -> tuple[float, float]:
-        """Log-likelihood, toxic less ordinary: the mean per word, and the sum of what single words have beyond STRONG."""
-        if not len(at):
-            return 0.0, 0.0
-        gap, left = self.uni_log[1] - self.uni_log[0], self.left[1] - self.left[0]
-        out = gap[at]
-        if len(at) > 1:
-            out[1:] += left[at[:-1]]
-            key = at[:-1] * self.size + at[1:]
-            if len(self.pairs):
-                where = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-                hit = self.pairs[where] == key
-                out[1:][hit] = (self.pair_log[1] - self.pair_log[0])[where[hit]]
-        return float(out.mean()), float(np.maximum(out - STRONG, 0).sum())
-
-
-def _floor(total: int) -> float:
-    return max(LEAST, total / RARE)
-
-
-def train(texts: DataFrame) -> Model:
-    """The model of training texts; what reaches the driver is bounded by RARE, but for sums."""
-    words = saved(texts.select("pressed", "toxic").mapInArrow(_count_words, "word long, ordinary long, toxic long")
-                  .groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxicity-words")
-    total = words.agg(F.coalesce(F.sum("ordinary"), F.lit(0)).alias("o"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    often = (F.col("ordinary") >= _floor(total.o)) | (F.col("toxic") >= _floor(total.t))
-    kept = sorted((int(as_unsigned(np.array([r.word], np.int64))[0]), r.ordinary, r.toxic) for r in words.where(often).collect())
-    vocabulary = np.array([k for k, _, _ in kept], np.uint64)
-    counts = np.array([[0, *(o for _, o, _ in kept)], [0, *(t for _, _, t in kept)]], float)
-    counts[:, 0] = [total.o - counts[0].sum(), total.t - counts[1].sum()]
-    size = len(vocabulary) + 1
-    pairs = saved(texts.select("pressed", "toxic").mapInArrow(_count_pairs(vocabulary), "pair long, ordinary long, toxic long")
-                  .groupBy("pair").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxicity-pairs")
-    before, context = np.zeros(size), np.zeros((2, size))
-    for r in pairs.groupBy((F.col("pair") % size).alias("w")).agg(F.count("*").alias("n")).collect():
-        before[r.w] = r.n
-    for r in pairs.groupBy(F.expr(f"pair div {size}").alias("v")).agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t")).collect():
-        context[:, r.v] = r.o, r.t
-    rows = sorted((r.pair, r.ordinary, r.toxic) for r in pairs.where(often).collect())
-    return Model(vocabulary, counts, before, context, np.array([r[0] for r in rows], np.int64), np.array([[r[1] for r in rows], [r[2] for r in rows]], float).reshape(2, -1))
+
+def train(texts: DataFrame) -> tuple[DataFrame, float]:
+    """name, word_gap and left of the words and pairs with an entry, and the word_gap of all other words.
+
+    word_gap is the log-probability, toxic less ordinary, of a word or of a pair's second word after the first; left, null for pairs, is that of backing off after a word."""
+    counts = saved(texts.select("pressed", "toxic").mapInArrow(_count, "first long, second long, ordinary long, toxic long")
+                   .groupBy("first", "second").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxicity-counts")
+    often = (F.col("ordinary") >= LEAST) | (F.col("toxic") >= LEAST)
+    own = {c: F.when(often, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).otherwise(0.0) for c in ("ordinary", "toxic")}
+    words, pairs = counts.where("second IS NULL"), counts.where("second IS NOT NULL")
+    of = words.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(k) for k, x in
+                                              [("ordinary", F.col("ordinary")), ("toxic", F.col("toxic")), ("own_ordinary", own["ordinary"]), ("own_toxic", own["toxic"])]]).first()
+    places = pairs.count() + of.n + 1
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    sums = ["ordinary", "toxic", "before", "context_ordinary", "context_toxic", "kept_ordinary", "kept_toxic"]
+    row = lambda word, *values: [F.col(word).alias("word"), *[v.alias(k) for k, v in zip(sums, values)]]
+    parts = (words.select(row("first", F.col("ordinary"), F.col("toxic"), zero, zero, zero, none, none))
+             .union(pairs.select(row("second", zero, zero, F.lit(1).cast("long"), zero, zero, none, none)))
+             .union(pairs.select(row("first", zero, zero, zero, F.col("ordinary"), F.col("toxic"), own["ordinary"], own["toxic"]))))
+    known = parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in sums]).where(often)
+    rest = {}
+    for c in ("ordinary", "toxic"):
+        total, rest[c] = max(of[c], 1), 1 - of[f"own_{c}"] / max(of[c], 1)
+        known = known.withColumn(f"uni_{c}", own[c] / total + (F.col("before") + 1.0) / places * rest[c])
+        known = known.withColumn(f"context_{c}", F.greatest(f"context_{c}", F.lit(1)))
+        known = known.withColumn(f"left_{c}", F.greatest(1 - F.col(f"kept_{c}") / F.col(f"context_{c}"), F.lit(1e-9)))
+    known = saved(known.drop("before", "kept_ordinary", "kept_toxic"), "toxicity-words")
+
+    gap = lambda x: F.log(x("toxic")) - F.log(x("ordinary"))
+    copied = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).drop("ordinary", "toxic")
+    often_pairs = pairs.where(often).withColumn("salt", F.pmod(F.xxhash64("first", "second"), F.lit(COPIES)).cast("int"))
+    firsts = copied.select(F.col("word").alias("w1"), F.col("copy").alias("c1"), "context_ordinary", "context_toxic", "left_ordinary", "left_toxic")
+    seconds = copied.select(F.col("word").alias("w2"), F.col("copy").alias("c2"), "uni_ordinary", "uni_toxic")
+    joined = (often_pairs.join(firsts, (F.col("first") == F.col("w1")) & (F.col("salt") == F.col("c1")))
+              .join(seconds, (F.col("second") == F.col("w2")) & (F.col("salt") == F.col("c2"))))
+    of_pair = lambda c: own[c] / F.col(f"context_{c}") + F.col(f"left_{c}") * F.col(f"uni_{c}")
+    entries = (known.select(F.col("word").alias("name"), gap(lambda c: F.col(f"uni_{c}")).alias("word_gap"), gap(lambda c: F.col(f"left_{c}")).alias("left"))
+               .union(joined.select(_pair_name("first", "second"), gap(of_pair), F.lit(None).cast("double"))))
+    return saved(entries, "toxicity-entries"), float(np.log(max(rest["toxic"], 1e-9)) - np.log(max(rest["ordinary"], 1e-9)))
+
+
+@F.arrow_udf(T.LongType())
+def _pair_name(first: pa.Array, second: pa.Array) -> pa.Array:
+    return pa.array(as_long(pair_names(as_unsigned(first.to_numpy()), as_unsigned(second.to_numpy()))))
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the number of their block, which no other task gives."""
+    press, block, size = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        texts, numbers = [], []
+        for t in batch.column(1):
+            text = (t.as_py() or "").encode()
+            if size and size + len(text) > BLOCK_BYTES:
+                block, size = block + 1, 0
+            size += len(text)
+            texts.append(press.compress(text))
+            numbers.append(block)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(numbers, pa.int64())], names=["doc_id", "pressed", "block"])
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """name and block of each distinct word and pair of a block."""
+    unpress, now, asked = zstandard.ZstdDecompressor(), None, np.zeros(0, np.uint64)
+
+    def request() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(as_long(asked)), pa.array(np.full(len(asked), now, np.int64))], names=["name", "block"])
+
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        borders = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1], True]) if len(blocks) else []
+        for i, j in zip(borders, borders[1:]):
+            if now is not None and blocks[i] != now:
+                yield request()
+                asked = asked[:0]
+            now, found = blocks[i], [asked]
+            for text in batch.column("pressed")[i:j]:
+                names = word_names(plain_words(unpress.decompress(text.as_py())))
+                found.extend((names, pair_names(names[:-1], names[1:])))
+            asked = np.unique(np.concatenate(found))
+    if now is not None:
+        yield request()
+
+
+def differences(names: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray], other: float) -> tuple[float, float]:
+    """Log-likelihood of a text, toxic less ordinary: the mean per word, and the sum of what single words have beyond STRONG. known: sorted names with their gaps and lefts."""
+    if not len(names):
+        return 0.0, 0.0
+
+    def look(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        where = np.minimum(np.searchsorted(known[0], asked), max(len(known[0]) - 1, 0))
+        return where, known[0][where] == asked if len(known[0]) else np.zeros(len(asked), bool)
+
+    where, hit = look(names)
+    out, left = np.full(len(names), other), np.zeros(len(names))
+    out[hit], left[hit] = known[1][where[hit]], known[2][where[hit]]
+    out[1:] += left[:-1]
+    where, hit = look(pair_names(names[:-1], names[1:]))
+    out[1:][hit] = known[1][where[hit]]
+    return float(out.mean()), float(np.maximum(out - STRONG, 0).sum())
+
+
+def _measure(other: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches sorted by block and kind (0: an entry that the block asked for, 1: a document)."""
+        unpress, now, held, known = zstandard.ZstdDecompressor(), None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            borders, places, found = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), True]), [], []
+            for i, j in zip(borders, borders[1:]):
+                if block[i] != now:
+                    now, held, known = block[i], [], None
+                if kind[i] == 0:
+                    held.append([batch.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in ("name", "word_gap", "left")])
+                    continue
+                if known is None:
+                    name, gap, left = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+                    order = np.argsort(as_unsigned(name))
+                    known, held = (as_unsigned(name)[order], gap[order], left[order]), []
+                for k in range(i, j):
+                    names = word_names(plain_words(unpress.decompress(batch.column("pressed")[k].as_py())))
+                    places.append(k)
+                    found.append((*differences(names, known, other), len(names)))
+            if places:
+                difference, strong, n = zip(*found)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places)), pa.array(difference, pa.float64()), pa.array(strong, pa.float64()), pa.array(n, pa.int64())],
+                                                 names=["doc_id", "difference", "strong", "n"])
+
+    return run
+
+
+def measured(docs: DataFrame, entries: DataFrame, other: float) -> DataFrame:
+    """doc_id, difference, strong and n (words) of each document."""
+    kind_of_id = docs.schema["doc_id"].dataType
+    id_type = kind_of_id.simpleString()
+    texts = saved(docs.select("doc_id", "text").mapInArrow(_in_blocks, f"doc_id {id_type}, pressed binary, block long"), "toxicity-blocks")
+    asked = texts.select("pressed", "block").mapInArrow(_ask, "name long, block long")
+    none = lambda t: F.lit(None).cast(t)
+    answers = asked.join(entries, "name").select("block", F.lit(0).alias("kind"), "name", "word_gap", "left", none(kind_of_id).alias("doc_id"), none("binary").alias("pressed"))
+    rows = answers.union(texts.select("block", F.lit(1), none("long"), none("double"), none("double"), "doc_id", "pressed"))
+    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_measure(other), f"doc_id {id_type}, difference double, strong double, n long")
 
 
 FEATURES = ["difference", "strong", "strong_share", "length"]
@@ -189,23 +284,6 @@ def fit_scale(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
-def _measure(model: Model):
-    @F.arrow_udf(T.StructType([T.StructField("difference", T.DoubleType()), T.StructField("strong", T.DoubleType()), T.StructField("n", T.LongType())]))
-    def of(texts: pa.Array) -> pa.Array:
-        global _places
-        if _places is None or _places[0] is not model:
-            _places = (model, Places(model.vocabulary))
-        ats = [_places[1].of(plain_words((t.as_py() or "").encode() if isinstance(t, pa.StringScalar) else zstandard.decompress(t.as_py()))) for t in texts]
-        both = [model.differences(a) for a in ats]
-        return pa.StructArray.from_arrays([pa.array([x for x, _ in both], pa.float64()), pa.array([x for _, x in both], pa.float64()), pa.array([len(a) for a in ats], pa.int64())],
-                                          names=["difference", "strong", "n"])
-
-    return of
-
-
-_places: tuple | None = None
-
-
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, and the difference that the score comes from."""
     bounded_batches(docs.sparkSession)
@@ -215,9 +293,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if len(shares) < 2:
         known = float(max(shares, default=0))
         return docs.select("doc_id", held_out, F.lit(known).alias("score"), F.lit(int(known >= 0.5)).alias("predicted"), F.lit(0.0).alias("difference"))
-    model = train(texts.where("fold > 1"))
-    measure = _measure(model)
-    some = (texts.where("fold = 1").orderBy(F.xxhash64("id")).limit(SCALE_ROWS).select(measure("pressed").alias("m"), "toxic")
+    scored = saved(measured(docs, *train(texts.where("fold > 1"))).select("doc_id", F.struct("difference", "strong", "n").alias("m")), "toxicity-measures")
+    given = given_labels(labels).where("fold = 1").select(F.col("doc_id").alias("id"), "toxic")
+    some = (scored.join(given, F.col("doc_id") == F.col("id")).orderBy(F.xxhash64(F.col("doc_id").cast("long"))).limit(SCALE_ROWS)
             .select(*[c.alias(k) for k, c in zip(FEATURES, features("m"))], "toxic").toPandas())
     if some.toxic.nunique() == 2:
         weights = fit_scale(np.column_stack([np.ones(len(some)), some[FEATURES].to_numpy()]), some.toxic.to_numpy(float))
@@ -226,6 +304,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     z = F.lit(float(weights[0]))
     for w, c in zip(weights[1:], features("m")):
         z = z + c * float(w)
-    scored = docs.select("doc_id", measure("text").alias("m"))
     score = F.lit(1.0) / (1 + F.exp(-z))
     return scored.select("doc_id", held_out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("m.difference").alias("difference"))

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from headrisk.llm import ctph, html, lines, op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, packing, quality, sentencepieces, simhash, substrings, token_files, toxicity
@@ -322,3 +323,39 @@ def test_stages_keep_columns(spark, folder):
     assert one.count() == simhash._grouped(docs, 4, 4).select("root").distinct().count()
     assert lines.drop_common_lines(docs).columns[:len(docs.columns)] == docs.columns
     assert substrings.remove_repeats(docs).columns[:len(docs.columns)] == docs.columns
+
+
+def test_toxicity_model_grows_with_the_corpus(spark):
+    """Every word and pair met LEAST times has an entry, with a plain Kneser-Ney model's values, though each is rarer than one in 20,000 tokens."""
+    pick = random.Random(11)
+    texts = [(" ".join(f"w{pick.randrange(4000)}" for _ in range(300)) + (f" vile{i // 4 % 60} slur{i // 4 % 60}" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(720)]
+    rows = [(bytearray(zstandard.compress(t.encode())), y) for t, y in texts]
+    entries, other = toxicity.train(spark.createDataFrame(rows, "pressed binary, toxic int"))
+    got = {r.name: (r.word_gap, r.left) for r in entries.collect()}
+    words, pairs = [Counter(), Counter()], [Counter(), Counter()]
+    for t, y in texts:
+        own = t.encode().split()
+        words[y].update(own)
+        pairs[y].update(zip(own, own[1:]))
+    total, n_words, n_pairs = [sum(c.values()) for c in words], len(words[0] | words[1]), len(pairs[0] | pairs[1])
+    known = lambda counts, x: max(counts[0][x], counts[1][x]) >= toxicity.LEAST
+    own = lambda counts, c, x: max(counts[c][x] - toxicity.DISCOUNT, 0) if known(counts, x) else 0.0
+    rest = [1 - sum(own(words, c, w) for w in words[c]) / total[c] for c in (0, 1)]
+    before, context, kept = Counter(b for _, b in pairs[0] | pairs[1]), [Counter(), Counter()], [Counter(), Counter()]
+    for c in (0, 1):
+        for (a, b), n in pairs[c].items():
+            context[c][a] += n
+            kept[c][a] += own(pairs, c, (a, b))
+    uni = lambda c, w: own(words, c, w) / total[c] + rest[c] * (before[w] + 1) / (n_words + n_pairs + 1)
+    left = lambda c, w: 1 - kept[c][w] / max(context[c][w], 1)
+    name = lambda w: xxhash.xxh64_intdigest(w)
+    signed = lambda x: int(np.array([x], np.uint64).view(np.int64)[0])
+    want = {signed(name(w)): (np.log(uni(1, w) / uni(0, w)), np.log(left(1, w) / left(0, w))) for w in words[0] | words[1] if known(words, w)}
+    for a, b in pairs[0] | pairs[1]:
+        if known(pairs, (a, b)):
+            p = [own(pairs, c, (a, b)) / max(context[c][a], 1) + left(c, a) * uni(c, b) for c in (0, 1)]
+            want[signed(toxicity.pair_names(np.array([name(a)], np.uint64), np.array([name(b)], np.uint64))[0])] = (np.log(p[1] / p[0]), None)
+    assert got.keys() == want.keys() and other == pytest.approx(np.log(rest[1] / rest[0]))
+    for k, (gap, back) in want.items():
+        assert got[k][0] == pytest.approx(gap) and (back is None) == (got[k][1] is None) and (back is None or got[k][1] == pytest.approx(back, abs=1e-9))
+    assert all(signed(name(f"vile{i}".encode())) in got for i in range(60)) and sum(total) > 200_000
