@@ -3,9 +3,10 @@
 A page is cut into blocks at every tag that starts or ends a block. A block has its words, its link density (share of
 words inside links), those of the blocks before and after it, whether it is a heading, and where it stands: inside an article, or inside an
 element for something else (menus, sidebars, footers, adverts, forms, comments, by tag, role, class or id). A decision tree, grown on the
-small labelled table below, decides which blocks are main text. Scripts, styles and the like have no text.
+small labelled table below, decides which blocks are main text. Scripts, styles, controls and the like have no text.
 
-Text that is never closed, closed twice or nested wrongly is taken as it comes: an end tag closes what is open down to its own start, or nothing.
+End tags that HTML lets pages leave out are implied: a paragraph ends before a block, items, cells, rows, options and headings before their like, the head before
+what belongs to the body. Else what is never closed, closed twice or nested wrongly is taken as it comes: an end tag closes what is open down to its own start, or nothing.
 
 Nulls: a null page is empty and has an empty text. Very long pages are read in one pass; equal pages give equal texts; an empty table gives an
 empty result. Other columns pass through.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Collection, Set
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -26,13 +28,28 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from headrisk.llm.common import bounded_batches
 
 # Element and attribute names.
-RAW = "script style noscript template title textarea select option svg math iframe object canvas audio video button".split()
+RAW = "script style title textarea iframe".split()
+#: Elements without text of their own that hold other elements.
+SILENT = frozenset("noscript template select option svg math object canvas audio video button".split())
+CONTROLS = frozenset("select option button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
                     "time tt u var wbr").split())
 ASIDE_TAGS = frozenset("nav aside footer form menu dialog fieldset head".split())
 ARTICLE_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes".split())
+ENDS_P = HEADINGS | frozenset(("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li main menu nav ol p pre "
+                               "search section summary table ul").split())
+#: An open paragraph is not looked for beyond these.
+AROUND_P = SILENT | frozenset("caption html marquee table td th".split())
+_IN_ITEM = INLINE | CONTROLS | {"address", "div", "p"}
+_ROWS = frozenset("thead tbody tfoot".split())
+#: Start tags to what they end: the open elements, those that may lie between (None: any), and those that may not.
+ENDS = {"li": ({"li"}, _IN_ITEM, ()), **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, _IN_ITEM, ())), "option": ({"option"}, INLINE, ()), "optgroup": ({"option", "optgroup"}, INLINE, ()),
+        "button": ({"button"}, None, AROUND_P - {"button"}), "a": ({"a"}, INLINE, ()), **dict.fromkeys(HEADINGS, (HEADINGS, INLINE, ())),
+        **dict.fromkeys(("td", "th"), ({"td", "th"}, None, _ROWS | {"tr", "table", "template"})), "tr": ({"tr"}, None, _ROWS | {"table", "template"}),
+        **dict.fromkeys(_ROWS, (_ROWS | {"caption", "colgroup"}, None, {"table", "template"})), **dict.fromkeys(ARTICLE_TAGS, (CONTROLS, None, SILENT - CONTROLS))}
 ASIDE_WORDS = frozenset(("ad ads adv advert advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist reply replies disqus cookie cookies consent gdpr "
                          "copyright disclaimer footer header masthead topbar menu menubar nav navbar navigation navigator newsletter notice notices notification alert popup modal overlay "
                          "pager pagination promo promotion related recommended share sharing sidebar sidebox social sponsor sponsored subscribe subscription signup login widget widgets "
@@ -69,7 +86,7 @@ def blocks(page: str | None) -> list[Block]:
     out, parts, linked = [], [], []
     stack: list[tuple[str, int, int, int, int]] = []  # tag; article, aside, heading, link: 1 where it is one
     open_tags: Counter = Counter()
-    article = aside = heading = link = 0
+    article = aside = heading = link = silent = 0
 
     def flush() -> None:
         if parts:
@@ -80,10 +97,34 @@ def blocks(page: str | None) -> list[Block]:
             linked.clear()
 
     def add(text: str) -> None:
+        if stack and stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
+        if silent:
+            return
         parts.append(text)
         if link:
             linked.append(text)
 
+    def close(depth: int) -> None:
+        nonlocal article, aside, heading, link, silent
+        while len(stack) > depth:
+            if not silent and parts and stack[-1][0] not in INLINE:
+                flush()
+            name, a, b, c, d = stack.pop()
+            open_tags[name] -= 1
+            article, aside, heading, link, silent = article - a, aside - b, heading - c, link - d, silent - (name in SILENT)
+
+    def imply(ended: Set, between: Set | None, beyond: Collection) -> None:
+        """Closes the innermost of the ended elements, unless something lies between that keeps it open."""
+        if any(map(open_tags.get, ended)):
+            for k in range(len(stack) - 1, -1, -1):
+                name = stack[k][0]
+                if name in ended:
+                    return close(k)
+                if name in beyond or between is not None and name not in between:
+                    return None
+        return None
+
     page, at = page or "", 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -92,22 +133,26 @@ def blocks(page: str | None) -> list[Block]:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT and not silent:
             flush()
         if m["end"]:
             if open_tags[tag]:
-                while True:
-                    name, a, b, c, d = stack.pop()
-                    open_tags[name] -= 1
-                    article, aside, heading, link = article - a, aside - b, heading - c, link - d
-                    if name == tag:
-                        break
-        elif tag not in VOID and not m["attrs"].endswith("/"):
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+            continue
+        if not silent and open_tags["head"] and tag not in IN_HEAD:
+            imply({"head"}, None, ())
+        if tag in ENDS:
+            imply(*ENDS[tag])
+            if tag == "optgroup" or tag in ARTICLE_TAGS:  # an option and its group, an option and its list
+                imply(*ENDS[tag])
+        if tag in ENDS_P:
+            imply({"p"}, None, AROUND_P)
+        if tag not in VOID and not m["attrs"].endswith("/"):
             a, b = _where(tag, m["attrs"], article)
             c, d = tag in HEADINGS, tag == "a"
             stack.append((tag, a, b, c, d))
             open_tags[tag] += 1
-            article, aside, heading, link = article + a, aside + b, heading + c, link + d
+            article, aside, heading, link, silent = article + a, aside + b, heading + c, link + d, silent + (tag in SILENT)
     if at < len(page):
         add(page[at:])
     flush()

@@ -359,3 +359,20 @@ def test_toxicity_model_grows_with_the_corpus(spark):
     for k, (gap, back) in want.items():
         assert got[k][0] == pytest.approx(gap) and (back is None) == (got[k][1] is None) and (back is None or got[k][1] == pytest.approx(back, abs=1e-9))
     assert all(signed(name(f"vile{i}".encode())) in got for i in range(60)) and sum(total) > 200_000
+
+
+def test_html_without_end_tags():
+    text = "word " * 40 + "end"
+    for page in (f"<datalist><option value=a><option value=b></datalist><article><p>{text}</p></article>", f"<div><button>Send</div><article><p>{text}</article>",
+                 f"<select><optgroup><option>a<option>b<optgroup><option>c</select><article>{text}</article>", f"<button>Go<article>{text}</article>",
+                 f"<object data=x><p>None</object><article>{text}</article>", f"<select><option>a<main>{text}</main>",
+                 f"<article><p class=notice>We note<p>{text}</article>", f"<article><p class=notice>We note<div>{text}</div></article>",
+                 f"<article><ul><li class=share>Share<li>{text}</ul></article>", f"<article><dl><dt class=ad>Ad<dd>{text}</dl></article>",
+                 f"<article><table><tr><td class=share>Share<td>{text}<tr><td class=ad>Ad</table></article>", f"<html><head><title>T</title><meta x><body><article><p>{text}</article>",
+                 f"<article><table><tr class=ad><td>Ad<tr><td>{text}</table></article>"):
+        assert html.main_text(page) == text, page
+    found = html.blocks("<main>one<div>two<button>Send</div>three<ul><li><button>Go<li>four</ul><p>five <button>Go</button> six</main>")
+    assert [b.text for b in found] == ["one", "two", "three", "four", "five six"]
+    inner = "<article><ul><li>" + text + "<ul class=share><li>Share<li>More</ul><li>" + text + "</ul></article>"
+    assert html.main_text(inner) == f"{text} {text}"
+    assert html.main_text(f"<article><p>{text}</p><template><article>Not shown</article></template><svg><title>t</title><text>None</text></svg></article>") == text
