@@ -15,7 +15,7 @@ a third of all documents hold costs its group a row for each batch. Documents wi
 first are repeats from end to end, and their windows are not sent. Names have 96 bits, those of documents 124.
 
 Order is by id, then by place. Nulls: a null text has no words; a null id sorts first. Rows that share an id count as one place in that order:
-neither's window is removed because of the other's at the same start. Short texts have no window. An empty table gives an empty result.
+neither's window is removed because of the other's at the same start; each is edited by itself, so they go by their id and a hash of their text. Short texts have no window. An empty table gives an empty result.
 Extra columns pass through `remove_repeats`.
 """
 
@@ -61,50 +61,51 @@ def marks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=_LEVEL)
     for batch in batches:
-        yield batch.set_column(1, batch.schema.names[1], pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary()))
+        yield batch.set_column(2, batch.schema.names[2], pa.array([press.compress((t.as_py() or "").encode()) for t in batch.column(2)], pa.binary()))
 
 
 def _send_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to name, doc and place of the marked suffixes. Sent: 0 by its name; 1 the same, occurs again here; 2 anywhere, is known to occur again; 3 a document by its name."""
+    """(doc, row, text) to name, doc, row and place of the marked suffixes. Sent: 0 by its name; 1 the same, occurs again here; 2 anywhere, is known to occur again; 3 a document by its name."""
     for batch in batches:
-        docs, names, places, wholes = [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        docs, rows, names, places, wholes = [], [], [], [], []
+        for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             words = (text.as_py() or "").encode().split()
             if len(words) >= WINDOW:
                 whole = xxhash.xxh3_128_intdigest(b" ".join(words))
-                wholes.append((whole & (2**64 - 1), doc, (whole >> 68 << 2) + 3))
+                wholes.append((whole & (2**64 - 1), doc, row, (whole >> 68 << 2) + 3))
                 at, name = marks(word_hashes(words))
                 at = np.unique(at)
                 docs.append(np.full(len(at), doc, np.int64))
+                rows.append(np.full(len(at), row, np.int64))
                 names.append(name[at])
                 places.append(at)
         if not docs:
             continue
-        doc, name, place = map(np.concatenate, (docs, names, places))
+        doc, row, name, place = map(np.concatenate, (docs, rows, names, places))
         order = np.argsort(name, kind="stable")
-        doc, name, place = doc[order], name[order], place[order]
+        doc, row, name, place = doc[order], row[order], name[order], place[order]
         first = np.r_[True, name[1:] != name[:-1]]
         again = ~first | np.r_[~first[1:], False]
         sent = np.where(first, again, 2).astype(np.int64)
         route = np.where(first, name, mixed(name + as_unsigned(doc) * MULTIPLIER + place.astype(np.uint64)))
-        whole = [np.array(x, t) for x, t in zip(zip(*wholes), (np.uint64, np.int64, np.uint64))]
+        whole = [np.array(x, t) for x, t in zip(zip(*wholes), (np.uint64, np.int64, np.int64, np.uint64))]
         packed = (place.astype(np.int64) * 4 + sent).view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate([route, whole[0]]))), pa.array(np.concatenate([doc, whole[1]])),
-                                          pa.array(as_long(np.concatenate([packed, whole[2]])))], names=["route", "doc", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate([route, whole[0]]))), pa.array(np.concatenate([doc, whole[1]])), pa.array(np.concatenate([row, whole[2]])),
+                                          pa.array(as_long(np.concatenate([packed, whole[3]])))], names=["route", "doc", "row", "place"])
 
 
 def _occur_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The marked suffixes whose prefix has two or more; with place -1, documents that are copies of earlier ones."""
     for table in whole_groups(batches, lambda t: t.column("route").to_numpy()):
-        route, doc, place = (table.column(c).to_numpy() for c in ("route", "doc", "place"))
+        route, doc, row, place = (table.column(c).to_numpy() for c in ("route", "doc", "row", "place"))
         sent = place & 3
         whole = np.flatnonzero(sent == 3)
         if len(whole):
             whole = whole[np.lexsort((doc[whole], place[whole], route[whole]))]
             same = np.r_[False, (route[whole][1:] == route[whole][:-1]) & (place[whole][1:] == place[whole][:-1])]
             first = whole[np.maximum.accumulate(np.where(same, 0, np.arange(len(whole))))]
-            copies = doc[whole][doc[whole] != doc[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(copies), pa.array(np.full(len(copies), -1))], names=["doc", "place"])
+            copies = whole[doc[whole] != doc[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[copies]), pa.array(row[copies]), pa.array(np.full(len(copies), -1))], names=["doc", "row", "place"])
         named = np.flatnonzero(sent < 2)
         borders = np.flatnonzero(np.r_[True, route[named][1:] != route[named][:-1]]) if len(named) else np.zeros(0, np.int64)
         keep = sent == 2
@@ -112,21 +113,21 @@ def _occur_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(np.r_[borders, len(named)])
             keep[named] = np.repeat((sizes > 1) | (np.maximum.reduceat(sent[named], borders) > 0), sizes)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(place[keep] >> 2)], names=["doc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(row[keep]), pa.array(place[keep] >> 2)], names=["doc", "row", "place"])
 
 
 def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray, np.ndarray]]]]:
-    """Batches sorted by doc and kind (0: a and b about a document, 1: the document) to each batch with its documents' rows and what is about them."""
+    """Batches sorted by doc, row and kind (0: a and b about a document, 1: the document) to each batch with its documents' rows and what is about them."""
     now, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        doc, kind = batch.column("_doc").to_numpy(), batch.column("_kind").to_numpy()
+        doc, row, kind = (batch.column(c).to_numpy() for c in ("_doc", "_row", "_kind"))
         a, b = (c.fill_null(0).to_numpy() for c in (batch.column("_a"), batch.column("_b")))
-        borders, out = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1]), True]), []
+        borders, out = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (kind[1:] != kind[:-1]), True]), []
         for i, j in zip(borders, borders[1:]):
-            if doc[i] != now:
-                now, held = doc[i], []
+            if (doc[i], row[i]) != now:
+                now, held = (doc[i], row[i]), []
             if kind[i] == 0:
                 held.append((a[i:j], b[i:j]))
                 continue
@@ -136,21 +137,25 @@ def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBa
 
 
 def _beside(docs: DataFrame, about: DataFrame, about_columns: list[str]) -> DataFrame:
-    """Documents (with _doc) and narrow rows about them, brought together in sorted partitions."""
-    none, columns = F.lit(None).cast("long"), [c for c in docs.columns if c != "_doc"]
-    rows = [F.col(about_columns[1]).alias("_a"), F.col(about_columns[2]).alias("_b") if len(about_columns) > 2 else none.alias("_b")]
-    left = docs.select("_doc", F.lit(1).alias("_kind"), none.alias("_a"), none.alias("_b"), *[F.col(f"`{c}`") for c in columns])
-    right = about.select(F.col(about_columns[0]).alias("_doc"), F.lit(0).alias("_kind"), *rows,
-                         *[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema if f.name != "_doc"])
-    return left.union(right).repartition("_doc").sortWithinPartitions("_doc", "_kind")
+    """Documents (with _doc and _row) and narrow rows about them, brought together in sorted partitions."""
+    none, columns = F.lit(None).cast("long"), [c for c in docs.columns if c not in ("_doc", "_row")]
+    rows = [F.col(about_columns[2]).alias("_a"), F.col(about_columns[3]).alias("_b") if len(about_columns) > 3 else none.alias("_b")]
+    left = docs.select("_doc", "_row", F.lit(1).alias("_kind"), none.alias("_a"), none.alias("_b"), *[F.col(f"`{c}`") for c in columns])
+    right = about.select(F.col(about_columns[0]).alias("_doc"), F.col(about_columns[1]).alias("_row"), F.lit(0).alias("_kind"), *rows,
+                         *[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema if f.name in columns])
+    return left.union(right).repartition("_doc", "_row").sortWithinPartitions("_doc", "_row", "_kind")
+
+
+def _row_route(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return mixed(as_unsigned(doc) + as_unsigned(row) * MULTIPLIER)
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the marks that are left, by name. A window that occurs earlier in the batch is known to be a repeat, and goes to its document's group."""
     unpress = zstandard.ZstdDecompressor()
     for batch, documents in _with_texts(batches):
-        ids, texts = batch.column("_doc").to_numpy(), batch.column("text")
-        docs, names, checks, places, copies = [], [], [], [], []
+        ids, own, texts = batch.column("_doc").to_numpy(), batch.column("_row").to_numpy(), batch.column("text")
+        docs, rows, names, checks, places, copies = [], [], [], [], [], []
         for i, left, _ in documents:
             if not len(left):
                 continue
@@ -159,37 +164,38 @@ def _send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             if left.min() < 0:
                 start = np.unique(np.r_[np.arange(0, len(x) - WINDOW, WINDOW), len(x) - WINDOW])
-                copies.append((np.full(len(start), ids[i], np.int64), start))
+                copies.append((np.full(len(start), ids[i], np.int64), np.full(len(start), own[i], np.int64), start))
                 continue
             at, _ = marks(x)
             asked = np.zeros(len(x), bool)
             asked[left[left < len(x)]] = True
             start = np.flatnonzero(asked[at])
             docs.append(np.full(len(start), ids[i], np.int64))
+            rows.append(np.full(len(start), own[i], np.int64))
             names.append(mixed(grams(x, WINDOW))[start])
             checks.append(grams(mixed(x), WINDOW)[start] >> np.uint64(32))
             places.append(start.astype(np.int64))
         if copies:
-            doc, start = map(np.concatenate, zip(*copies))
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(mixed(as_unsigned(doc)))), pa.array(doc), pa.array(as_long(start.astype(np.uint64) << np.uint64(32) | _KNOWN))],
-                                             names=["route", "doc", "place"])
+            doc, row, start = map(np.concatenate, zip(*copies))
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(_row_route(doc, row))), pa.array(doc), pa.array(row), pa.array(as_long(start.astype(np.uint64) << np.uint64(32) | _KNOWN))],
+                                             names=["route", "doc", "row", "place"])
         if not docs:
             continue
-        doc, name, check, place = map(np.concatenate, (docs, names, checks, places))
+        doc, row, name, check, place = map(np.concatenate, (docs, rows, names, checks, places))
         order = np.lexsort((place, doc, check, name))
-        doc, name, check, place = doc[order], name[order], check[order], place[order]
+        doc, row, name, check, place = doc[order], row[order], name[order], check[order], place[order]
         same = np.r_[False, (name[1:] == name[:-1]) & (check[1:] == check[:-1])]
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(name))))
         repeat = same & ((doc != doc[head]) | (place != place[head]))
-        route = np.where(repeat, mixed(as_unsigned(doc)), name)
+        route = np.where(repeat, _row_route(doc, row), name)
         low = np.where(repeat, _KNOWN, np.uint64(0)) | (check >> np.uint64(1))
-        yield pa.RecordBatch.from_arrays([pa.array(as_long(route)), pa.array(doc), pa.array(as_long(place.astype(np.uint64) << np.uint64(32) | low))], names=["route", "doc", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(as_long(route)), pa.array(doc), pa.array(row), pa.array(as_long(place.astype(np.uint64) << np.uint64(32) | low))], names=["route", "doc", "row", "place"])
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, start and end of stretches of words to remove: the leaves of inner nodes but each node's first. Neighbours that came by document are joined."""
+    """doc, row, start and end of stretches of words to remove: the leaves of inner nodes but each node's first. Neighbours that came by document are joined."""
     for table in whole_groups(batches, lambda t: t.column("route").to_numpy()):
-        route, doc, packed = (table.column(c).to_numpy() for c in ("route", "doc", "place"))
+        route, doc, row, packed = (table.column(c).to_numpy() for c in ("route", "doc", "row", "place"))
         packed = as_unsigned(packed)
         place, low = (packed >> np.uint64(32)).astype(np.int64), packed & _LOW
         known = low >> np.uint64(31) == 1
@@ -198,27 +204,33 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         repeat = known.copy()
         repeat[order] |= same & ((doc[order] != doc[head]) | (place[order] != place[head]))
-        doc, place = doc[repeat], place[repeat]
+        doc, row, place = doc[repeat], row[repeat], place[repeat]
         if not len(doc):
             continue
         # stretches of what came by document only: which named leaves meet here depends on the number of tasks
         by_name = ~known[repeat]
-        order = np.lexsort((place, by_name, doc))
-        doc, place, by_name = doc[order], place[order], by_name[order]
-        breaks = np.r_[True, by_name[1:] | by_name[:-1] | (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + WINDOW)]
+        order = np.lexsort((place, by_name, row, doc))
+        doc, row, place, by_name = doc[order], row[order], place[order], by_name[order]
+        breaks = np.r_[True, by_name[1:] | by_name[:-1] | (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (place[1:] > place[:-1] + WINDOW)]
         starts = np.flatnonzero(breaks)
         ends = place[np.r_[starts[1:], len(doc)] - 1] + WINDOW
-        yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(place[starts]), pa.array(ends)], names=["doc", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(row[starts]), pa.array(place[starts]), pa.array(ends)], names=["doc", "row", "start", "end"])
+
+
+def row_name(docs: DataFrame) -> F.Column:
+    """Tells rows that share an id apart by their text, the same in every job. Where no two do, it is zero, which costs the shuffles next to nothing."""
+    shared = docs.groupBy(doc_key().alias("doc")).agg(F.count("*").alias("n")).where("n > 1")
+    return F.xxhash64(doc_key(), "text") if shared.limit(1).count() else F.lit(0).cast("long")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc, start, end: stretches of words covered by windows that start earlier too. Stretches of one document may overlap."""
-    own = docs.select(doc_key().alias("_doc"), "text")
-    sent = own.mapInArrow(_send_marks, "route long, doc long, place long").repartition("route").sortWithinPartitions("route")
-    left = sent.mapInArrow(_occur_again, "doc long, place long")
-    pressed = own.mapInArrow(_press, "_doc long, text binary")
-    windows = _beside(pressed, left, ["doc", "place"]).mapInArrow(_send_windows, "route long, doc long, place long")
-    return windows.repartition("route").sortWithinPartitions("route").mapInArrow(_subtrees, "doc long, start long, end long")
+def repeats(docs: DataFrame, row: F.Column) -> DataFrame:
+    """doc, row, start, end: stretches of words covered by windows that start earlier too. Stretches of one document may overlap."""
+    own = docs.select(doc_key().alias("_doc"), row.alias("_row"), "text")
+    sent = own.mapInArrow(_send_marks, "route long, doc long, row long, place long").repartition("route").sortWithinPartitions("route")
+    left = sent.mapInArrow(_occur_again, "doc long, row long, place long")
+    pressed = own.mapInArrow(_press, "_doc long, _row long, text binary")
+    windows = _beside(pressed, left, ["doc", "row", "place"]).mapInArrow(_send_windows, "route long, doc long, row long, place long")
+    return windows.repartition("route").sortWithinPartitions("route").mapInArrow(_subtrees, "doc long, row long, start long, end long")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +251,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append((b" ".join([w for w, g in zip(words, gone) if not g]) if removed else text).decode())
             n_words.append(len(words))
             n_removed.append(removed)
-        out = batch.take(pa.array([i for i, _, _ in documents])).drop_columns(["_doc", "_kind", "_a", "_b"])
+        out = batch.take(pa.array([i for i, _, _ in documents])).drop_columns(["_doc", "_row", "_kind", "_a", "_b"])
         out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
         yield out.append_column("_n_words", pa.array(n_words, pa.int64())).append_column("_n_removed", pa.array(n_removed, pa.int64()))
 
@@ -247,9 +259,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with what is left of `text` (words joined by one space where any were removed; null becomes empty), _n_words before and _n_removed."""
     bounded_batches(docs.sparkSession)
-    found = saved(repeats(docs), "repeats")
+    row = row_name(docs)
+    found = saved(repeats(docs, row), "repeats")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    pressed = docs.select(doc_key().alias("_doc"), "text", *rest).mapInArrow(_press, f"_doc long, text binary, {fields}")
-    done = _beside(pressed, found, ["doc", "start", "end"]).mapInArrow(_cut, f"text string, {fields}, _n_words long, _n_removed long")
+    pressed = docs.select(doc_key().alias("_doc"), row.alias("_row"), "text", *rest).mapInArrow(_press, f"_doc long, _row long, text binary, {fields}")
+    done = _beside(pressed, found, ["doc", "row", "start", "end"]).mapInArrow(_cut, f"text string, {fields}, _n_words long, _n_removed long")
     return done.select(*[F.col(f"`{c}`") for c in docs.columns], "_n_words", "_n_removed")

@@ -376,3 +376,25 @@ def test_html_without_end_tags():
     inner = "<article><ul><li>" + text + "<ul class=share><li>Share<li>More</ul><li>" + text + "</ul></article>"
     assert html.main_text(inner) == f"{text} {text}"
     assert html.main_text(f"<article><p>{text}</p><template><article>Not shown</article></template><svg><title>t</title><text>None</text></svg></article>") == text
+
+
+def test_rows_with_one_id_are_edited_by_themselves(spark):
+    pick = random.Random(8)
+    text = lambda n: " ".join(f"w{pick.randrange(10**6)}" for _ in range(n))
+    a, b, c = text(90), text(30), text(45)
+    rows = [(1, a), (5, a), (5, text(60)), (5, f"{b} {text(50)}"), (5, f"{text(40)} {b}"), (5, f"{b} {text(25)}"), (7, c), (7, c), (7, c.replace(" ", "  ", 1)), (9, f"{c} {text(20)}"),
+            (None, text(70)), (None, f"{b} {text(50)}"), (None, f"{text(22)} {b}"), (None, f"{b} {b} {text(10)}"), (None, None), (8, a)]
+    docs = sorted(((-1 if i is None else i, (t or "").encode().split()) for i, t in rows), key=lambda d: d[0])
+    starts: dict = {}
+    for i, words in docs:
+        for k in range(len(words) - substrings.WINDOW + 1):
+            starts.setdefault(tuple(words[k:k + substrings.WINDOW]), set()).add((i, k))
+    want: Counter = Counter()
+    for i, words in docs:
+        again = [k for k in range(len(words) - substrings.WINDOW + 1) if min(starts[tuple(words[k:k + substrings.WINDOW])]) < (i, k)]
+        gone = {k + j for k in again for j in range(substrings.WINDOW)}
+        want[(i, len(words), len(gone), b" ".join(w for k, w in enumerate(words) if k not in gone))] += 1
+    for parts in (1, 6):
+        done = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert Counter((-1 if r.doc_id is None else r.doc_id, r._n_words, r._n_removed, " ".join(r.text.split()).encode()) for r in done) == want
+    assert sum(r[2] for r in want) > 200
