@@ -36,15 +36,24 @@ def _properties(text: Column) -> Column:
         F.create_map().cast("map<string,string>"))
 
 
+def _pieces(value: Column) -> Column:
+    """A header value without comments, cut at semicolons outside quotes."""
+    clean = F.when(value.contains("("), F.regexp_replace(F.regexp_replace(value, COMMENT, " "), COMMENT, " ")) \
+        .otherwise(value)
+    return F.when(clean.contains('"'), F.regexp_extract_all(clean, F.lit(PIECE), F.lit(0))) \
+        .otherwise(F.split(clean, ";"))
+
+
+def _server_of(pieces: Column) -> Column:
+    return F.regexp_replace(strip(F.coalesce(F.get(pieces, F.lit(0)), F.lit(""))), r"\s+\d+$", "")
+
+
 def parse_header_value(value: Column) -> Column:
     """One ``Authentication-Results`` value: server id and its results in order.
 
     A version number after the server id is dropped; any other trailing text stays part of the
     id, which keeps such a header untrusted.
     """
-    clean = F.when(value.contains("("), F.regexp_replace(F.regexp_replace(value, COMMENT, " "), COMMENT, " ")) \
-        .otherwise(value)
-
     def result(part: Column) -> Column:
         head = part["head"]
         name = F.substring_index(F.substring_index(head, "=", 1), "/", 1)  # a method version is dropped
@@ -54,14 +63,18 @@ def parse_header_value(value: Column) -> Column:
             _properties(F.substring(part["piece"], F.length(head) + 1, F.length(part["piece"]))).alias("properties"))
 
     def header_of(pieces: Column) -> Column:
-        server = F.regexp_replace(strip(F.coalesce(F.get(pieces, F.lit(0)), F.lit(""))), r"\s+\d+$", "")
+        server = _server_of(pieces)
         parts = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))),
                             lambda p: F.struct(p.alias("piece"), F.regexp_extract(p, METHOD, 0).alias("head")))
         methods = F.filter(parts, lambda p: p["head"] != "")
         return F.struct(server.alias("authserv_id"), F.transform(methods, result).alias("results"))
-    pieces = F.when(clean.contains('"'), F.regexp_extract_all(clean, F.lit(PIECE), F.lit(0))) \
-        .otherwise(F.split(clean, ";"))
-    return let(pieces, header_of)
+    return let(_pieces(value), header_of)
+
+
+def named_servers(headers: Column) -> Column:
+    """Distinct server ids of a message's headers, lower case, sorted."""
+    values = F.coalesce(F.try_element_at(headers, F.lit("authentication-results")), F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.transform(values, lambda v: F.lower(_server_of(_pieces(v))))))
 
 
 def parse_auth_results(headers: Column, settings: Settings) -> Column:
@@ -79,7 +92,7 @@ def parse_auth_results(headers: Column, settings: Settings) -> Column:
             F.lower(dkim_domain(r["properties"])).alias("signing_domain"))
     return F.transform(F.transform(values, parse_header_value), lambda p, i: F.struct(
         i.alias("ar_pos"), p["authserv_id"].alias("authserv_id"),
-        settings.is_trusted(p["authserv_id"]).alias("trusted"),
+        settings.header_trust(p["authserv_id"]).alias("trusted"),
         F.transform(p["results"], domains).alias("results")))
 
 

@@ -1,5 +1,7 @@
 """Facts of every message in one narrow pass: no join and no shuffle.
 
+Facts come in groups; a job that names the groups it reads computes no others.
+
 All hosts of a message are collected into one small array and resolved together, so the
 suffix rules appear once in the plan however many headers a message has.
 """
@@ -20,7 +22,7 @@ from headrisk.operators import auth
 from headrisk.settings import Settings
 
 MESSAGE_COLUMNS = ["msg_id", "account_id", "folder_id", "folder_name", "folder_path", "folder_type",
-                   "junk", "sent_at", "received_at", "subject"]
+                   "junk", "sent_at", "received_at", "subject", "params"]
 
 
 def lower_header_names(headers: Column) -> Column:
@@ -66,29 +68,47 @@ def mailbox_provider(host: Column) -> Column:
     return F.get(F.filter(hits, lambda p: p.isNotNull()), F.lit(0))
 
 
+#: Host of a display name that is an address.
+EMAIL_HOST = "substring(name_email, instr(name_email, '@') + 1)"
+
+
 def _parts(host: str) -> Column:
     return F.expr(f"try_element_at(parts, {host})")
 
 
-def with_facts(messages: DataFrame, settings: Settings, rules: SuffixRules, brands: bool = True) -> DataFrame:
+#: Groups of facts, with the groups they build on.
+GROUPS = {"headers": (), "alignment": (), "message_id": ("alignment",), "lexical": (), "names": (), "brands": ("names",)}
+ALL_GROUPS = tuple(GROUPS)
+
+
+def with_facts(messages: DataFrame, settings: Settings, rules: SuffixRules, groups: tuple[str, ...] = ALL_GROUPS) -> DataFrame:
     """Add sender, authentication, header, Message-ID, lexical and display-name facts to messages.
 
-    ``brands=False`` leaves out brand inference, the only step that leaves the JVM.
+    Sender and authentication results are always there; the rest only if its group is among ``groups``:
+    ``headers`` (header_facts), ``alignment`` (alignment, third_party, exact, foreign), ``message_id``
+    (message_id_facts), ``lexical`` (random_local, random_label), ``names`` (name_facts) and ``brands``
+    (the brand fields of name_facts, else null: the only step that leaves the JVM).
     """
+    unknown = set(groups) - GROUPS.keys()
+    if unknown:
+        raise ValueError(f"unknown groups of facts: {sorted(unknown)}")
+    wanted = {*groups, *(need for g in groups for need in GROUPS[g])}
     kept = [c for c in MESSAGE_COLUMNS if c in messages.columns]
     h = F.col("headers")
     from_h = A.header(h, "from")
+    hosts_of = ["from"] + ["sender", "reply_to", "return_path"] * ("headers" in wanted) + ["message_id"] * ("message_id" in wanted)
     own = messages.select(
         *kept,
         from_h.alias("from_header"),
         A.mailbox_address(from_h).alias("from_address"),
         A.strip(A.header(h, "message-id")).alias("rfc_message_id"),
         A.message_id_domain(A.header(h, "message-id")).alias("message_id_domain"),
-        A.mailbox_address(A.header(h, "sender")).alias("sender_full"),
-        A.mailbox_address(A.header(h, "reply-to")).alias("reply_to_full"),
-        A.mailbox_address(A.header(h, "return-path")).alias("return_path_full"),
-        F.left(A.filled(A.strip(A.header(h, "list-id"))), F.lit(HEADER_TEXT_MAX)).alias("list_id"),
-        F.left(A.filled(A.strip(A.header(h, "list-unsubscribe"))), F.lit(HEADER_TEXT_MAX)).alias("list_unsubscribe"),
+        *([A.mailbox_address(A.header(h, "sender")).alias("sender_full"),
+           A.mailbox_address(A.header(h, "reply-to")).alias("reply_to_full"),
+           A.mailbox_address(A.header(h, "return-path")).alias("return_path_full"),
+           F.left(A.filled(A.strip(A.header(h, "list-id"))), F.lit(HEADER_TEXT_MAX)).alias("list_id"),
+           F.left(A.filled(A.strip(A.header(h, "list-unsubscribe"))), F.lit(HEADER_TEXT_MAX)).alias("list_unsubscribe")]
+          if "headers" in wanted else []),
         N.display_name(from_h).alias("display_name"),
         auth.parse_auth_results(h, settings).alias("auth"),
     )
@@ -96,25 +116,23 @@ def with_facts(messages: DataFrame, settings: Settings, rules: SuffixRules, bran
         "*",
         *[c.alias(n) for n, c in sender_columns(F.col("from_address")).items()],
         A.parse_from(F.col("from_header"), F.col("from_address")).alias("from_parse"),
-        *[F.left(A.after_at(F.col(f"{n}_full")), F.lit(HEADER_TEXT_MAX)).alias(f"{n}_domain")
-          for n in ("sender", "reply_to", "return_path")],
-        F.when(N.is_email_shaped(F.col("display_name")), F.lower(A.strip(F.col("display_name")))).alias("name_email"),
+        *[A.after_at(F.col(f"{n}_full")).alias(f"{n}_domain") for n in hosts_of if n not in ("from", "message_id")],
+        *([F.when(N.is_email_shaped(F.col("display_name")), F.lower(A.strip(F.col("display_name")))).alias("name_email")]
+          if "names" in wanted else []),
     )
-    hosts = named.select("*", F.expr("""
-        array_distinct(array_compact(concat(
-          array(from_domain, sender_domain, reply_to_domain, return_path_domain, message_id_domain,
-                substring(name_email, instr(name_email, '@') + 1)),
-          flatten(transform(auth, a -> flatten(transform(a.results, r ->
-            array(r.mail_from_domain, r.helo_domain, r.header_from_domain, r.signing_domain))))))))
-        """).alias("hosts"))
+    results_hosts = """flatten(transform(auth, a -> flatten(transform(a.results, r ->
+            array(r.mail_from_domain, r.helo_domain, r.header_from_domain, r.signing_domain)))))"""
+    single = [f"{n}_domain" for n in hosts_of] + [f"{EMAIL_HOST}"] * ("names" in wanted)
+    needed = f"array({', '.join(single)})" + (f", {results_hosts}" if "alignment" in wanted else "")
+    hosts = named.select("*", F.expr(f"array_distinct(array_compact(concat({needed})))").alias("hosts"))
     resolved = computed(hosts, F.map_from_arrays(F.col("hosts"), domain_parts_of("hosts", rules)).alias("parts")).drop("hosts")
     looked_up = computed(
         resolved,
         _parts("from_domain").alias("from_parts"),
-        _parts("message_id_domain").alias("message_id_parts"),
-        _parts("substring(name_email, instr(name_email, '@') + 1)").alias("name_email_parts"),
-        header_facts().alias("header_facts"),
-        F.expr("""
+        *([_parts("message_id_domain").alias("message_id_parts")] if "message_id" in wanted else []),
+        *([_parts(EMAIL_HOST).alias("name_email_parts")] if "names" in wanted else []),
+        *([header_facts().alias("header_facts")] if "headers" in wanted else []),
+        *([F.expr("""
           flatten(transform(filter(auth, a -> a.trusted), a -> transform(a.results, r -> named_struct(
             'ar_pos', a.ar_pos, 'res_pos', r.res_pos, 'authserv_id', a.authserv_id,
             'method', r.method, 'result', r.result,
@@ -127,23 +145,25 @@ def with_facts(messages: DataFrame, settings: Settings, rules: SuffixRules, bran
             'signing_domain', r.signing_domain,
             'signing_reg', try_element_at(parts, r.signing_domain).registrable_domain,
             'signing_depth', try_element_at(parts, r.signing_domain).subdomain_depth))))
-          """).alias("results"),
+          """).alias("results")] if "alignment" in wanted else []),
     ).drop("parts")
-    aligned = computed(
-        looked_up,
-        auth.pass_alignment().alias("alignment"), auth.third_party_auth().alias("third_party"),
-        auth.exact_alignment().alias("exact"), auth.foreign_authentication().alias("foreign"),
-        F.coalesce(T.is_random_local(F.col("from_local")), F.lit(False)).alias("random_local"),
-        T.first_random_label(F.col("from_domain")).alias("random_label"))
-    facts = aligned.select(
-        *kept, "from_header", "from_address", "from_domain", "from_local", "sender_address", "from_parse",
-        "rfc_message_id", "message_id_domain", "display_name", "auth", "results", "from_parts",
-        "header_facts", "message_id_parts", "name_email", "name_email_parts", "alignment", "third_party", "exact",
-        "foreign", "random_local", "random_label")
+    judgements = []
+    if "alignment" in wanted:
+        judgements += [auth.pass_alignment().alias("alignment"), auth.third_party_auth().alias("third_party"),
+                       auth.exact_alignment().alias("exact"), auth.foreign_authentication().alias("foreign")]
+    if "lexical" in wanted:
+        judgements += [F.coalesce(T.is_random_local(F.col("from_local")), F.lit(False)).alias("random_local"),
+                       T.first_random_label(F.col("from_domain")).alias("random_label")]
+    aligned = computed(looked_up, *judgements) if judgements else looked_up
+    header_scratch = [f"{n}_{x}" for n in ("sender", "reply_to", "return_path") for x in ("full", "domain")] + ["list_id", "list_unsubscribe"]
+    facts = aligned.drop(*header_scratch)
+    if "message_id" in wanted:
+        facts = facts.withColumn("message_id_facts", message_id_facts())
+    if "names" not in wanted:
+        return facts
     core = N.normalise(domain_core(F.col("from_parts")))
     with_names = facts.select(
-        *facts.columns,
-        message_id_facts().alias("message_id_facts"),
+        "*",
         N.normalise(F.col("display_name")).alias("name_normalised"),
         F.when(F.col("display_name").isNotNull(), N.words(F.col("display_name"))).alias("name_words"),
         N.has_non_latin(F.col("display_name")).alias("name_non_latin"),
@@ -157,7 +177,7 @@ def with_facts(messages: DataFrame, settings: Settings, rules: SuffixRules, bran
          .when((F.length("domain_core") < 3) | (F.length("name_normalised") < 3), "short_normalized"))
         .alias("name_reason"),
         N.is_spaced(F.col("name_words")).alias("name_spaced"),
-        (infer_brand(F.when(~F.col("name_non_latin"), F.col("name_normalised"))) if brands
+        (infer_brand(F.when(~F.col("name_non_latin"), F.col("name_normalised"))) if "brands" in wanted
          else F.lit(None).cast(f"struct<{BRAND_DDL}>")).alias("brand"))
     scratch = {"name_normalised", "name_words", "name_non_latin", "domain_core", "name_reason", "name_spaced",
                "brand", "name_email", "name_email_parts"}
@@ -170,7 +190,7 @@ def header_facts() -> Column:
         from_reg = F.expr("try_element_at(parts, from_domain).registrable_domain")
         return [
             F.left(F.col(f"{name}_full"), F.lit(HEADER_TEXT_MAX)).alias(f"{name}_header"),
-            F.col(f"{name}_domain"),
+            F.left(F.col(f"{name}_domain"), F.lit(HEADER_TEXT_MAX)).alias(f"{name}_domain"),
             reg.alias(f"{name}_registrable_domain"),
             F.expr(f"try_element_at(parts, {name}_domain).subdomain_depth").alias(f"{name}_subdomain_depth"),
             (reg == from_reg).alias(f"{name}_domain_matches_from_domain"),
@@ -213,7 +233,7 @@ def display_name_facts() -> Column:
         F.col("brand.brand_rank").alias("brand_inference_candidate_rank"),
         F.col("name_email").isNotNull().alias("display_name_looks_like_email"),
         F.col("name_email").alias("display_name_email_address"),
-        F.expr("substring(name_email, instr(name_email, '@') + 1)").alias("display_name_email_domain"),
+        F.expr(EMAIL_HOST).alias("display_name_email_domain"),
         (F.col("name_email") == F.col("from_parse.mailbox_address")).alias("display_name_email_matches_from_address"),
         (email_reg == from_reg).alias("display_name_email_domain_matches_from_domain"))
 

@@ -6,13 +6,18 @@ registrable_domain, tld, subdomain_depth, left_label_entropy), ``display_name``
 ``message_id`` (domain, registrable_domain, matches_from_domain), ``headers`` (has_list_headers).
 Helpers: ``has(key)``, ``scoreOf(key)``, ``min``, ``max``, ``clamp(v, lo, hi)``,
 ``nameContains(text)`` and, for observing only, ``match(text, pattern[, 'i'])``.
+
+All numbers are doubles: literals, context fields and the helpers that count, so no arithmetic can
+overflow. A formula is analysed against an empty table of the context, and its analysed tree may hold
+no subquery and no cast that the formula does not ask for: text is never read as a number. What cannot
+be used gets a diagnostic; the other formulas still score.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +30,14 @@ DIAGNOSTIC_DDL = ("struct<id:string,name:string,mode:string,value:double,error:s
                   "would_change_score:double,would_change_verdict:string>")
 HELPERS = {"has": "map_contains_key(reasons, ", "scoreOf": "headrisk_score_of(reasons, ",
            "min": "least(", "max": "greatest(", "clamp": "headrisk_clamp(",
-           "nameContains": "headrisk_name_contains(display_name.normalized, ", "match": "headrisk_match("}
+           "nameContains": "headrisk_name_contains(display_name.normalized, ", "match": "headrisk_match(",
+           "length": "headrisk_length(", "floor": "headrisk_floor(", "ceil": "headrisk_ceil("}
+CONTEXT_DDL = ("base_score double, verdict string, from_ struct<address:string,local_part:string,domain:string,"
+               "registrable_domain:string,tld:string,subdomain_depth:double,left_label_entropy:double>, "
+               "display_name struct<raw:string,normalized:string>, auth struct<dmarc:string,spf:string,dkim:string>, "
+               "alignment struct<spf_aligned:boolean,any_dkim_aligned:boolean,any_auth_aligned:boolean>, "
+               "message_id struct<domain:string,registrable_domain:string,matches_from_domain:boolean>, "
+               "headers struct<has_list_headers:boolean>, reasons map<string,double>")
 ALLOWED = {*HELPERS, "coalesce", "nullif", "ifnull", "if", "abs", "floor", "ceil", "round", "sqrt", "least",
            "greatest", "length", "lower", "upper", "trim", "contains", "startswith", "endswith",
            "try_divide", "try_mod", "try_cast", "isnull", "isnotnull"}
@@ -38,8 +50,13 @@ _SQL_FUNCTIONS = [
     "RETURN contains(coalesce(n, ''), regexp_replace(lower(coalesce(x, '')), '[^a-z0-9]', ''))",
     "headrisk_match(s STRING, p STRING, f STRING DEFAULT '') RETURNS BOOLEAN "
     "RETURN left(coalesce(s, ''), 512) RLIKE concat(IF(f = 'i', '(?i)', ''), p)",
+    "headrisk_length(s STRING) RETURNS DOUBLE RETURN double(length(s))",
+    "headrisk_floor(v DOUBLE) RETURNS DOUBLE RETURN double(floor(v))",
+    "headrisk_ceil(v DOUBLE) RETURNS DOUBLE RETURN double(ceil(v))",
 ]
 NOT_FINITE = "Formula must return a finite number"
+OVER_LIMIT = f"not evaluated: only the first {C.FORMULA_MAX_COUNT} formulas are"
+_NUMBER = re.compile(r"(?<![\w.])(\d+(?:\.\d*)?(?:[eE][+-]?\d+)?)(?![\w.])")
 
 
 class FormulaError(ValueError):
@@ -57,8 +74,11 @@ def check_formula(text: str, mode: str) -> None:
         raise FormulaError("only a single expression is allowed")
     if re.search(r"[/%]", code):
         raise FormulaError("use try_divide or try_mod")
-    if re.search(r"\b(select|from|cast|table|lateral|exists|over|with)\b", code, re.I):
+    if re.search(r"\(\s*(select|table|values|from|with)\s", code, re.I):
         raise FormulaError("only expressions over the formula context are allowed")
+    for kind in re.findall(r"\btry_cast\s*\(.*?\bas\s+(\w+)", code, re.I | re.S):
+        if kind.lower() not in ("double", "string", "boolean"):
+            raise FormulaError(f"try_cast to double, string or boolean only, not '{kind}'")
     for name in re.findall(r"([A-Za-z_][\w.]*)\s*\(", code):
         if name not in ALLOWED and name.lower() not in KEYWORDS:
             raise FormulaError(f"function not allowed: '{name}'")
@@ -79,11 +99,15 @@ def check_formula(text: str, mode: str) -> None:
 
 
 def to_sql(text: str) -> str:
-    """Replace helper names outside literals by Spark expressions."""
+    """Outside literals, helper names become Spark expressions and numbers become doubles (places of ``round`` stay whole)."""
     pieces = re.split(r"('(?:[^'\\]|\\.)*')", text)
     names = "|".join(HELPERS)
-    return "".join(p if p.startswith("'") else
-                   re.sub(rf"\b({names})\s*\(", lambda m: HELPERS[m.group(1)], p) for p in pieces)
+
+    def code(piece: str) -> str:
+        piece = re.sub(rf"\b({names})\s*\(", lambda m: HELPERS[m.group(1)], piece)
+        piece = _NUMBER.sub(r"\1D", piece)
+        return re.sub(r"(\bround\s*\([^()]*(?:\([^()]*\)[^()]*)*,\s*-?\d+)D(\s*\))", r"\1\2", piece)
+    return "".join(p if p.startswith("'") else code(p) for p in pieces)
 
 
 def register_helpers(spark: SparkSession) -> None:
@@ -112,7 +136,7 @@ def formula_context(scored: DataFrame) -> DataFrame:
             F.struct(F.col("sender_address").alias("address"), F.col("from_local").alias("local_part"),
                      F.col("from_domain").alias("domain"), parts["registrable_domain"].alias("registrable_domain"),
                      parts["public_suffix"].alias("tld"),
-                     F.coalesce(parts["subdomain_depth"], F.lit(0)).alias("subdomain_depth"),
+                     F.coalesce(parts["subdomain_depth"], F.lit(0)).cast("double").alias("subdomain_depth"),
                      entropy(F.substring_index("from_domain", ".", 1)).alias("left_label_entropy")).alias("from_"),
             F.struct(F.col("name_facts.display_name_raw").alias("raw"),
                      F.col("name_facts.display_name_normalized").alias("normalized")).alias("display_name"),
@@ -128,14 +152,55 @@ def formula_context(scored: DataFrame) -> DataFrame:
         ).alias("ctx"))
 
 
+def empty_context(spark: SparkSession) -> DataFrame:
+    """The context without rows: what formulas are analysed against."""
+    return spark.createDataFrame([], CONTEXT_DDL)
+
+
+def _family(kind: str) -> str:
+    return kind if kind in ("string", "boolean", "void") else "number"
+
+
+def check_tree(df: DataFrame) -> None:
+    """Refuse subqueries and casts between text, numbers and truth values that were not asked for."""
+    plans = [df._jdf.queryExecution().analyzed()]
+    while plans:
+        plan = plans.pop()
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        nodes = [plan.expressions().apply(i) for i in range(plan.expressions().size())]
+        while nodes:
+            node = nodes.pop()
+            name = node.getClass().getSimpleName()
+            if name.endswith("Subquery") or name in ("Exists", "ListQuery"):
+                raise FormulaError("only expressions over the formula context are allowed")
+            if name == "Cast" and node.evalMode().toString() != "TRY":
+                source, target = _family(node.child().dataType().typeName()), _family(node.dataType().typeName())
+                if source not in (target, "void"):
+                    raise FormulaError(f"types do not match: {source} where {target} is needed; use try_cast")
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+
+
+def check_patterns(spark: SparkSession, text: str) -> None:
+    """Patterns of ``match`` have to be ones that the executors accept."""
+    for literal in re.findall(r"\bmatch\s*\([^,()]+,\s*('(?:[^'\\]|\\.)*')", text):
+        try:
+            pattern = spark.sql(f"SELECT {literal} AS p").first()["p"]
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        except PySparkException as e:
+            raise FormulaError(f"match(): {str(e).splitlines()[0][:200]}") from None
+
+
 def compile_formula(context: DataFrame, text: str, mode: str) -> Column:
-    """Formula as a clamped column over ``context``; raises FormulaError when it cannot be used."""
+    """Formula as a clamped column over the context; raises FormulaError when it cannot be used."""
     check_formula(text, mode)
-    column = F.expr(to_sql(text))
+    check_patterns(context.sparkSession, text)
     try:
-        result = context.select(column.alias("v")).schema["v"].dataType
+        column = F.expr(to_sql(text))
+        checked = context.select(column.alias("v"))
+        result = checked.schema["v"].dataType
     except (AnalysisException, ParseException) as e:
         raise FormulaError(str(e).split("\n")[0][:200]) from None
+    check_tree(checked)
     if not isinstance(result, T.NumericType):
         raise FormulaError(NOT_FINITE)
     value = column.cast("double")
@@ -147,18 +212,18 @@ def compile_formula(context: DataFrame, text: str, mode: str) -> Column:
 def apply_formulas(scored: DataFrame, settings: Settings) -> DataFrame:
     """Evaluate the first twenty formulas and add what they contribute.
 
-    Every formula reads the score before any formula. A formula that fails leaves a diagnostic
-    and changes nothing.
+    Every formula reads the score before any formula. A formula that fails, or comes after the
+    twentieth, leaves a diagnostic and changes nothing.
     """
     from headrisk.operators.scoring import classify
     empty = F.array().cast(f"array<{DIAGNOSTIC_DDL}>")
-    active = [(i, n or i, e, m or "observe") for i, n, e, m in settings.formulas[:C.FORMULA_MAX_COUNT]
-              if m != "disabled" and i and e]
-    if not active:
+    usable = lambda formulas: [(i, n or i, e, m or "observe") for i, n, e, m in formulas if m != "disabled" and i and e]
+    active, late = usable(settings.formulas[:C.FORMULA_MAX_COUNT]), usable(settings.formulas[C.FORMULA_MAX_COUNT:])
+    if not active and not late:
         return scored.withColumn("formula_diagnostics", empty)
     register_helpers(scored.sparkSession)
     with_ctx = formula_context(scored)
-    context = with_ctx.select("ctx.*")
+    context = empty_context(scored.sparkSession)
     values: dict[str, Column] = {}
     errors: dict[str, str] = {}
     for pos, (_id, _name, text, mode) in enumerate(active):
@@ -186,6 +251,10 @@ def apply_formulas(scored: DataFrame, settings: Settings) -> DataFrame:
             added.append(F.when(ok, F.struct(
                 F.lit("L5").alias("layer"), F.lit(f"custom.formula.{fid}").alias("key"), F.lit(name).alias("label"),
                 value.alias("delta"), F.create_map(F.lit("formula_id"), F.lit(fid)).alias("ctx"))))
+    null = F.lit(None)
+    diagnostics += [F.struct(F.lit(fid).alias("id"), F.lit(name).alias("name"), F.lit(mode).alias("mode"), null.cast("double").alias("value"),
+                             F.lit(OVER_LIMIT).alias("error"), F.lit(False).alias("applied"), null.cast("double").alias("would_change_score"),
+                             null.cast("string").alias("would_change_verdict")) for fid, name, _text, mode in late]
     out = back.withColumn("formula_diagnostics", F.array(*diagnostics))
     if added:
         base = F.size("score_reasons")

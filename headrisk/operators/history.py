@@ -9,11 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headrisk import constants as C
-from headrisk.functions.address import message_id_variants
+from headrisk.functions.address import header, message_id_variants, strip
+from headrisk.operators.auth import parse_auth_results
 from headrisk.operators.scoring import classify
 from headrisk.settings import Settings
 
 
+def log_heads(messages: DataFrame, assessed_at: Column, settings: Settings) -> DataFrame:
+    """What a log row knows of a message before any score: for jobs that ask who, when and by which servers."""
+    own = messages.select("msg_id", "account_id", "subject", assessed_at.alias("assessed_at"),
+                          strip(header(F.col("headers"), "message-id")).alias("rfc_message_id"),
+                          parse_auth_results(F.col("headers"), settings).alias("auth"))
+    return own.select("msg_id", "account_id", "subject", "assessed_at", "rfc_message_id", logged_servers(F.col("auth")).alias("s")).select(
+        "msg_id", "account_id", "subject", "assessed_at", "rfc_message_id", F.col("s.ids").alias("authserv_ids"),
+        F.col("s.truncated").alias("authserv_ids_truncated"))
+
+
 def log_entries(assessed: DataFrame, assessed_at: Column, settings: Settings) -> DataFrame:
     """Log rows of fully assessed messages (``scoring.assess``)."""
     servers = logged_servers(F.col("auth"))

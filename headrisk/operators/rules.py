@@ -241,35 +241,20 @@ def user_rules(settings: Settings) -> Column:
     """Layer 5 before formulas: whitelist, address book, then every matching sender rule."""
     sender, domain = F.col("sender_address"), F.col("from_domain")
     found = []
-    entries = [(v, t) for v, t in settings.whitelist if t == "exact"]
-    if entries:
-        hit = F.try_element_at(_first_entries(entries), sender)
+    hit, hits = settings.whitelist_hit(sender), settings.sender_hits(domain)
+    if hit is not None:
         found.append(F.array_compact(F.array(when(hit.isNotNull(), reason(
             "L5", "whitelist.manual", settings.whitelist_score,
             ctx={"matched_value": hit, "match_type": F.lit("exact")})))))
     if settings.address_book_enabled:
         found.append(F.array_compact(F.array(when(F.col("in_address_book"), reason(
             "L5", "whitelist.addressBook", settings.address_book_score)))))
-    if settings.sender_rules:
-        rules = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(t).alias("match_type"),
-                                   F.lit(float(score)).alias("score"))
-                          for d, t, score in settings.sender_rules if t in ("exact", "suffix")])
-        hits = F.filter(rules, lambda r: F.coalesce(
-            (domain == F.lower(r["domain"]))
-            | ((r["match_type"] == "suffix") & domain.endswith(F.concat(F.lit("."), F.lower(r["domain"])))),
-            F.lit(False)))
+    if hits is not None:
         found.append(F.transform(hits, lambda r: reason(
             "L5", "sender.rule", r["score"], ctx={"domain": r["domain"], "match_type": r["match_type"]})))
     return F.concat(*found) if found else F.array().cast(f"array<{REASON_DDL}>")
 
 
-def _first_entries(entries) -> Column:
-    first: dict = {}
-    for value, _t in entries:
-        first.setdefault(value.lower(), value)
-    return F.create_map(*[F.lit(x) for kv in first.items() for x in kv])
-
-
 def all_reasons(settings: Settings, need_trusted: bool = False) -> Column:
     """Reasons of all layers in evaluation order, before custom formulas."""
     fixed = F.array_compact(F.array(

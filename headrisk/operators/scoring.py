@@ -11,7 +11,8 @@ from headrisk.functions.domains import SuffixRules
 from headrisk.operators import formulas as FX
 from headrisk.operators import rules as R
 from headrisk.operators.facts import with_facts
-from headrisk.settings import Settings
+from headrisk.operators.lookups import with_sender_hits, with_trusted_ids, with_whitelist_hit
+from headrisk.settings import Settings, is_long
 
 
 def classify(score: Column) -> Column:
@@ -19,11 +20,11 @@ def classify(score: Column) -> Column:
             .when(score >= C.REVIEW_THRESHOLD, "review").otherwise("normal"))
 
 
-def total_score(reasons: Column, cap: float) -> Column:
+def total_score(reasons: Column, cap: float | Column) -> Column:
     """Sum of deltas, with the heuristic layer limited to ``cap``."""
     def add(pick) -> Column:
         return F.aggregate(F.filter(reasons, pick), F.lit(0.0), lambda total, r: total + r["delta"])
-    return add(lambda r: r["layer"] != "L3") + F.least(add(lambda r: r["layer"] == "L3"), F.lit(float(cap)))
+    return add(lambda r: r["layer"] != "L3") + F.least(add(lambda r: r["layer"] == "L3"), F.lit(cap).cast("double"))
 
 
 def with_lookups(facts: DataFrame, settings: Settings, contacts: DataFrame | None,
@@ -40,12 +41,22 @@ def with_lookups(facts: DataFrame, settings: Settings, contacts: DataFrame | Non
                  .withColumn("in_address_book", F.coalesce("_known", F.lit(False))).drop("_address", "_known"))
     else:
         facts = facts.withColumn("in_address_book", F.lit(False))
+    if is_long(settings.whitelist):
+        facts = with_whitelist_hit(facts, listed(facts, settings.whitelist, "value string, match_type string"))
+    if is_long(settings.sender_rules):
+        facts = with_sender_hits(facts, listed(facts, settings.sender_rules, "domain string, match_type string, score double"))
     if account_domains is not None:
         owners = account_domains.select(F.col("account_id").alias("_account"), "account_domains")
         return facts.join(owners, F.col("account_id") == F.col("_account"), "left").drop("_account")
     return facts.withColumn("account_domains", F.lit(None).cast("array<string>"))
 
 
+def listed(df: DataFrame, entries: tuple, columns: str) -> DataFrame:
+    """A settings list as a table with the place of each entry."""
+    rows = [(i, *(float(v) if isinstance(v, int) else v for v in e)) for i, e in enumerate(entries)]
+    return df.sparkSession.createDataFrame(rows, f"pos int, {columns}")
+
+
 def score_facts(facts: DataFrame, settings: Settings, need_trusted: bool = False) -> DataFrame:
     """Reasons, score and class of every facts row (after ``with_lookups``)."""
     reasons = F.transform(R.all_reasons(settings, need_trusted), lambda r, i: F.struct(
@@ -60,6 +71,8 @@ def score_facts(facts: DataFrame, settings: Settings, need_trusted: bool = False
 def assess(messages: DataFrame, settings: Settings, rules: SuffixRules, contacts: DataFrame | None = None,
            account_domains: DataFrame | None = None, need_trusted: bool = False) -> DataFrame:
     """Facts and assessment of every message, all fact columns kept."""
+    if is_long(settings.trusted_servers):
+        messages = with_trusted_ids(messages, listed(messages, tuple(settings.valid_trusted()), "value string, match_type string"))
     facts = with_facts(messages, settings, rules)
     return score_facts(with_lookups(facts, settings, contacts, account_domains), settings, need_trusted)
 

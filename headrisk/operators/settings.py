@@ -52,10 +52,10 @@ def migrate_weights(stored: DataFrame, versions: DataFrame) -> DataFrame:
     spark = stored.sparkSession
     groups = stored.groupBy("tenant", "group").agg(
         F.sort_array(F.collect_list(F.struct("key", "weight"))).alias("entries"))
-    profiles = earlier_profiles(spark).select(F.col("version").alias("_version"), "group", F.col("entries").alias("_entries"))
+    profiles = earlier_profiles(spark).select(F.col("version").alias("_version"), F.col("group").alias("_group"), F.col("entries").alias("_entries"))
     old = (groups.join(versions, "tenant", "left")
            .join(F.broadcast(profiles),  # a dozen profiles
-                 (groups["group"] == profiles["group"]) & (F.col("entries") == F.col("_entries"))
+                 (F.col("group") == F.col("_group")) & (F.col("entries") == F.col("_entries"))
                  & (F.col("version").isNull() | (F.col("version") == F.col("_version"))), "left_semi")
            .where(F.coalesce("version", F.lit("")) != C.SCORES_VERSION).select("tenant", "group"))
     fresh = old.join(F.broadcast(default_weights(spark)), "group").select(
@@ -74,6 +74,12 @@ def read_formulas(formulas: DataFrame) -> DataFrame:
         F.when(F.col("mode").isin("observe", "add", "disabled"), F.col("mode")).otherwise("observe").alias("mode"))
 
 
+def formulas_over_limit(formulas: DataFrame) -> DataFrame:
+    """The formulas that no run evaluates because their tenant has twenty before them."""
+    return formulas.where(F.col("pos") >= C.FORMULA_MAX_COUNT).select(
+        "tenant", "pos", F.left(F.coalesce("id", F.lit("")), F.lit(C.FORMULA_ID_MAX)).alias("id"), F.lit("over_limit").alias("error"))
+
+
 def check_formulas(formulas: DataFrame) -> DataFrame:
     """First problem of every formula of a table, null when it can be kept."""
     fid, name, text = (F.trim(F.coalesce(c, F.lit(""))) for c in ("id", "name", "expression"))

@@ -10,13 +10,15 @@ from headrisk.functions import address as A
 from headrisk.functions.domains import build_domain_dim
 from headrisk.operators import alerts as AL
 from headrisk.operators import history as H
+from headrisk.operators import lookups as L
+from headrisk.operators import owners as OW
 from headrisk.operators import protection as P
 from headrisk.operators import report as RP
 from headrisk.operators import scoring as S
 from headrisk.operators import settings as ST
 from headrisk.plans import derived_mail as M
 from headrisk.plans import oracle as O
-from headrisk.plans.queries import (DOC_ADDRESS_SQL, HOST_SQL, assessed, doc_addresses, facts, log, mailbox, messages,
+from headrisk.plans.queries import (DOC_ADDRESS_SQL, HOST_SQL, assessed, doc_addresses, facts, facts_of, log, log_heads, looked_up, mailbox, messages,
                                     page_hosts, plan, query, rules, table)
 from headrisk.sources import mail as SRC
 from headrisk.streaming.jobs import stream_counts
@@ -257,7 +259,7 @@ _L = (O.MAIL, O.FACTS, O.REASONS, _LOG)
 
 @query("logged_servers", O.over("SELECT msg_id, coalesce(array_to_string(ids, ','), '') AS ids FROM lg", *_L))
 def logged_servers(spark, sf):
-    return facts(spark, sf).select("msg_id", F.array_join(H.logged_servers(F.col("auth"))["ids"], ",").alias("ids"))
+    return facts_of()(spark, sf).select("msg_id", F.array_join(H.logged_servers(F.col("auth"))["ids"], ",").alias("ids"))
 
 
 WHAT_IF = M.derived_settings().with_(
@@ -296,13 +298,13 @@ def recent_log(spark, sf):
 
 @query("newest_per_account", O.over("SELECT account_id, msg_id FROM lg QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY at_ms DESC, msg_id DESC) <= 20", *_L))
 def newest_per_account(spark, sf):
-    return H.newest_per_account(log(spark, sf)).select("account_id", "msg_id")
+    return H.newest_per_account(log_heads(spark, sf)).select("account_id", "msg_id")
 
 
 @query("retained_log", O.over("SELECT account_id, count(*) AS n, min(at_ms) AS oldest_ms FROM (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY account_id "
                               "ORDER BY at_ms DESC, msg_id DESC) <= 1000) GROUP BY account_id", *_L))
 def retained_log(spark, sf):
-    kept = H.retain_latest(log(spark, sf).select("account_id", "msg_id", "assessed_at"))
+    kept = H.retain_latest(log_heads(spark, sf).select("account_id", "msg_id", "assessed_at"))
     return kept.groupBy("account_id").agg(F.count("*").alias("n"), F.unix_millis(F.min("assessed_at").cast("timestamp")).alias("oldest_ms"))
 
 
@@ -356,7 +358,7 @@ def protective_facts(spark, sf):
     "SELECT msg_id, true AS found, folder_id AS current_folder_id, CASE WHEN junk THEN 'spam' WHEN folder_name = 'Auth Review' THEN 'undecided' "
     "ELSE 'ham' END AS export_verdict FROM mail", O.MAIL))
 def export_verdicts(spark, sf):
-    r = H.resolve_log(log(spark, sf).select("msg_id", "account_id", "rfc_message_id"), mailbox(spark, sf), ["archive"])
+    r = H.resolve_log(log_heads(spark, sf).select("msg_id", "account_id", "rfc_message_id"), mailbox(spark, sf), ["archive"])
     return r.select("msg_id", "found", "current_folder_id", "export_verdict")
 
 
@@ -376,14 +378,14 @@ def ambiguous_exports(spark, sf):
     copies = m.where("msg_id % 3 = 0").select((F.col("msg_id") * 2 + 1).alias("msg_id"), F.concat(F.lit("<"), "header_message_id", F.lit(">")).alias("header_message_id"),
                                               shift.alias("account_id"), F.lit("copy").alias("folder_id"), F.lit("Copy").alias("folder_name"),
                                               F.lit("folder").alias("folder_type"), F.lit(False).alias("junk"))
-    r = H.resolve_log(log(spark, sf).select("msg_id", "account_id", "rfc_message_id"), originals.unionByName(copies), [])
+    r = H.resolve_log(log_heads(spark, sf).select("msg_id", "account_id", "rfc_message_id"), originals.unionByName(copies), [])
     return r.select("msg_id", F.coalesce("match_count", F.lit(0)).alias("match_count"), "export_verdict")
 
 
 @query("find_log_entries", O.over("SELECT mid_h AS rfc_message_id, a.msg_id, score FROM assessed a WHERE a.msg_id IN (SELECT user_id * 131 - 4 FROM events)"))
 def find_log_entries(spark, sf):
     wanted = table(spark, sf, "events").select((F.col("user_id") * 131 - 4).alias("msg_id")).distinct().join(
-        log(spark, sf).select("msg_id", F.concat(F.col("rfc_message_id"), F.lit(" ")).alias("rfc_message_id")), "msg_id").select("rfc_message_id")
+        log_heads(spark, sf).select("msg_id", F.concat(F.col("rfc_message_id"), F.lit(" ")).alias("rfc_message_id")), "msg_id").select("rfc_message_id")
     return H.find_log_entry(log(spark, sf), wanted).select("rfc_message_id", "msg_id", "score")
 
 
@@ -418,6 +420,23 @@ def apply_formulas(spark, sf):
         F.size(F.filter("formula_diagnostics", lambda d: d["error"].isNotNull())).alias("failed"))
 
 
+BAD_FORMULAS = (("cast", "", "from_.domain + 1", "add"), ("overflow", "", "length(from_.domain) * 2147483647 * 2147483647 * 0 + 3", "add"), ("parse", "", "1 +", "add"),
+                ("number", "", "1e999", "add"), ("kinds", "", "CASE WHEN from_.domain = 5 THEN 1 ELSE 0 END", "add"), ("reads", "", "CASE WHEN 1 IN (TABLE orders) THEN 1 ELSE 0 END", "add"),
+                ("pattern", "", "CASE WHEN match(from_.domain, '(?P<n>a)') THEN 1 ELSE 0 END", "observe"), ("root", "", "sqrt(-1 - from_.subdomain_depth)", "add"),
+                ("good", "", "floor(length(from_.domain))", "add"), ("fine", "", "round(try_divide(length(from_.domain), 3), 2)", "add"),
+                *((f"n{i}", "", "1", "observe") for i in range(10)), ("late", "", "100", "add"))
+
+
+@query("formula_failures", O.over(
+    "SELECT a.msg_id, CAST(a.score + 3 * (from_domain IS NOT NULL)::INT + coalesce(length(from_domain), 0) + coalesce(round(length(from_domain) / 3.0, 2), 0) AS DOUBLE) AS score, "
+    "CASE WHEN from_domain IS NULL THEN 'cast fine good kinds late number overflow parse pattern reads root' ELSE 'cast kinds late number parse pattern reads root' END AS failed "
+    "FROM assessed a JOIN (SELECT msg_id, 1 AS one FROM facts) USING (msg_id)"))
+def formula_failures(spark, sf):
+    scored = S.score_facts(looked_up(spark, sf), M.derived_settings().with_(formulas=BAD_FORMULAS))
+    failed = F.array_sort(F.transform(F.filter("formula_diagnostics", lambda d: d["error"].isNotNull()), lambda d: d["id"]))
+    return scored.select("msg_id", "score", F.array_join(failed, " ").alias("failed"))
+
+
 @query("formula_verdicts", O.over(
     "SELECT old || ' -> ' || new AS would_change_verdict, count(*) AS n FROM (SELECT CASE WHEN base >= 100 THEN 'high-risk' WHEN base >= 50 THEN 'review' ELSE 'normal' END AS old, "
     "CASE WHEN base + deep >= 100 THEN 'high-risk' WHEN base + deep >= 50 THEN 'review' ELSE 'normal' END AS new FROM fx) WHERE old <> new GROUP BY 1", O.MAIL, O.FACTS, O.REASONS, _FX))
@@ -462,7 +481,7 @@ _MAILS = ("am AS (SELECT account_id, count(*) AS total, count(*) FILTER (t) AS t
 @query("account_mail", O.over("SELECT account_id, total, trusted, untrusted, none, host_seen FROM am", *_L, _MAILS))
 def account_mail(spark, sf):
     hosts = accounts(spark, sf).select("account_id", F.lit(" GW.trusted.org").alias("host"))
-    return P.account_mail(log(spark, sf), M.derived_settings(), hosts).select("account_id", "total", "trusted", "untrusted", "none", "host_seen")
+    return P.account_mail(log_heads(spark, sf), M.derived_settings(), hosts).select("account_id", "total", "trusted", "untrusted", "none", "host_seen")
 
 
 _STATUS = ("ps AS (SELECT a.account_id, CASE WHEN coalesce(trusted, 0) > 0 THEN 'active' WHEN coalesce(untrusted, 0) > 0 THEN 'needs_confirmation' "
@@ -472,14 +491,14 @@ _STATUS = ("ps AS (SELECT a.account_id, CASE WHEN coalesce(trusted, 0) > 0 THEN
 
 @query("protection_status", O.over("SELECT account_id, state, confirmed_host FROM ps", *_L, _MAILS, _STATUS))
 def protection_status(spark, sf):
-    return P.protection_status(accounts(spark, sf), log(spark, sf), setups(spark, sf), trusted_table(spark), M.derived_settings()) \
+    return P.protection_status(accounts(spark, sf), log_heads(spark, sf), setups(spark, sf), trusted_table(spark), M.derived_settings()) \
         .select("account_id", "state", "confirmed_host")
 
 
 @query("protection_summary", O.over("SELECT count(*) AS total, count(*) FILTER (state = 'active') AS active, count(*) FILTER (state <> 'active') AS inactive, "
                                     "bool_and(state = 'active') AS all_active FROM ps", *_L, _MAILS, _STATUS))
 def protection_summary(spark, sf):
-    return P.protection_summary(P.protection_status(accounts(spark, sf), log(spark, sf), setups(spark, sf), trusted_table(spark), M.derived_settings()))
+    return P.protection_summary(P.protection_status(accounts(spark, sf), log_heads(spark, sf), setups(spark, sf), trusted_table(spark), M.derived_settings()))
 
 
 @query("confirmed_hosts", "SELECT 'account' || CAST(c_custkey AS VARCHAR) AS account_id, 'mx.example.net' AS confirmed_host FROM customer WHERE c_custkey % 2 = 0")
@@ -562,7 +581,7 @@ def setup_checks(spark, sf):
     own = identities(spark, sf)
     choices = own.groupBy("account_id").agg(F.max("pos").alias("p")).select("account_id", F.when(F.col("p") % 4 == 0, "gw.trusted.org").when(
         F.col("p") % 4 == 1, "mail1.shop1.co.jp").when(F.col("p") % 4 == 2, "other.shop2.co.jp").otherwise("bad host!").alias("host"))
-    entries = log(spark, sf).withColumn("account_id", F.regexp_replace("account_id", "account", "owner"))
+    entries = log_heads(spark, sf).withColumn("account_id", F.regexp_replace("account_id", "account", "owner"))
     mail = P.account_mail(entries, M.derived_settings(), choices)
     return P.check_setup(choices, P.setup_accounts(own), P.setup_suggestions(own, SRC.mx_records(mx_answers(spark, sf))), M.derived_settings(), mail, rules(spark))
 
@@ -743,6 +762,11 @@ def check_formulas(spark, sf):
     return ST.check_formulas(formula_rows(spark, sf)).select("tenant", big("pos"), "error")
 
 
+@query("formulas_over_limit", O.over("SELECT tenant, pos, id, 'over_limit' AS error FROM fm WHERE pos >= 20", _FORMS))
+def formulas_over_limit(spark, sf):
+    return ST.formulas_over_limit(formula_rows(spark, sf)).select("tenant", big("pos"), "id", "error")
+
+
 @query("read_formulas", O.over("SELECT tenant, pos, id, left(name, 200) AS name, CASE WHEN k % 19 = 0 THEN 'observe' WHEN k % 2 = 0 THEN 'add' ELSE 'observe' END AS mode FROM fm WHERE pos < 20", _FORMS))
 def read_formulas(spark, sf):
     return ST.read_formulas(formula_rows(spark, sf)).select("tenant", big("pos"), "id", "name", "mode")
@@ -757,3 +781,87 @@ def contacts(spark, sf):
         F.concat("c_name", F.lit("@A.net")).alias("primary_email"),
         F.when(k % 2 == 0, F.concat(F.lit("Second"), (k % 9).cast("string"), F.lit("@b.net"))).alias("second_email"))
     return SRC.contacts_of(books)
+
+
+# ------------------------------------------------------------------ settings by account
+
+# account k trusts less where k % 4 = 3, weighs differently, and has its own lists
+_ACCOUNT = "CAST(regexp_extract(account_id, '([0-9]+)', 1) AS INT)"
+
+
+def owner_tables(spark, sf) -> OW.OwnerTables:
+    """Settings of the derived mail's accounts; account0 has stored nothing."""
+    k = F.expr(_ACCOUNT)
+    own = M.account_domains(spark, sf).select("account_id", k.alias("k")).where("k > 0")
+    weight = lambda g, key, w: F.struct(F.lit(g).alias("group"), F.lit(key).alias("key"), w.cast("double").alias("weight"))
+    k = F.col("k")
+    weights = own.select("account_id", F.explode(F.array(
+        weight("auth", "spf.fail", k), weight("auth", "dmarc.quarantine", k * 2), weight("identity", "dkimDomainMismatch", k * 3),
+        weight("heuristic", "layer3Cap", k), weight("composite", "ownDomainAuthFail", -k), weight("composite", "dkimFailWithAlignedPass", k + 0.5))).alias("w")) \
+        .select("account_id", "w.*")
+    trust = own.select("account_id", F.explode(F.when(k % 4 == 3, F.array(F.struct(F.lit("unknown.test").alias("value"), F.lit("domain").alias("match_type")))).otherwise(
+        F.array(*[F.struct(F.lit(v).alias("value"), F.lit(t).alias("match_type")) for v, t in ((M.T.upper(), "exact"), ("trusted.org", "domain"))]))).alias("t")) \
+        .select("account_id", "t.*")
+    whitelist = own.where("k % 2 = 0").select("account_id", F.lit(0).alias("pos"), F.lit("Friend@Partner.com").alias("value"), F.lit("exact").alias("match_type"))
+    rule = lambda pos, d, t, score: F.struct(F.lit(pos).alias("pos"), F.lit(d).alias("domain"), F.lit(t).alias("match_type"), score.cast("double").alias("score"))
+    senders = own.select("account_id", F.explode(F.array(
+        rule(0, "A.bulk.net", "exact", -k), rule(1, "bulk.net", "suffix", k + 20), rule(2, "bulk.net", "exact", k), rule(3, "com", "suffix", k * 0))).alias("r")) \
+        .select("account_id", "r.*")
+    options = own.select("account_id", (k * -1).alias("address_book_score"), (k % 3 == 1).alias("address_book_enabled"))
+    return OW.OwnerTables(OW.owner_parameters(weights, None, options), trust, whitelist, senders)
+
+
+_OWNERS = "own AS (SELECT msg_id, CAST(regexp_extract(account_id, '([0-9]+)', 1) AS INT) AS k FROM mail)"
+_OWN_MAIL = O.MAIL.replace("ars AS (", _OWNERS + ",\nars AS (", 1).replace(
+    "id = 'mx.example.net' OR id = 'trusted.org' OR id LIKE '%.trusted.org' AS trusted",
+    "CASE WHEN k = 0 THEN false WHEN k % 4 = 3 THEN id = 'unknown.test' OR id LIKE '%.unknown.test' "
+    "ELSE id = 'mx.example.net' OR id = 'trusted.org' OR id LIKE '%.trusted.org' END AS trusted").replace(
+    "'\\s+[0-9]+$', '') AS id FROM ars)", "'\\s+[0-9]+$', '') AS id FROM ars JOIN own USING (msg_id))")
+_OWN_REASONS = f"""
+mine AS (
+  SELECT msg_id, layer, ord, key, k, CAST(CASE
+      WHEN key = 'auth.spf.fail' AND k > 0 THEN k WHEN key = 'identity.dkimDomainMismatch' AND k > 0 THEN 3 * k
+      WHEN key = 'composite.ownDomainAuthFail' AND k > 0 THEN -k WHEN key = 'composite.dkimFailWithAlignedPass' AND k > 0 THEN k + 0.5
+      WHEN key = 'whitelist.addressBook' THEN -k ELSE delta END AS DOUBLE) AS delta
+  FROM reasons JOIN own USING (msg_id)
+  WHERE NOT (key = 'sender.rule') AND NOT (key = 'whitelist.manual' AND (k = 0 OR k % 2 = 1)) AND NOT (key = 'whitelist.addressBook' AND k % 3 <> 1)
+  UNION ALL
+  SELECT f.msg_id, 'L5', 5003 + pos, 'sender.rule', k, CAST(score AS DOUBLE)
+  FROM facts f JOIN own USING (msg_id), LATERAL (SELECT * FROM (VALUES (0, 'a.bulk.net', 'exact', -k), (1, 'bulk.net', 'suffix', k + 20),
+    (2, 'bulk.net', 'exact', k), (3, 'com', 'suffix', 0)) AS r(pos, domain, kind, score)) r
+  WHERE k > 0 AND (from_domain = domain OR (kind = 'suffix' AND from_domain LIKE '%.' || domain))),
+sums AS (
+  SELECT msg_id, coalesce(sum(delta) FILTER (layer <> 'L3'), 0) + least(coalesce(sum(delta) FILTER (layer = 'L3'), 0),
+    CASE WHEN any_value(k) = 0 THEN {C.HEURISTIC_SCORES['layer3Cap']} ELSE any_value(k) END) AS s, string_agg(key, ' ' ORDER BY ord) AS keys
+  FROM mine GROUP BY msg_id)
+"""
+
+
+@query("scores_by_owner", O.over(
+    "SELECT m.msg_id, m.account_id, CAST(coalesce(s, 0) AS DOUBLE) AS score, CASE WHEN coalesce(s, 0) >= 100 THEN 'high-risk' WHEN coalesce(s, 0) >= 50 THEN 'review' "
+    "ELSE 'normal' END AS classification, coalesce(keys, '') AS reason_keys FROM mail m LEFT JOIN sums USING (msg_id)", _OWN_MAIL, O.FACTS, O.REASONS, _OWN_REASONS))
+def scores_by_owner(spark, sf):
+    full = OW.assess_by_owner(messages(spark, sf), owner_tables(spark, sf), rules(spark), M.contacts(spark), M.account_domains(spark, sf))
+    return full.select("msg_id", "account_id", "score", "classification", F.array_join(F.transform("score_reasons", lambda r: r["key"]), " ").alias("reason_keys"))
+
+
+# a rule for every line of every order, and for the suffixes of the hosts themselves
+_HOST_RULES = (HOST_SQL + ", host_rules AS (SELECT 4 * l_orderkey * 10 + l_linenumber AS pos, 'Shop' || l_partkey || '.example' AS domain, 'suffix' AS match_type, 1.0 AS score FROM lineitem "
+               "UNION ALL SELECT length(host), substring(host, instr(host, '.') + 1), CASE WHEN length(host) % 2 = 0 THEN 'suffix' ELSE 'exact' END, length(host) FROM hosts "
+               "UNION ALL SELECT 100 + length(host), upper(host), CASE WHEN length(host) % 3 = 0 THEN 'suffix' ELSE 'exact' END, -length(host) FROM hosts)")
+
+
+@query("sender_rules_by_host", "WITH " + _HOST_RULES +
+       " SELECT host, string_agg(domain || '/' || match_type || '/' || CAST(CAST(score AS INT) AS VARCHAR), ' ' ORDER BY pos, domain, match_type, score) AS rules FROM hosts JOIN host_rules "
+       "ON host = lower(domain) OR (match_type = 'suffix' AND ends_with(host, '.' || lower(domain))) WHERE host <> '' GROUP BY host")
+def sender_rules_by_host(spark, sf):
+    hosts = page_hosts(spark, sf).select(F.lower("host").alias("host")).distinct()
+    n = F.length("host")
+    lines = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 40 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("Shop"), "l_partkey", F.lit(".example")).alias("domain"),
+                                                F.lit("suffix").alias("match_type"), F.lit(1.0).alias("score"))
+    above = hosts.select(n.cast("bigint").alias("pos"), F.expr("substring(host, instr(host, '.') + 1)").alias("domain"),
+                         F.when(n % 2 == 0, "suffix").otherwise("exact").alias("match_type"), n.cast("double").alias("score"))
+    equal = hosts.select((n + 100).cast("bigint").alias("pos"), F.upper("host").alias("domain"), F.when(n % 3 == 0, "suffix").otherwise("exact").alias("match_type"),
+                         (-n).cast("double").alias("score"))
+    found = L.suffix_matches(hosts, lines.unionByName(above).unionByName(equal))
+    return found.select("host", F.array_join(F.transform("sender_hits", lambda r: F.concat_ws("/", r["domain"], r["match_type"], r["score"].cast("int").cast("string"))), " ").alias("rules"))

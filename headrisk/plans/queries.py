@@ -67,10 +67,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 messages = plan("messages", M.derived_messages)
 facts = plan("facts", lambda s, sf: FA.with_facts(messages(s, sf), M.derived_settings(), rules(s)))
+
+
+def facts_of(*groups: str):
+    """Facts of some groups only."""
+    return plan("facts of " + " ".join(groups), lambda s, sf: FA.with_facts(messages(s, sf), M.derived_settings(), rules(s), groups))
+
+
+alignment_only, header_only, message_id_only, name_only = (facts_of(g) for g in ("alignment", "headers", "message_id", "brands"))
+looked_up_plain = plan("looked_up_plain", lambda s, sf: S.with_lookups(
+    facts_of("headers", "message_id", "lexical", "names")(s, sf), M.derived_settings(), M.contacts(s), M.account_domains(s, sf)))
 looked_up = plan("looked_up", lambda s, sf: S.with_lookups(
     facts(s, sf), M.derived_settings(), M.contacts(s), M.account_domains(s, sf)))
 assessed = plan("assessed", lambda s, sf: S.score_facts(looked_up(s, sf), M.derived_settings()))
 log = plan("log", lambda s, sf: H.log_entries(assessed(s, sf), F.col("received_at"), M.derived_settings()))
+# what a log row knows before any score
+log_heads = plan("log_heads", lambda s, sf: H.log_heads(messages(s, sf), F.col("received_at"), M.derived_settings()))
 # the log keeps a row per message; a mailbox row repeats where the client holds a copy
 mailbox = plan("mailbox", lambda s, sf: messages(s, sf).select(
     "msg_id", A.normalise_message_id(A.header(F.col("headers"), "message-id")).alias("header_message_id"),
@@ -150,7 +162,8 @@ def _rule_columns(_application: str):
 def _rule_query(key: str):
     def run(spark, sf):
         column = _rule_columns(spark.sparkContext.applicationId)[key]
-        return (looked_up(spark, sf).select("msg_id", column.alias("r")).where("r IS NOT NULL")
+        rows = looked_up if key == "composite.brandDivergencePhishing" else looked_up_plain
+        return (rows(spark, sf).select("msg_id", column.alias("r")).where("r IS NOT NULL")
                 .select("msg_id", "r.layer", "r.key", "r.delta"))
     return run
 
@@ -163,7 +176,7 @@ for _key in O.RULE_SQL:
 
 def _user_rule_query(key: str):
     def run(spark, sf):
-        f = looked_up(spark, sf).select("msg_id", F.explode(R.user_rules(M.derived_settings())).alias("r"))
+        f = looked_up_plain(spark, sf).select("msg_id", F.explode(R.user_rules(M.derived_settings())).alias("r"))
         return f.where(F.col("r.key") == key).select("msg_id", "r.layer", "r.key", "r.delta")
     return run
 
@@ -186,7 +199,7 @@ def rule_auth_results(spark, sf):
 def capped_heuristics(spark, sf):
     s = M.derived_settings()
     r = F.array_compact(F.array(*R.heuristic_rules(s)))
-    f = looked_up(spark, sf).select("msg_id", r.alias("r"), R.lexical_penalty(s).alias("lexical_penalty")).where(F.size("r") > 0)
+    f = looked_up_plain(spark, sf).select("msg_id", r.alias("r"), R.lexical_penalty(s).alias("lexical_penalty")).where(F.size("r") > 0)
     total = F.aggregate("r", F.lit(0.0), lambda t, x: t + x["delta"])
     return f.select("msg_id", total.alias("uncapped"), F.least(total, F.lit(25.0)).alias("capped"), "lexical_penalty")
 
@@ -230,7 +243,7 @@ def first_per_method(spark, sf):
     "string_agg(signing_domain, ',' ORDER BY ar_pos, res_pos) AS fails FROM res WHERE method = 'dkim' AND result = 'fail' "
     "AND from_reg IS NOT NULL GROUP BY msg_id) d USING (msg_id)", O.MAIL, O.FACTS))
 def pass_alignment(spark, sf):
-    a = facts(spark, sf).select("msg_id", "alignment.*")
+    a = alignment_only(spark, sf).select("msg_id", "alignment.*")
     return a.withColumn("dkim_fail_domains", F.array_join("dkim_fail_domains", ","))
 
 
@@ -244,7 +257,7 @@ def pass_alignment(spark, sf):
     "LEFT JOIN (SELECT msg_id, count(*) AS n, bool_or(coalesce(signing_reg = from_reg, false)) AS aligned FROM res WHERE method = 'dkim' GROUP BY msg_id) k USING (msg_id)",
     O.MAIL))
 def alignment_metrics(spark, sf):
-    a = facts(spark, sf).select("msg_id", AU.alignment_metrics().alias("a"))
+    a = alignment_only(spark, sf).select("msg_id", AU.alignment_metrics().alias("a"))
     return a.select("msg_id", F.col("a.dmarc.result").alias("dmarc"), F.col("a.dmarc.header_from").alias("header_from"),
                     F.col("a.spf.result").alias("spf"), F.col("a.spf.smtp_mail_from_domain").alias("smtp_mail_from"),
                     F.size("a.dkim").cast("bigint").alias("dkim_results"), "a.summary.*")
@@ -260,7 +273,7 @@ def alignment_metrics(spark, sf):
     "GROUP BY 1, 2) GROUP BY msg_id) tp USING (msg_id) LEFT JOIN (SELECT * FROM res WHERE method = 'dmarc' "
     "QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY ar_pos, res_pos) = 1) d USING (msg_id)", O.MAIL, O.FACTS))
 def third_party_auth(spark, sf):
-    return facts(spark, sf).select("msg_id", "third_party.*").withColumn(
+    return alignment_only(spark, sf).select("msg_id", "third_party.*").withColumn(
         "third_party_domains", F.array_join("third_party_domains", ","))
 
 
@@ -299,7 +312,7 @@ def message_id_domain(spark, sf):
     "list_unsub_h AS list_unsubscribe, listed AS has_list_headers FROM facts", O.MAIL, O.FACTS))
 def header_facts(spark, sf):
     h = "header_facts."
-    return facts(spark, sf).select(
+    return header_only(spark, sf).select(
         "msg_id", h + "sender_domain", h + "sender_registrable_domain",
         F.col(h + "sender_domain_matches_from_domain").alias("sender_matches"), h + "reply_to_domain",
         F.col(h + "reply_to_domain_matches_from_domain").alias("reply_to_matches"), h + "return_path_domain",
@@ -313,7 +326,7 @@ def header_facts(spark, sf):
     "coalesce(mid_reg <> from_reg, false) AS message_id_from_domain_mismatch, "
     "coalesce(mid_reg <> from_reg AND NOT aligned, false) AS message_id_mismatch_with_unaligned_auth FROM facts", O.MAIL, O.FACTS))
 def message_id_facts(spark, sf):
-    m = facts(spark, sf).select("msg_id", "message_id_facts.*").drop("message_id_is_icann")
+    m = message_id_only(spark, sf).select("msg_id", "message_id_facts.*").drop("message_id_is_icann")
     return m.withColumn("message_id_subdomain_depth", F.col("message_id_subdomain_depth").cast("bigint"))
 
 
@@ -333,7 +346,7 @@ _REASON = (f"CASE WHEN display_name IS NULL THEN 'missing_display_name' WHEN fro
     O.MAIL, O.FACTS))
 def display_name_facts(spark, sf):
     n = "name_facts."
-    return facts(spark, sf).select(
+    return name_only(spark, sf).select(
         "msg_id", F.col(n + "display_name_raw").alias("display_name"), F.col(n + "display_name_normalized").alias("name_norm"),
         F.col(n + "display_name_domain_metric_not_applicable_reason").alias("reason"),
         F.col(n + "display_name_domain_similarity").alias("similarity"),
@@ -346,7 +359,7 @@ def display_name_facts(spark, sf):
 @query("infer_brand", O.over("SELECT display_name, brand_domain, brand_rank, brand_score FROM brand", O.MAIL, O.FACTS))
 def infer_brand(spark, sf):
     n = "name_facts."
-    return (facts(spark, sf).select(
+    return (name_only(spark, sf).select(
         F.col(n + "display_name_raw").alias("display_name"), F.col(n + "inferred_brand_domain").alias("brand_domain"),
         F.col(n + "brand_inference_candidate_rank").alias("brand_rank"), F.col(n + "inferred_brand_score").alias("brand_score"))
         .where("brand_domain IS NOT NULL").distinct())
@@ -354,7 +367,7 @@ def infer_brand(spark, sf):
 
 @query("exact_alignment", O.over("SELECT msg_id, exact AS aligned, x_mf AS mail_from_mismatch, x_hf AS header_from_mismatch, any_fail FROM facts", O.MAIL, O.FACTS))
 def exact_alignment(spark, sf):
-    return facts(spark, sf).select("msg_id", "exact.*")
+    return alignment_only(spark, sf).select("msg_id", "exact.*")
 
 
 # ------------------------------------------------------------------ hosts, labels, addresses
@@ -477,7 +490,7 @@ def bigram_naturalness(spark, sf):
     "FROM (SELECT *, lower(regexp_replace(from_local, '[^a-zA-Z]', '', 'g')) AS x, split_part(from_domain, '.', 1) AS l1 FROM ident) i "
     "WHERE from_domain IS NOT NULL", O.MAIL))
 def heuristic_profile(spark, sf):
-    p = FA.heuristic_profile(facts(spark, sf).where("from_domain IS NOT NULL"), [-4.7] * 676)
+    p = FA.heuristic_profile(facts_of()(spark, sf).where("from_domain IS NOT NULL"), [-4.7] * 676)
     first = F.get("from_domain_labels", F.lit(0))
     return p.select("msg_id", F.col("from_local_part.entropy").alias("local_entropy"),
                     F.col("from_local_part.length").cast("bigint").alias("local_length"),

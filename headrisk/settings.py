@@ -1,7 +1,8 @@
 """One settings snapshot per run: score weights, trust lists and user rules.
 
-Settings are small and bounded, so a run carries them as constants of its plan; the tables
-they are read from, merged and migrated as are handled in ``operators.settings``.
+Weights and short lists are constants of the plan. Lists with more than ``LITERAL_MAX`` entries become
+tables that are joined (``operators.lookups``), and so are the settings of many accounts in one run
+(``operators.owners``). Reading, merging and migrating tables is in ``operators.settings``.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from headrisk import constants as C
 from headrisk.functions.domains import dot_suffixes
 
 SETTINGS_ROWS_MAX = 100_000
+#: Entries of a list that stand in the plan; a longer list is joined as a table.
+LITERAL_MAX = 200
 
 
 @dataclass(frozen=True)
@@ -73,6 +76,40 @@ class Settings:
             hit = hit | F.exists(dot_suffixes(server), lambda s: s.isin(domains))
         return F.coalesce(hit, F.lit(False))
 
+    def header_trust(self, server: Column) -> Column:
+        """Trust of a server named by a message; long lists need ``trusted_ids`` (``with_trusted_ids``)."""
+        if is_long(self.trusted_servers):
+            return F.coalesce(F.array_contains(F.col("trusted_ids"), F.lower(server)), F.lit(False))
+        return self.is_trusted(server)
+
+    # ---- user rules
+    def whitelist_hit(self, sender: Column) -> Column | None:
+        """First whitelist entry, as written, that equals the sender; None without entries."""
+        if is_long(self.whitelist):
+            return F.col("whitelist_hit")
+        first: dict = {}
+        for value, match_type in self.whitelist:
+            if match_type == "exact":
+                first.setdefault(value.lower(), value)
+        return F.try_element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), sender) if first else None
+
+    def sender_hits(self, domain: Column) -> Column | None:
+        """Sender rules that match the domain, in user order; None without rules."""
+        if is_long(self.sender_rules):
+            return F.col("sender_hits")
+        if not self.sender_rules:
+            return None
+        rules = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(t).alias("match_type"), F.lit(float(score)).alias("score"))
+                          for d, t, score in self.sender_rules if t in ("exact", "suffix")])
+        return F.filter(rules, lambda r: F.coalesce(
+            (domain == F.lower(r["domain"]))
+            | ((r["match_type"] == "suffix") & domain.endswith(F.concat(F.lit("."), F.lower(r["domain"])))),
+            F.lit(False)))
+
+
+def is_long(entries: tuple) -> bool:
+    return len(entries) > LITERAL_MAX
+
 
 def bounded_rows(df: DataFrame) -> list:
     """Rows of a settings table; refuses anything that is not settings-sized."""

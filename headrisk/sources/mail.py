@@ -10,6 +10,7 @@ from headrisk import constants as C
 from headrisk import schemas
 from headrisk.functions.address import strip
 from headrisk.operators.facts import headers_from_pairs, lower_header_names
+from headrisk.operators.owners import OwnerTables, owner_parameters
 from headrisk.settings import Settings
 
 
@@ -37,22 +38,55 @@ def stream_messages(spark: SparkSession, path: str, fmt: str = "parquet", files_
 
 
 def load_settings_document(spark: SparkSession, path: str) -> DataFrame:
-    """Settings documents as nested rows; plain trust entries of old documents become exact ones."""
-    raw = spark.read.text(path, wholetext=True)
+    """Settings documents as nested rows, with ``account_id`` from the file's name; plain trust entries of old documents become exact ones."""
+    raw = spark.read.text(path, wholetext=True).withColumn("account_id", F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1))
     doc = F.from_json("value", schemas.SETTINGS_JSON)
     plain = F.from_json(F.get_json_object("value", "$.trustedDomains"), "array<string>")
     typed = F.filter(doc["trustedDomains"], lambda d: d["value"].isNotNull())
     legacy = F.transform(F.filter(plain, lambda v: ~v.startswith("{")), lambda v: F.struct(
         v.alias("value"), F.lit("exact").alias("matchType")))
-    return raw.select(doc.alias("d"), F.concat(
+    return raw.select("account_id", doc.alias("d"), F.concat(
         F.coalesce(typed, F.array().cast("array<struct<value:string,matchType:string>>")),
         F.coalesce(legacy, F.array().cast("array<struct<value:string,matchType:string>>"))).alias("trusted")) \
-        .select("d.*", "trusted").drop("trustedDomains")
+        .select("account_id", "d.*", "trusted").drop("trustedDomains")
+
+
+def load_owner_settings(spark: SparkSession, path: str) -> OwnerTables:
+    """All settings documents below a path as tables, one document per account, named after it."""
+    docs = load_settings_document(spark, path)
+    s = F.col("settings")
+    groups = [("identity", s["layer2Scores"]), ("heuristic", s["heuristicScores"]), ("composite", s["compositeScores"])]
+    entry = lambda g, k, v: F.struct(F.lit(g).alias("group"), k.alias("key"), v.alias("weight"))
+    none = F.array().cast("array<struct<group:string,key:string,weight:double>>")
+
+    def listed_weights(group: str, scores: Column) -> Column:
+        return F.coalesce(F.transform(F.map_entries(scores), lambda e: entry(group, e["key"], e["value"])), none)
+    auth = F.coalesce(F.flatten(F.transform(F.map_entries(s["authScores"]), lambda m: F.transform(
+        F.map_entries(m["value"]), lambda r: entry("auth", F.concat_ws(".", m["key"], r["key"]), r["value"])))), none)
+    weights = docs.select("account_id", F.explode(F.concat(auth, *[listed_weights(g, m) for g, m in groups])).alias("w")).select("account_id", "w.*").where("weight IS NOT NULL")
+    options = {"whitelist_score": "whitelistMitigationScore", "address_book_score": "addressBookMitigationScore",
+               "address_book_enabled": "addressBookWhitelistEnabled", "move_to_review": "moveToReview",
+               "move_high_risk_to_junk": "moveHighRiskToJunk", "alert_enabled": "notifyAfterAssessment",
+               "alert_max_score": "notificationMaxScore", "alert_delay_ms": "notificationDelayMs",
+               "alert_interval_ms": "notificationMinIntervalMs"}
+    versions = docs.select("account_id", s["scoreDefaultsVersion"].alias("version"))
+
+    def listed(column: str, *fields: Column) -> DataFrame:
+        return docs.select("account_id", F.posexplode(column).alias("pos", "e")).select("account_id", "pos", *fields)
+    kind = F.col("e.matchType").alias("match_type")
+    return OwnerTables(
+        owner_parameters(weights, versions, docs.select("account_id", *[s[v].alias(k) for k, v in options.items()])),
+        listed("trusted", F.col("e.value").alias("value"), kind).drop("pos"),
+        listed("manualWhitelist", F.col("e.value").alias("value"), kind),
+        listed("senderDomainRules", F.col("e.domain").alias("domain"), kind, F.col("e.score").alias("score")))
 
 
 def load_settings(spark: SparkSession, path: str) -> Settings:
     """One profile's settings merged over the defaults, old default scores brought up to date."""
-    row = load_settings_document(spark, path).first()
+    rows = load_settings_document(spark, path).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path}: one settings document expected, {'several' if rows else 'none'} found; see load_owner_settings")
+    row = rows[0]
     s = row["settings"].asDict(recursive=True) if row["settings"] is not None else {}
     stored = {"auth": s.get("authScores"), "identity": s.get("layer2Scores"),
               "heuristic": s.get("heuristicScores"), "composite": s.get("compositeScores")}
