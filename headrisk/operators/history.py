@@ -5,16 +5,35 @@ A log row is an assessment with ``assessed_at``, the planned action and the serv
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headrisk import constants as C
 from headrisk.functions.address import header, message_id_variants, strip
-from headrisk.operators.auth import parse_auth_results
+from headrisk.operators.auth import alignment_metrics, parse_auth_results
+from headrisk.operators.lookups import salted_join, top_n
 from headrisk.operators.scoring import classify
 from headrisk.settings import Settings
 
 
+def full_log_entries(assessed: DataFrame, assessed_at: Column, action: Column) -> DataFrame:
+    """Complete log rows of fully assessed messages: every group of facts, the first server seen and the action taken."""
+    first = F.get("auth", F.lit(0))
+    servers = logged_servers(F.col("auth"))
+    return assessed.select(
+        "msg_id", "account_id", assessed_at.alias("assessed_at"), F.coalesce("subject", F.lit("")).alias("subject"), "from_domain",
+        servers["ids"].alias("authserv_ids"), servers["truncated"].alias("authserv_ids_truncated"),
+        F.coalesce(first["authserv_id"], F.lit("")).alias("authserv_id"), first["trusted"].alias("trusted"),
+        "score", "classification", "score_reasons",
+        F.struct("random_label", "random_local").alias("heuristic_metrics"), F.col("name_facts").alias("display_name_metrics"),
+        alignment_metrics().alias("alignment_metrics"), F.col("message_id_facts").alias("message_id_metrics"),
+        F.col("header_facts").alias("header_metrics"), F.col("from_parse").alias("from_parse_metrics"),
+        F.struct("rfc_message_id", F.col("account_id").alias("initial_account_id"), F.col("folder_id").alias("initial_folder_id"),
+                 F.col("folder_name").alias("initial_folder_name"), F.col("folder_type").alias("initial_folder_type")).alias("message_identity"),
+        F.struct("sender_address", "exact").alias("sender_identity"), action.alias("action"), "formula_diagnostics",
+        "rfc_message_id", F.col("alignment.any_dkim_aligned").alias("any_dkim_aligned"))
+
+
 def log_heads(messages: DataFrame, assessed_at: Column, settings: Settings) -> DataFrame:
     """What a log row knows of a message before any score: for jobs that ask who, when and by which servers."""
     own = messages.select("msg_id", "account_id", "subject", assessed_at.alias("assessed_at"),
@@ -96,6 +115,10 @@ def rescore(log: DataFrame, settings: Settings) -> DataFrame:
 
 # ------------------------------------------------------------------ newest entries
 
+#: Order of "newest": by name, as a Column needs a running session.
+NEWEST_FIRST = ["assessed_at DESC NULLS LAST", "msg_id DESC NULLS LAST"]
+
+
 def recent(log: DataFrame, n: int) -> DataFrame:
     """Newest ``n`` entries of the whole log."""
     return log.orderBy(F.desc("assessed_at"), F.desc("msg_id")).limit(n)
@@ -108,17 +131,15 @@ def has_more(log: DataFrame, n: int) -> DataFrame:
 def newest_per_account(log: DataFrame, n: int = C.STATUS_SAMPLE) -> DataFrame:
     """Newest ``n`` entries of every account.
 
-    Spark keeps only ``n`` rows per account before the shuffle (window group limit), so a busy
-    account costs no more than a quiet one.
+    Tasks keep only the newest ``n`` rows of a part of an account, so a busy account costs no more
+    than a quiet one.
     """
-    w = Window.partitionBy("account_id").orderBy(F.desc("assessed_at"), F.desc("msg_id"))
-    return log.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+    return top_n(log, ["account_id"], NEWEST_FIRST, n, F.col("msg_id"), "rn")
 
 
 def retain_latest(log: DataFrame, n: int = C.LOG_MAX, owner: str = "account_id") -> DataFrame:
     """Bounded view of the append-only log, per mailbox owner."""
-    w = Window.partitionBy(owner).orderBy(F.desc("assessed_at"), F.desc("msg_id"))
-    return log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return top_n(log, [owner], NEWEST_FIRST, n, F.col("msg_id"), "_rn").drop("_rn")
 
 
 def activity_summary(log: DataFrame) -> DataFrame:
@@ -216,25 +237,29 @@ def export_verdict(found: Column, folder_id: Column, folder_name: Column, folder
 def resolve_log(log: DataFrame, mailbox: DataFrame, review_ids: list[str]) -> DataFrame:
     """Where each logged message lies now, and the verdict that follows.
 
-    Message ids match as written or without brackets. Per entry only the best match and a count
-    are kept while aggregating, so an id shared by very many messages never gathers them.
+    Message ids match as written or without brackets, in the entry's own account before others. An
+    entry's id is looked up, never paired with its copies: an id that all accounts share costs a row
+    per entry.
     ``mailbox(msg_id, header_message_id, account_id, folder_id, folder_name, folder_type, junk)``
     """
-    keys = log.select("msg_id", F.col("account_id").alias("_initial"),
+    keys = log.select("msg_id", F.col("account_id").alias("_account"),
                       F.posexplode(message_id_variants(F.col("rfc_message_id"))).alias("_variant", "_key"))
     box = mailbox.select(F.col("header_message_id").alias("_key"), F.col("msg_id").alias("_match"),
                          F.col("account_id").alias("current_account_id"), F.col("folder_id").alias("current_folder_id"),
                          F.col("folder_name").alias("current_folder_name"),
                          F.col("folder_type").alias("current_folder_type"), F.col("junk").alias("current_junk"))
-    # one candidate per key and account first: the best match and how many share it
     state = F.struct("_match", "current_account_id", "current_folder_id", "current_folder_name",
                      "current_folder_type", "current_junk")
-    per_key = box.groupBy("_key", "current_account_id").agg(
-        F.min_by(state, "_match").alias("best"), F.count("*").alias("n"))
-    hits = keys.join(per_key, "_key").groupBy("msg_id").agg(
-        F.min_by("best", F.struct(
-            F.when(F.col("current_account_id") == F.col("_initial"), 0).otherwise(1),
-            "_variant", F.col("best._match"))).alias("best"),
+    # two lookups, each with one row at most for an entry's key: the best match of the entry's own
+    # account, and the best match anywhere with the number of all
+    own = box.groupBy("_key", F.col("current_account_id").alias("_account")).agg(F.min_by(state, "_match").alias("_own"))
+    anywhere = own.groupBy("_key").agg(F.min_by("_own", F.col("_own._match")).alias("_any"))
+    counts = box.groupBy("_key").agg(F.count("*").alias("n"))
+    spread = F.col("msg_id")
+    met = salted_join(salted_join(salted_join(keys, anywhere, ["_key"], spread, "inner"), counts, ["_key"], spread), own, ["_key", "_account"], spread)
+    hits = met.groupBy("msg_id").agg(
+        F.min_by(F.coalesce("_own", "_any"), F.struct(
+            F.when(F.col("_own").isNotNull(), 0).otherwise(1), "_variant", F.coalesce("_own._match", "_any._match"))).alias("best"),
         F.sum("n").alias("match_count"))
     found = F.col("best").isNotNull()
     return (log.join(hits, "msg_id", "left").select(

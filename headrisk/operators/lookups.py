@@ -7,7 +7,7 @@ goes back to the messages by host. Keys that hold most rows are dealt to ``SALTS
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headrisk.functions.domains import dot_suffixes
@@ -23,6 +23,31 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: Col
     return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def top_n(df: DataFrame, keys: list, order: list[str], n: int, spread_by: Column, rank: str) -> DataFrame:
+    """The first ``n`` rows of every key with their rank.
+
+    A key's rows are dealt to ``SALTS`` parts that keep ``n`` rows each, whatever ``n`` is; the last
+    rank sees at most ``SALTS * n`` rows of a key.
+    """
+    by = _sorted(order)
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
+    heads = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*by))).where(F.col(rank) <= n)
+    return (heads.drop("_part").withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+            .where(F.col(rank) <= n))
+
+
+def _sorted(order: list) -> list[Column]:
+    """Orders such as ``at DESC`` as columns."""
+    found = []
+    for o in order:
+        if not isinstance(o, str):
+            found.append(o)
+            continue
+        name, *direction = o.split(" ")
+        found.append(F.col(name).desc_nulls_last() if direction[:1] == ["DESC"] else F.col(name).asc())
+    return found
+
+
 def _owner(rules: DataFrame) -> list[str]:
     return ["account_id"] if "account_id" in rules.columns else []
 

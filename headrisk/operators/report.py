@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headrisk import constants as C
+from headrisk.operators.lookups import top_n
 from headrisk.settings import Settings
 
 SORT_KEYS = ("matches", "rule")
@@ -295,9 +296,8 @@ def apply_limit(scope: DataFrame, order: list, limit: int | None) -> tuple[DataF
 
 
 def limit_per_folder(scope: DataFrame, order: list, limit: int) -> DataFrame:
-    """The first ``limit`` messages of every folder; folders keep their heads before the shuffle."""
-    w = Window.partitionBy(folder_key()).orderBy(*order)
-    return scope.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
+    """The first ``limit`` messages of every folder; parts of a folder keep their heads, whatever the limit is."""
+    return top_n(scope, [folder_key()], order, limit, F.col("msg_id"), "rn")
 
 
 def scope_folders(scope: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ of evaluation, layer by layer.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headrisk import constants as C
@@ -255,9 +258,86 @@ def user_rules(settings: Settings) -> Column:
     return F.concat(*found) if found else F.array().cast(f"array<{REASON_DDL}>")
 
 
-def all_reasons(settings: Settings, need_trusted: bool = False) -> Column:
+# ---------------------------------------------------------------- fixed values: keys in evaluation order
+IDENTITY_KEYS = ("identity.spfMailFromMismatch", "identity.dkimDomainMismatch", "identity.dmarcNoneWithThirdPartyAuth")
+HEURISTIC_KEYS = ("heuristic.randomFromDomainLabel", "heuristic.randomFromLocalPart")
+COMPOSITE_KEYS = tuple(f"composite.{k}" for k in (
+    "spfAlignedDkimUnalignedRandomLocal", "authAlignedRandomDomain", "thirdPartyAuthRandomLocal", "messageIdMismatchWithUnalignedAuth",
+    "messageIdUnregistrableMismatch", "deepRandomFromSubdomain", "unsecuredDeepSubdomain", "spfPassDkimFailRandomLocal",
+    "fromSenderMismatchWithUnalignedAuth", "delegatedDkimAlignedRouteConsistent", "dkimAlignedLexicalMitigation", "ownDomainAuthFail",
+    "dmarcFailDkimAlignedListMitigation", "geoTokenCompoundDomain", "deepServiceWordSubdomain", "dkimFailWithAlignedPass",
+    "unparseableFromWithInfrastructureMismatch", "brandDivergencePhishing", "unauthenticatedFromSpoof", "authenticatedDisplayNameSpoof",
+    "alignedAuthenticationConfirmed", "publicDomainSpoofing"))
+FIXED_KEYS = IDENTITY_KEYS + HEURISTIC_KEYS + COMPOSITE_KEYS
+
+
+def fixed_rules(settings: Settings, need_trusted: bool = False) -> dict[str, Column]:
+    """Key -> reason or null, for the rules of layers two to four, in evaluation order."""
+    columns = [*identity_rules(settings), *heuristic_rules(settings), *composite_rules(settings),
+               *consistency_rules(settings, need_trusted)]
+    return dict(zip(FIXED_KEYS, columns, strict=True))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule of the caller's own: a predicate over facts with its weight.
+
+    ``predicate`` and ``context`` are called when a plan is built, and give a column and named columns.
+    """
+
+    key: str
+    layer: str
+    predicate: Callable[[], Column]
+    delta: float
+    title: str
+    context: Callable[[], dict[str, Column]] = dict
+    type: str = "risk"
+
+    def __post_init__(self) -> None:
+        if self.layer not in C.LAYERS:
+            raise ValueError(f"{self.key}: no layer {self.layer}")
+
+    def reason(self) -> Column:
+        return when(self.predicate(), reason(self.layer, self.key, self.delta, label=self.title, ctx=self.context()))
+
+
+@dataclass(frozen=True)
+class RuleSet:
+    """The standard rules without some of them, and rules of the caller's own after them."""
+
+    left_out: frozenset[str] = frozenset()
+    own: tuple[Rule, ...] = ()
+
+    def without(self, *keys: str) -> RuleSet:
+        unknown = set(keys) - set(FIXED_KEYS) - {r.key for r in self.own}
+        if unknown:
+            raise ValueError(f"no such rules: {sorted(unknown)}")
+        return RuleSet(self.left_out | (set(keys) & set(FIXED_KEYS)), tuple(r for r in self.own if r.key not in keys))
+
+    def with_rule(self, *rules: Rule) -> RuleSet:
+        keys = [*FIXED_KEYS, *(r.key for r in self.own), *(r.key for r in rules)]
+        repeated = {k for k in keys if keys.count(k) > 1}
+        if repeated:
+            raise ValueError(f"keys are taken: {sorted(repeated)}")
+        return RuleSet(self.left_out, self.own + rules)
+
+    def reasons(self, settings: Settings, need_trusted: bool = False) -> list[Column]:
+        kept = [c for k, c in fixed_rules(settings, need_trusted).items() if k not in self.left_out]
+        return kept + [r.reason() for r in self.own]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``(key, layer, title, type, standard)`` in evaluation order, with the place."""
+        known = {k: (t, ty) for k, t, ty, _s in C.RULES}
+        layer = lambda k: {"identity": "L2", "heuristic": "L3"}.get(k.split(".")[0], "L4")
+        rows = [(k, layer(k), *known[k], True) for k in FIXED_KEYS if k not in self.left_out]
+        rows += [(r.key, r.layer, r.title, r.type, False) for r in self.own]
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place int, key string, layer string, title string, type string, standard boolean")
+
+
+STANDARD = RuleSet()
+
+
+def all_reasons(settings: Settings, need_trusted: bool = False, rule_set: RuleSet = STANDARD) -> Column:
     """Reasons of all layers in evaluation order, before custom formulas."""
-    fixed = F.array_compact(F.array(
-        *identity_rules(settings), *heuristic_rules(settings), *composite_rules(settings),
-        *consistency_rules(settings, need_trusted)))
+    fixed = F.array_compact(F.array(*rule_set.reasons(settings, need_trusted)))
     return F.concat(auth_reasons(settings), fixed, user_rules(settings))

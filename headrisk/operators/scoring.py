@@ -57,9 +57,9 @@ def listed(df: DataFrame, entries: tuple, columns: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, f"pos int, {columns}")
 
 
-def score_facts(facts: DataFrame, settings: Settings, need_trusted: bool = False) -> DataFrame:
+def score_facts(facts: DataFrame, settings: Settings, need_trusted: bool = False, rule_set: R.RuleSet = R.STANDARD) -> DataFrame:
     """Reasons, score and class of every facts row (after ``with_lookups``)."""
-    reasons = F.transform(R.all_reasons(settings, need_trusted), lambda r, i: F.struct(
+    reasons = F.transform(R.all_reasons(settings, need_trusted, rule_set), lambda r, i: F.struct(
         i.alias("seq"), r["layer"].alias("layer"), r["key"].alias("key"), r["label"].alias("label"),
         r["delta"].alias("delta"), r["ctx"].alias("ctx")))
     scored = computed(facts, reasons.alias("score_reasons"))
@@ -69,12 +69,12 @@ def score_facts(facts: DataFrame, settings: Settings, need_trusted: bool = False
 
 
 def assess(messages: DataFrame, settings: Settings, rules: SuffixRules, contacts: DataFrame | None = None,
-           account_domains: DataFrame | None = None, need_trusted: bool = False) -> DataFrame:
+           account_domains: DataFrame | None = None, need_trusted: bool = False, rule_set: R.RuleSet = R.STANDARD) -> DataFrame:
     """Facts and assessment of every message, all fact columns kept."""
     if is_long(settings.trusted_servers):
         messages = with_trusted_ids(messages, listed(messages, tuple(settings.valid_trusted()), "value string, match_type string"))
     facts = with_facts(messages, settings, rules)
-    return score_facts(with_lookups(facts, settings, contacts, account_domains), settings, need_trusted)
+    return score_facts(with_lookups(facts, settings, contacts, account_domains), settings, need_trusted, rule_set)
 
 
 ASSESSMENT_COLUMNS = ["msg_id", "account_id", "folder_id", "folder_name", "folder_type", "junk", "sent_at",
@@ -84,9 +84,9 @@ ASSESSMENT_COLUMNS = ["msg_id", "account_id", "folder_id", "folder_name", "folde
 
 def score_messages(messages: DataFrame, settings: Settings, rules: SuffixRules,
                    contacts: DataFrame | None = None, account_domains: DataFrame | None = None,
-                   need_trusted: bool = False) -> DataFrame:
+                   need_trusted: bool = False, rule_set: R.RuleSet = R.STANDARD) -> DataFrame:
     """``assessments(msg_id, ..., score, classification, score_reasons, formula_diagnostics)``."""
-    full = assess(messages, settings, rules, contacts, account_domains, need_trusted)
+    full = assess(messages, settings, rules, contacts, account_domains, need_trusted, rule_set)
     return full.select(*[c for c in ASSESSMENT_COLUMNS if c in full.columns])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from headrisk.operators import lookups as L
 from headrisk.operators import owners as OW
 from headrisk.operators import protection as P
 from headrisk.operators import report as RP
+from headrisk.operators import rules as R
 from headrisk.operators import scoring as S
 from headrisk.operators import settings as ST
 from headrisk.plans import derived_mail as M
@@ -21,6 +25,7 @@ from headrisk.plans import oracle as O
 from headrisk.plans.queries import (DOC_ADDRESS_SQL, HOST_SQL, assessed, doc_addresses, facts, facts_of, log, log_heads, looked_up, mailbox, messages,
                                     page_hosts, plan, query, rules, table)
 from headrisk.sources import mail as SRC
+from headrisk.streaming import jobs as J
 from headrisk.streaming.jobs import stream_counts
 
 big = lambda c: F.col(c).cast("bigint").alias(c)
@@ -168,6 +173,12 @@ def limit_per_folder(spark, sf):
     return RP.limit_per_folder(m, ["msg_id"], 100).select("msg_id", "folder_id")
 
 
+@query("limit_per_folder_deep", O.over("SELECT msg_id, folder_id, rn FROM (SELECT msg_id, folder_id, row_number() OVER (PARTITION BY folder_id ORDER BY received_at DESC, msg_id) AS rn FROM mail) WHERE rn <= 5000", O.MAIL))
+def limit_per_folder_deep(spark, sf):
+    m = messages(spark, sf).select("msg_id", "account_id", "folder_id", "folder_path", "received_at")
+    return RP.limit_per_folder(m, ["received_at DESC", "msg_id"], 5000).select("msg_id", "folder_id", big("rn"))
+
+
 @query("scope_folders", O.over("SELECT DISTINCT folder_id, folder_name, folder_type FROM mail", O.MAIL))
 def scope_folders(spark, sf):
     return RP.scope_folders(messages(spark, sf)).select("folder_id", "folder_name", "folder_type")
@@ -382,6 +393,23 @@ def ambiguous_exports(spark, sf):
     return r.select("msg_id", F.coalesce("match_count", F.lit(0)).alias("match_count"), "export_verdict")
 
 
+_SHARED = ("logged AS (SELECT msg_id, account_id, received_at, CASE WHEN msg_id % 3 = 0 THEN '<shared@id.test>' ELSE mid_h END AS mid FROM mail), "
+           "boxed AS (SELECT msg_id AS m, account_id AS a, CASE WHEN msg_id % 5 = 0 THEN 'shared@id.test' ELSE substring(mid_h, 2, length(mid_h) - 2) END AS k FROM mail), "
+           "per AS (SELECT k, a, min(m) AS m, count(*) AS n FROM boxed GROUP BY k, a), anywhere AS (SELECT k, min(m) AS m, sum(n) AS n FROM per GROUP BY k)")
+
+
+@query("shared_message_id", O.over(
+    "SELECT l.msg_id, CAST(y.n AS BIGINT) AS match_count, x.m IS NOT NULL AS in_own_account, 'account' || CAST(o_custkey % 20 AS VARCHAR) AS current_account_id "
+    "FROM logged l LEFT JOIN anywhere y ON y.k = substring(mid, 2, length(mid) - 2) LEFT JOIN per x ON x.k = y.k AND x.a = l.account_id "
+    "LEFT JOIN orders o ON o.o_orderkey = coalesce(x.m, y.m)", O.MAIL, _SHARED))
+def shared_message_id(spark, sf):
+    """A third of the log and a fifth of the mailbox share one Message-ID, in all accounts."""
+    entries = log_heads(spark, sf).select("msg_id", "account_id", F.when(F.col("msg_id") % 3 == 0, "<shared@id.test>").otherwise(F.col("rfc_message_id")).alias("rfc_message_id"))
+    box = mailbox(spark, sf).withColumn("header_message_id", F.when(F.col("msg_id") % 5 == 0, "shared@id.test").otherwise(F.col("header_message_id")))
+    r = H.resolve_log(entries, box, [])
+    return r.select("msg_id", "match_count", F.coalesce(F.col("current_account_id") == F.col("account_id"), F.lit(False)).alias("in_own_account"), "current_account_id")
+
+
 @query("find_log_entries", O.over("SELECT mid_h AS rfc_message_id, a.msg_id, score FROM assessed a WHERE a.msg_id IN (SELECT user_id * 131 - 4 FROM events)"))
 def find_log_entries(spark, sf):
     wanted = table(spark, sf, "events").select((F.col("user_id") * 131 - 4).alias("msg_id")).distinct().join(
@@ -865,3 +893,40 @@ def sender_rules_by_host(spark, sf):
                          (-n).cast("double").alias("score"))
     found = L.suffix_matches(hosts, lines.unionByName(above).unionByName(equal))
     return found.select("host", F.array_join(F.transform("sender_hits", lambda r: F.concat_ws("/", r["domain"], r["match_type"], r["score"].cast("int").cast("string"))), " ").alias("rules"))
+
+
+# ------------------------------------------------------------------ rules of the caller's own, the stored log
+
+OWN_RULES = R.STANDARD.without("composite.authAlignedRandomDomain", "identity.dkimDomainMismatch").with_rule(
+    R.Rule("own.longLocalPart", "L4", lambda: F.length("from_local") >= 6, 12.0, "Long local part", lambda: {"local_part": F.col("from_local")}),
+    R.Rule("own.subject", "L3", lambda: F.col("subject").endswith("URGENT"), 30.0, "Urgent subject"))
+
+
+@query("scores_with_own_rules", O.over(
+    "SELECT m.msg_id, CAST(coalesce(s, 0) AS DOUBLE) AS score, coalesce(keys, '') AS reason_keys FROM mail m LEFT JOIN (SELECT msg_id, coalesce(sum(delta) FILTER (layer <> 'L3'), 0) + "
+    f"least(coalesce(sum(delta) FILTER (layer = 'L3'), 0), {C.HEURISTIC_SCORES['layer3Cap']}) AS s, string_agg(key, ' ' ORDER BY ord) AS keys FROM changed GROUP BY msg_id) USING (msg_id)",
+    O.MAIL, O.FACTS, O.REASONS,
+    "changed AS (SELECT msg_id, layer, ord, key, delta FROM reasons WHERE key NOT IN ('composite.authAlignedRandomDomain', 'identity.dkimDomainMismatch') "
+    "UNION ALL SELECT msg_id, 'L4', 4901, 'own.longLocalPart', 12 FROM facts WHERE length(from_local) >= 6 UNION ALL SELECT msg_id, 'L3', 4902, 'own.subject', 30 FROM facts WHERE subject LIKE '%URGENT')"))
+def scores_with_own_rules(spark, sf):
+    scored = S.score_facts(looked_up(spark, sf), M.derived_settings(), rule_set=OWN_RULES)
+    return scored.select("msg_id", "score", F.array_join(F.transform("score_reasons", lambda r: r["key"]), " ").alias("reason_keys"))
+
+
+@query("stored_log", O.over(
+    "SELECT a.msg_id, score, CASE WHEN classification = 'normal' THEN 'classified-normal' WHEN classification = 'high-risk' THEN 'move-junk' "
+    f"WHEN {_HAS_REVIEW} THEN 'move-review' ELSE 'no-review-folder-configured' END AS action, coalesce(h.authserv_id, '') AS authserv_id, h.trusted, "
+    "date_trunc('year', a.received_at)::DATE AS assessed_on, row_number() OVER (PARTITION BY account_id ORDER BY a.received_at DESC, a.msg_id DESC) <= 100 AS retained "
+    "FROM assessed a LEFT JOIN (SELECT msg_id, authserv_id, trusted FROM heads WHERE ar_pos = 0) h USING (msg_id)"))
+def stored_log(spark, sf):
+    """Two batches written by the sink, one of them twice, read back, and the compacted newest hundred of each account."""
+    entries = S.route(assessed(spark, sf), M.derived_settings().with_(move_high_risk_to_junk=True), review_folders(spark, sf))
+    rows = H.full_log_entries(entries, F.col("received_at"), F.col("action"))
+    root = spark.conf.get(J.CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(J.CHECKPOINT_CONF) or tempfile.mkdtemp()
+    path = f"{root.rstrip('/')}/decision-log-{uuid.uuid4().hex}"
+    write = J.log_sink(f"{path}/batches", "mail", "year")
+    for batch in (0, 1, 1):
+        write(rows.where(F.col("msg_id") % 2 == batch), batch)
+    kept = J.compact_log(spark, f"{path}/batches", f"{path}/compacted", 100, period="year").select("msg_id", F.lit(True).alias("retained"))
+    return J.read_log_sink(spark, f"{path}/batches").join(kept, "msg_id", "left").select(
+        "msg_id", "score", "action", "authserv_id", "trusted", "assessed_on", F.coalesce("retained", F.lit(False)).alias("retained"))

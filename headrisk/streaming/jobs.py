@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from headrisk import constants as C
 from headrisk.functions.domains import SuffixRules
-from headrisk.operators.history import log_entries
+from headrisk.operators.history import log_entries, retain_latest
 from headrisk.operators.scoring import assess
 from headrisk.settings import Settings
 from headrisk.streaming.state import DELAYED_DDL, PACED_STREAM_DDL, DelayedAlert, PacedAlerts
 
+PERIOD_PARTS = 8
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -43,6 +44,32 @@ def score_stream(messages: DataFrame, path: str, checkpoint: str, settings: Sett
             .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
 
 
+def _dated(log: DataFrame, period: str, parts: int) -> DataFrame:
+    """Rows with the first day of their period, each period dealt to ``parts`` tasks and files."""
+    return (log.withColumn("assessed_on", F.to_date(F.date_trunc(period, "assessed_at")))
+            .repartition("assessed_on", F.pmod(F.xxhash64("msg_id"), F.lit(parts))))
+
+
+def log_sink(path: str, stream: str, period: str = "day", parts: int = PERIOD_PARTS):
+    """For ``foreachBatch``: each batch has a folder of its own below ``path``, which a replay of the batch overwrites."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _dated(batch, period, parts).write.mode("overwrite").partitionBy("assessed_on").parquet(f"{path}/stream={stream}/batch={batch_id}")
+    return write
+
+
+def read_log_sink(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of all streams of a log, with ``stream``, ``batch`` and ``assessed_on``, the first day of the period."""
+    return spark.read.option("basePath", path).parquet(path)
+
+
+def compact_log(spark: SparkSession, path: str, target: str, n: int = C.LOG_MAX, owner: str = "account_id", period: str = "day",
+                parts: int = PERIOD_PARTS) -> DataFrame:
+    """Write the newest ``n`` entries of every owner as few files per period; the batches stay as they are."""
+    kept = retain_latest(read_log_sink(spark, path), n, owner).drop("stream", "batch", "assessed_on")
+    _dated(kept, period, parts).write.mode("overwrite").partitionBy("assessed_on").parquet(target)
+    return spark.read.parquet(target)
+
+
 def dedup_alerts(alerts: DataFrame, delay: str = f"{C.ALERT_DELAY_MS} milliseconds") -> DataFrame:
     """Ignore a message that came up already within the delay."""
     return alerts.withWatermark("assessed_at", delay).dropDuplicatesWithinWatermark(["msg_id"])
