@@ -178,12 +178,18 @@ def _across(texts: pa.Array, others: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in kinds.values()], names=list(kinds))
 
 
+def _mark() -> F.Column:
+    """Orders rows that share an id; an empty text's is that of none."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+
+
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """A row for each document: fingerprints of its text and of its edited text, and how alike they and the next document's are."""
     bounded_batches(docs.sparkSession)
-    order = [F.col("doc").desc(), F.col("text").desc_nulls_last()]
-    ranged = docs.select(doc_key().alias("doc"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = saved(ranged.mapInArrow(_stretch, f"{_OUT}, part long, place long"), "ctph")
+    # ranges by a hash of the text: the sample that sets them goes to the driver
+    order = [F.col("doc").desc(), F.col("mark").desc()]
+    ranged = docs.select(doc_key().alias("doc"), "text", _mark()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = saved(ranged.drop("mark").mapInArrow(_stretch, f"{_OUT}, part long, place long"), "ctph")
     # borders of the tasks: two rows for each task that had documents
     ends = {r.part: r for r in rows.where("place = -1").select("part", "doc", "fingerprint", "n_chars").collect()}
     firsts = {r.part: r.doc for r in rows.where("place = 0").select("part", "doc").collect()}
@@ -193,10 +199,10 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         return rows.select(from_key("doc").alias("doc_id"), *_FIELDS[1:])
     borders = docs.sparkSession.createDataFrame(after, "part long, last_doc long, first_doc long, next_part long")
     wanted = [x for _, a, b, _ in after for x in (a, b)]
-    some = docs.where(doc_key().isin(wanted) if len(wanted) < 1000 else F.lit(True)).select(doc_key().alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    # of rows that share a border's id, the last of one task is the least text there and the first of the next the greatest
-    last = some.join(F.broadcast(borders), F.col("doc") == F.col("last_doc")).groupBy("part").agg(F.min("text").alias("text"))
-    first = some.join(F.broadcast(borders), F.col("doc") == F.col("first_doc")).groupBy("part").agg(F.max("text").alias("next_text"))
+    some = docs.where(doc_key().isin(wanted) if len(wanted) < 1000 else F.lit(True)).select(doc_key().alias("doc"), F.struct(_mark(), F.coalesce("text", F.lit("")).alias("text")).alias("x"))
+    # of rows that share a border's id, the last of one task has the least mark there and the first of the next the greatest
+    last = some.join(F.broadcast(borders), F.col("doc") == F.col("last_doc")).groupBy("part").agg(F.min("x").getField("text").alias("text"))
+    first = some.join(F.broadcast(borders), F.col("doc") == F.col("first_doc")).groupBy("part").agg(F.max("x").getField("text").alias("next_text"))
     met = last.join(first, "part").select(F.col("part").alias("met_part"), _across("text", "next_text").alias("x"))
     ends_done = (rows.where("place = -1").join(F.broadcast(met), F.col("part") == F.col("met_part"))
                  .select("doc", "n_chars", F.col("x.edited_sha256").alias("edited_sha256"), "fingerprint", F.col("x.edited_fingerprint").alias("edited_fingerprint"),
