@@ -28,7 +28,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: A text with an added token's string goes to the tokenizer whole: the string is that token there, wherever pieces would end.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = Memory(remember)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -36,7 +37,7 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Meant for some dozens of texts at a time, whose new pieces are encoded together."""
-        split = [None if t and _OTHER_SPACE.search(t) else _PIECE.findall(t or "") for t in texts]
+        split = [None if t and (_OTHER_SPACE.search(t) or any(a in t for a in self.added)) else _PIECE.findall(t or "") for t in texts]
         new = self.known.missing(set().union(*filter(None, split)))
         known = self.known.now
         stems = {p: s for p in new if (s := p.rstrip(_MARKS)) and len(s) < len(p) and s[-1].isalpha()}
