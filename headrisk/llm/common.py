@@ -45,6 +45,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def carried(docs: DataFrame, used: list[str]) -> DataFrame:
+    """The columns that an operator reads, and all others in one struct, so that their names meet none of the operator's."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in used]
+    return docs.select(*used, F.struct(F.lit(0).alias("none"), *rest).alias("_rest"))
+
+
+def as_came(done: DataFrame, docs: DataFrame, used: list[str], counts: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of docs again, then those of `counts` whose names docs does not have."""
+    own = [F.col(f"`{c}`") if c in used else F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return done.select(*own, *[c for c in counts if c not in docs.columns])
+
+
 def doc_key(column: str = "doc_id") -> F.Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 

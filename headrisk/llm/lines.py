@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from headrisk.llm.common import as_long, as_unsigned, bounded_batches, doc_key, mixed, saved, whole_groups
+from headrisk.llm.common import as_came, as_long, as_unsigned, bounded_batches, carried, doc_key, mixed, saved, whole_groups
 
 MIN_DOCS = 10
 DOCS_IN_BLOCK = 1000
@@ -197,14 +197,17 @@ def _block(n_blocks: int) -> F.Column:
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The documents with the lines left in `text`, and _n_lines (before) and _n_dropped."""
+    """The documents with the lines left in `text`, and _n_lines (before) and _n_dropped, unless docs has columns of these names, which stay."""
     bounded_batches(docs.sparkSession)
+    came, used = docs, ["doc_id", "text"]
+    docs = carried(came, used)
     n_blocks = max(1, -(-docs.count() // DOCS_IN_BLOCK))
     keys = common_keys(docs, n_blocks, min_docs)
     none = F.lit(None).cast("long")
     own = docs.select("*", _block(n_blocks).alias("_block"), F.lit(1).alias("_kind"), none.alias("_h1"), none.alias("_h2"))
     answers = keys.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema], F.col("block").alias("_block"),
                           F.lit(0).alias("_kind"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return (own.union(answers).repartition("_block").sortWithinPartitions("_block", "_kind")
-            .mapInArrow(_rewrite, f"{fields}, _n_lines long, _n_dropped long"))
+    counts = ("_n_lines", "_n_dropped")
+    schema = T.StructType([*docs.schema, *[T.StructField(c, T.LongType()) for c in counts]])
+    done = own.union(answers).repartition("_block").sortWithinPartitions("_block", "_kind").mapInArrow(_rewrite, schema)
+    return as_came(done, came, used, counts)

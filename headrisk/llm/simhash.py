@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from headrisk.llm.common import as_long, as_unsigned, bounded_batches, doc_key, from_key, mixed, saved, whole_groups
+from headrisk.llm.common import as_came, as_long, as_unsigned, bounded_batches, carried, doc_key, from_key, mixed, saved, whole_groups
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -200,8 +200,9 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS
     shared = groups.groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc").alias("_shared"))
     firsts = groups.groupBy("root").agg(F.min(F.struct("doc", "fp")).alias("x")).select(F.col("x.doc").alias("_first"), F.col("x.fp").alias("_fp"))
     firsts = firsts.join(shared, F.col("_first") == F.col("_shared"), "left").select("_first", "_fp", F.col("_shared").isNotNull().alias("_many"))
-    kept = docs.withColumn("_key", doc_key()).join(firsts, F.col("_key") == F.col("_first"))
+    used = ["doc_id", "text"]
+    kept = carried(docs, used).withColumn("_key", doc_key()).join(firsts, F.col("_key") == F.col("_first"))
     # only rows that share their id need a look at their text
     kept = kept.withColumn("_own", _fingerprints(shingle)(F.when(F.col("_many"), F.col("text")))).where("NOT _many OR _own = _fp")
     kept = kept.withColumn("_row", F.row_number().over(W.partitionBy("_key", "_fp").orderBy(F.lit(0)))).where("_row = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return as_came(kept, docs, used)

@@ -27,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from headrisk.llm.common import MULTIPLIER, as_long, as_unsigned, bounded_batches, doc_key, mixed, saved, whole_groups
+from headrisk.llm.common import MULTIPLIER, as_came, as_long, as_unsigned, bounded_batches, carried, doc_key, mixed, saved, whole_groups
 
 WINDOW = 20
 PREFIX = 8
@@ -257,12 +257,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with what is left of `text` (words joined by one space where any were removed; null becomes empty), _n_words before and _n_removed."""
+    """The documents with what is left of `text` (words joined by one space where any were removed; null becomes empty), _n_words before and _n_removed,
+    unless docs has columns of these names, which stay."""
     bounded_batches(docs.sparkSession)
+    came, used = docs, ["doc_id", "text"]
+    docs = carried(came, used)
     row = row_name(docs)
     found = saved(repeats(docs, row), "repeats")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    pressed = docs.select(doc_key().alias("_doc"), row.alias("_row"), "text", *rest).mapInArrow(_press, f"_doc long, _row long, text binary, {fields}")
-    done = _beside(pressed, found, ["doc", "row", "start", "end"]).mapInArrow(_cut, f"text string, {fields}, _n_words long, _n_removed long")
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns], "_n_words", "_n_removed")
+    fields = [f for f in docs.schema if f.name != "text"]
+    long = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    counts = ("_n_words", "_n_removed")
+    pressed = docs.select(doc_key().alias("_doc"), row.alias("_row"), "text", *rest).mapInArrow(_press, T.StructType([*long("_doc", "_row"), T.StructField("text", T.BinaryType()), *fields]))
+    done = _beside(pressed, found, ["doc", "row", "start", "end"]).mapInArrow(_cut, T.StructType([T.StructField("text", T.StringType()), *fields, *long(*counts)]))
+    return as_came(done, came, used, counts)

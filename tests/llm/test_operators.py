@@ -119,7 +119,6 @@ def library_ids(texts: list[str]) -> list[list[int]]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     return [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -398,3 +397,20 @@ def test_rows_with_one_id_are_edited_by_themselves(spark):
         done = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
         assert Counter((-1 if r.doc_id is None else r.doc_id, r._n_words, r._n_removed, " ".join(r.text.split()).encode()) for r in done) == want
     assert sum(r[2] for r in want) > 200
+
+
+CLASHES = ["_key", "_row", "_fp", "_many", "_own", "_first", "_shared", "_a", "_b", "_kind", "_doc", "_n_words", "_n_removed", "_block", "_h1", "_h2", "_n_lines", "_n_dropped", "_rest", "_", "quality", "limits",
+           "_q", "_salt", "_lang", "mark", "part", "place", "block", "doc", "root", "fp", "odd name"]
+
+
+@pytest.mark.parametrize("name,run", [("keep_good", quality.keep_good), ("drop_common_lines", lines.drop_common_lines), ("keep_first", simhash.keep_first), ("remove_repeats", substrings.remove_repeats)])
+def test_columns_with_names_of_the_operators_own(spark, name, run):
+    rows = [(r[0], r[1], r[2], r[3]) for r in corpus()[:70]]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    full = plain.select("*", *[F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")).alias(c) for i, c in enumerate(CLASHES)])
+    got, want = run(full), run(plain)
+    assert got.columns[:len(full.columns)] == full.columns and len(set(got.columns)) == len(got.columns)
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    rows = got.select(full.columns).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == texts(want)
+    assert all(r[c] == (None if r["doc_id"] is None else f"{i}:{r['doc_id']}") for r in rows for i, c in enumerate(CLASHES))
