@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
-from headrisk.llm.common import bounded_batches, saved
+from headrisk.llm.common import as_came, bounded_batches, carried, saved
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -61,6 +61,10 @@ def counts_of(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=COUNTS)
 
 
+#: Counting is costly, and the optimizer would copy it into each filter on a count.
+counts_of = counts_of.asNondeterministic()
+
+
 def with_counts(docs: DataFrame) -> DataFrame:
     """Adds `quality`: the counts, the rates and base_failed."""
     q = F.col("_q")
@@ -150,8 +154,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass the base rules and their group's limits, with their columns as they were."""
     bounded_batches(docs.sparkSession)
     used = ["doc_id", "lang", "source", "text"]
-    rest = [c for c in docs.columns if c not in used]
-    own = docs.select(*used, F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("_rest"))
-    counted = with_counts(own)
+    counted = with_counts(carried(docs, used))
     limits = saved(thresholds(sketches(counted, ["lang", "source"])), "limits")
-    return judged(counted, limits).where("kept").select(*[F.col(c) if c in used else F.col("_rest")[c].alias(c) for c in docs.columns])
+    return as_came(judged(counted, limits).where("kept"), docs, used)
