@@ -122,6 +122,55 @@ def page(df: DataFrame, order: list, number: int, size: int = C.PAGE_SIZE) -> Da
     return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)) + number * size)
 
 
+#: Ranges that an index is built in, and keys of the sample that borders them.
+INDEX_RANGES, INDEX_SAMPLE = 64, 4096
+
+
+def _key(order: list[str]) -> Column:
+    return F.struct(*order)
+
+
+def _literal(row, schema, order: list[str]) -> Column:
+    return F.struct(*[F.lit(row[c]).cast(schema[c].dataType).alias(c) for c in order])
+
+
+def page_index(df: DataFrame, order: list[str], size: int = C.PAGE_SIZE) -> DataFrame:
+    """``(page, position, <order>)``: the key that each page begins with, and the place of its first row.
+
+    ``order`` names columns, ascending, that tell all rows apart. A sample of keys, by hash, borders
+    ``INDEX_RANGES`` ranges; ranges are counted, and each is ranked by its own task. The sample decides
+    how even the ranges are, never a page. One row per page: store it and read pages by it.
+    """
+    size = max(1, int(size))
+    keys = df.select(*order)
+    part = min(1.0, INDEX_SAMPLE / max(keys.count(), 1))
+    sample = keys.where(F.pmod(F.xxhash64(*order), F.lit(1_000_000)) < int(part * 1_000_000) + 1).orderBy(*order).collect()
+    step = max(1, -(-len(sample) // INDEX_RANGES))
+    borders = [_literal(r, keys.schema, order) for r in sample[step::step]]
+    # borders are fixed values now, so counting and ranking see the same ranges
+    number = F.size(F.filter(F.array(*borders), lambda b: b <= _key(order))) if borders else F.lit(0)
+    ranged = keys.withColumn("_range", number)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("n")).select(F.col("_range").alias("_r"), before.alias("_before"))  # at most INDEX_RANGES rows
+    ranked = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    position = F.col("_before") + F.col("_place")
+    return (ranked.join(F.broadcast(starts), F.col("_range") == F.col("_r")).where((position - 1) % size == 0)
+            .select(((position - 1) / size).cast("long").alias("page"), position.alias("position"), *order))
+
+
+def read_page(df: DataFrame, index: DataFrame, order: list[str], number: int) -> DataFrame:
+    """One page by the range of its keys, with 1-based positions: no offset and no count, however deep it lies. The number is clamped."""
+    at = index.where(F.col("page").isin(max(0, int(number)), max(0, int(number)) + 1)).orderBy("page").collect()
+    if not at or at[0]["page"] != max(0, int(number)):
+        at = index.orderBy(F.desc("page")).limit(1).collect()
+    if not at:
+        return df.limit(0).withColumn("position", F.lit(0).cast("long"))
+    rows = df.where(_key(order) >= _literal(at[0], df.schema, order))
+    if len(at) > 1:
+        rows = rows.where(_key(order) < _literal(at[1], df.schema, order))
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(*order)) + F.lit(at[0]["position"] - 1))  # a page's rows
+
+
 def filter_rules(report: DataFrame, layer: str = "all", include_diagnostic: bool = True) -> DataFrame:
     if layer in C.LAYERS:
         report = report.where(F.col("layer") == layer)

@@ -86,6 +86,22 @@ def rule_drilldown_page(spark, sf):
     return RP.page(hits, ["msg_id"], 2).select("msg_id", big("position"))
 
 
+@query("folder_page", O.over(
+    "SELECT msg_id, position FROM (SELECT msg_id, row_number() OVER (ORDER BY received_at, msg_id) AS position, (row_number() OVER (ORDER BY received_at, msg_id) - 1) // 100 AS page, "
+    "(count(*) OVER () - 1) // 100 AS last FROM mail WHERE folder_id = 'inbox') WHERE page = least(57, last)", O.MAIL))
+def folder_page(spark, sf):
+    inbox = RP.scope_by_folder(messages(spark, sf), "inbox").select("msg_id", "received_at")
+    order = ["received_at", "msg_id"]
+    return RP.read_page(inbox, RP.page_index(inbox, order), order, 57).select("msg_id", big("position"))
+
+
+@query("page_starts", O.over(
+    "SELECT (position - 1) // 100 AS page, position, msg_id FROM (SELECT msg_id, row_number() OVER (ORDER BY received_at, msg_id) AS position FROM mail) WHERE position % 100 = 1", O.MAIL))
+def page_starts(spark, sf):
+    index = RP.page_index(messages(spark, sf).select("msg_id", "received_at"), ["received_at", "msg_id"])
+    return index.select(big("page"), big("position"), "msg_id")
+
+
 @query("describe_rules", "WITH " + REPORT_SQL.split("hits AS")[0].strip().rstrip(",") +
        ", seen AS (SELECT 'auth.' || m || '.' || r AS key FROM (VALUES ('spf'), ('dkim')) a(m) CROSS JOIN (VALUES ('pass'), ('fail')) b(r) "
        "UNION ALL SELECT 'custom.formula.' || o_orderpriority FROM orders UNION ALL SELECT 'whitelist.manual') "
