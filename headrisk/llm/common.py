@@ -70,6 +70,20 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def parts_of(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """Consecutive texts of at most so many characters together, or one longer text."""
+    some: list[str] = []
+    size = 0
+    for t in texts:
+        if some and size + len(t) > chars:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
+
+
 def batches_of(rows: Iterator[dict], schema: pa.Schema, size: int = 1000) -> Iterator[pa.RecordBatch]:
     """Rows gathered into batches."""
     some: list[dict] = []

@@ -24,7 +24,7 @@ from headrisk.llm.common import bounded_batches, saved
 from headrisk.llm.tokens import REMEMBERED, encoder
 
 SIZE = 2048
-TEXTS_AT_ONCE = 64
+TEXTS_AT_ONCE = 4096
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
