@@ -1,7 +1,7 @@
 """Token ids in files: shards of separately compressed documents, with a shared dictionary and an offset index.
 
 A file set is two tables in a folder. `dictionary` has one row: the zstandard dictionary (trained on the serialized ids of a bounded
-sample of documents: the `SAMPLE` ones with the smallest hash of their id, `SAMPLE_CHARS` characters of each) and its hash. `shards`
+sample of documents: the `SAMPLE` ones with the smallest hash of their id, `SAMPLE_CHARS` characters of each in `SAMPLE_CUTS` cuts spread over its whole text) and its hash. `shards`
 has a row for about `SHARD_BYTES` of compressed documents, in ascending order of their ids: the hash of the dictionary, the ids, token
 counts and byte offsets of its documents, its tokens before it within its task's part, and the frames one after the other. A document is
 read by its frame alone. The range partitioning gives every task a stretch of ids; the totals of the tasks are summed up on
@@ -29,6 +29,7 @@ from headrisk.llm.tokens import encoder
 
 SAMPLE = 2000
 SAMPLE_CHARS = 4096
+SAMPLE_CUTS = 8
 DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 1 << 20
 LEVEL = 3
@@ -61,7 +62,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"ids": [x.tobytes() for x in _ids(batch.column(0).to_pylist(), tokenizer, end_id, width)]})
 
-    some = docs.where(mark <= bound).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE).mapInArrow(serialized, "ids binary")
+    cut, length = SAMPLE_CHARS // SAMPLE_CUTS, F.greatest(F.length("text"), F.lit(SAMPLE_CHARS))
+    cuts = F.concat(*[F.substring("text", F.floor(length * k / SAMPLE_CUTS).cast("int") + 1, F.lit(cut)) for k in range(SAMPLE_CUTS)])
+    some = docs.where(mark <= bound).select(cuts.alias("text")).limit(SAMPLE).mapInArrow(serialized, "ids binary")
     samples = sorted(bytes(r.ids) for r in some.collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8, level=LEVEL).as_bytes()
