@@ -129,14 +129,28 @@ def outcomes(spark, sf, limit) -> DataFrame:
     return RP.run_outcomes(RP.tag_requests(requested, RP.resolve_limit(limit)), messages(spark, sf))
 
 
-@query("run_totals", O.over(
-    "SELECT count(*) AS requested, count(*) FILTER (outcome = 'analysed') AS analysed, count(*) FILTER (outcome = 'not-found') AS failed, "
-    "count(*) FILTER (outcome IN ('invalid-id', 'duplicate')) AS skipped, count(*) FILTER (outcome = 'over-limit') AS over_limit, "
-    "'partial' AS state FROM tagged", _REQ.format(n=50)))
+_TOTALS = """SELECT *, CASE WHEN requested = 0 THEN 'empty' WHEN failed + skipped + over_limit > 0 THEN 'partial' ELSE 'complete' END AS state
+  FROM (SELECT count(*) AS requested, count(*) FILTER (outcome = 'analysed') AS analysed, count(*) FILTER (outcome = 'not-found') AS failed,
+        count(*) FILTER (outcome IN ('invalid-id', 'duplicate')) AS skipped, count(*) FILTER (outcome = 'over-limit') AS over_limit FROM tagged {where})"""
+
+
+@query("run_totals", O.over(_TOTALS.format(where=""), _REQ.format(n=10**9)))
 def run_totals(spark, sf):
+    return RP.run_state(RP.run_totals(outcomes(spark, sf, None)))
+
+
+@query("run_totals_limited", O.over(_TOTALS.format(where=""), _REQ.format(n=50)))
+def run_totals_limited(spark, sf):
+    """A run with a limit of 50 messages: the limit is what this query shows."""
     return RP.run_state(RP.run_totals(outcomes(spark, sf, 50)))
 
 
+@query("run_totals_complete", O.over(_TOTALS.format(where="WHERE outcome = 'analysed'"), _REQ.format(n=10**9)))
+def run_totals_complete(spark, sf):
+    """The run again over the messages that could be read: nothing is left over."""
+    return RP.run_state(RP.run_totals(outcomes(spark, sf, None).where("outcome = 'analysed'")))
+
+
 @query("run_rejects", O.over("SELECT pos, msg_id, outcome FROM tagged WHERE outcome <> 'analysed'", _REQ.format(n=10**9)))
 def run_rejects(spark, sf):
     return outcomes(spark, sf, None).where("outcome <> 'analysed'").select("pos", "msg_id", "outcome")
