@@ -9,7 +9,6 @@ from headrisk import constants as C
 from headrisk.operators.lookups import top_n
 from headrisk.settings import Settings
 
-SORT_KEYS = ("matches", "rule")
 
 
 # ------------------------------------------------------------------ keys and order
@@ -177,20 +176,22 @@ def filter_rules(report: DataFrame, layer: str = "all", include_diagnostic: bool
     return report if include_diagnostic else report.where(~F.col("diagnostic"))
 
 
-def sort_rules(report: DataFrame, key: str = "matches", direction: str | None = None) -> DataFrame:
-    key = key if key in SORT_KEYS else "matches"
-    if direction not in ("asc", "desc"):
-        direction = "asc" if key == "rule" else "desc"
+def sort_columns(key: str = "matches", direction: str | None = None) -> list[F.Column]:
+    """The order of a report's rules: by matches, most first, or by rule in canonical order, unless a direction is given. Unknown keys count as matches."""
     canonical = canonical_order(F.col("key"))
     if key == "rule":
-        return report.orderBy(*[c.asc() if direction == "asc" else c.desc() for c in canonical])
+        return [c.desc() if direction == "desc" else c.asc() for c in canonical]
     count = F.col("match_count")
-    return report.orderBy(count.asc() if direction == "asc" else count.desc(), *canonical)
+    return [count.asc() if direction == "asc" else count.desc(), *canonical]
+
+
+def sort_rules(report: DataFrame, key: str = "matches", direction: str | None = None) -> DataFrame:
+    return report.orderBy(*sort_columns(key, direction))
 
 
-def rank_rules(report: DataFrame) -> DataFrame:
-    """Place of every rule by matches; a report has one row per rule, a few dozen in all."""
-    order = Window.orderBy(F.desc("match_count"), *canonical_order(F.col("key")))
+def rank_rules(report: DataFrame, key: str = "matches", direction: str | None = None) -> DataFrame:
+    """Place of every rule in an order; a report has one row per rule, a few dozen in all."""
+    order = Window.orderBy(*sort_columns(key, direction))
     return report.withColumn("place", F.row_number().over(order))
 
 

@@ -68,6 +68,17 @@ def rule_report_sorted(spark, sf):
         big("place"), "key", "match_count", RP.match_share(F.col("match_count"), F.col("analysed")).alias("share")))
 
 
+@query("rule_report_orders", O.over(
+    "SELECT key, row_number() OVER (ORDER BY match_count DESC, layer, rank, key) AS matches_down, row_number() OVER (ORDER BY match_count, layer, rank, key) AS matches_up, "
+    "row_number() OVER (ORDER BY layer, rank, key) AS rule_up, row_number() OVER (ORDER BY layer DESC, rank DESC, key DESC) AS rule_down FROM report", *_STAGES))
+def rule_report_orders(spark, sf):
+    """The place of every rule in each order that a report can be sorted by."""
+    ranked = report(spark, sf).select("key", "match_count")
+    for name, key, direction in (("matches_down", "matches", None), ("matches_up", "matches", "asc"), ("rule_up", "rule", None), ("rule_down", "rule", "desc")):
+        ranked = RP.rank_rules(ranked, key, direction).withColumnRenamed("place", name)
+    return ranked.select("key", *[big(n) for n in ("matches_down", "matches_up", "rule_up", "rule_down")])
+
+
 @query("rule_report_filtered", O.over("SELECT key, match_count FROM report WHERE layer = 'L4' AND NOT (type0 = 'diagnostic' AND NOT (up OR down))", *_STAGES))
 def rule_report_filtered(spark, sf):
     return RP.filter_rules(report(spark, sf), "L4", include_diagnostic=False).select("key", "match_count")
