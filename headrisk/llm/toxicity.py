@@ -5,8 +5,10 @@ All words and word pairs of all training texts are counted, by class, and those
 corpus is: a rarer word is as good as unseen, a rarer pair backs off. In both orders a class keeps its counts less a discount, and gives the rest
 of its mass to the next lower order; the lowest is shared: the continuation counts (distinct words before a word) of both classes together.
 
-The model is a table of hashes of words and pairs with what they say for one class, and grows with the corpus; it is sent nowhere. Documents are numbered in blocks of
-`BLOCK_BYTES` of text; a block asks once for each of its distinct words and pairs, and a join brings what is known of them back beside the block's texts.
+The model is a table of hashes of words and pairs with what they say for one class, and grows with the corpus. Texts stay where they are read: the at most
+`HOT` entries counted most often are broadcast, and each task resolves with them what it can. All other entries have a Bloom filter of at most
+`FILTER_BYTES`, also broadcast. Only places of a text that the filter cannot clear ask for their entries, by a join; what the filter lets through wrongly finds
+nothing there, so scores do not depend on how many entries either bound holds.
 
 A text's score compares the mean log-likelihoods per word, of all words and of those that speak for one class by more than `STRONG`: toxic texts are mostly
 ordinary, and the many small differences of their other words would hide the few large ones. A logistic function of both differences and of the length
@@ -33,8 +35,13 @@ LEAST = 3
 DISCOUNT = 0.75
 SCALE_ROWS = 20_000
 STRONG = 2.0
-#: Text of the documents that ask together.
-BLOCK_BYTES = 16 << 20
+#: Entries that every task holds, the most frequent: 24 bytes each.
+HOT = 500_000
+#: Most bytes of the filter of all other entries, and those of one of its segments.
+FILTER_BYTES = 16 << 20
+SEGMENT_BYTES = 64 << 10
+#: Words that a task counts together.
+COUNT_WORDS = 2_000_000
 #: Copies of the words' table, so that the pairs of a common word meet it in many tasks.
 COPIES = 16
 #: ASCII marks count as spaces, A-Z as a-z.
@@ -76,24 +83,69 @@ def pair_names(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * MULTIPLIER + second)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (second is null) and pairs of training texts with their counts by class."""
-    unpress = zstandard.ZstdDecompressor()
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[np.ndarray]]]:
+    """The names of the words of the texts, ordinary and toxic, a few million words at a time."""
+    unpress, found, size = zstandard.ZstdDecompressor(), [[], []], 0
     for batch in batches:
-        found: tuple[list, list] = ([], [])
         for text, toxic in zip(batch.column("pressed"), batch.column("toxic").to_pylist()):
             found[toxic].append(word_names(plain_words(unpress.decompress(text.as_py()))))
+            size += len(found[toxic][-1])
+            if size >= COUNT_WORDS:
+                yield found
+                found, size = [[], []], 0
+    if size:
+        yield found
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts by class, and those as the first of a pair."""
+    for found in _counted(batches):
         for toxic, texts in enumerate(found):
+            texts = [x for x in texts if len(x)]
             if not texts:
                 continue
-            words, n_words = np.unique(np.concatenate(texts), return_counts=True)
-            first, second = (np.concatenate([x[s] for x in texts]) for s in (slice(None, -1), slice(1, None)))
-            _, at, n_pairs = np.unique(pair_names(first, second), return_index=True, return_counts=True)
-            n = np.concatenate([n_words, n_pairs])
-            zero = np.zeros(len(n), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate([words, first[at]]))),
-                                              pa.array(as_long(np.concatenate([words, second[at]])), mask=np.arange(len(n)) < len(words)),
-                                              pa.array(zero if toxic else n), pa.array(n if toxic else zero)], names=["first", "second", "ordinary", "toxic"])
+            words, at, n = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+            lasts = np.bincount(at[np.cumsum([len(x) for x in texts]) - 1], minlength=len(words))
+            own, none = (n, n - lasts), (np.zeros(len(n), np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (as_long(words), *(none if toxic else own), *(own if toxic else none))],
+                                             names=["word", "ordinary", "context_ordinary", "toxic", "context_toxic"])
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their counts, those of toxic texts in the upper half of n; sorted by the second word, so that the rows of one stand together in the shuffle and pack well."""
+    for found in _counted(batches):
+        first, second = (np.concatenate([x[s] for texts in found for x in texts]) for s in (slice(None, -1), slice(1, None)))
+        n = np.repeat(np.array([1, 1 << 32]), [sum(max(len(x) - 1, 0) for x in texts) for texts in found])
+        order = np.lexsort((first, second))
+        first, second, n = first[order], second[order], n[order]
+        new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(n) else np.zeros(0, np.int64)
+        if len(new):
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(second[new])), pa.array(as_long(first[new])), pa.array(np.add.reduceat(n, new))], names=["second", "first", "n"])
+
+
+def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by both words: how many distinct pairs end in a word (first is null), and the pairs met LEAST times in a class."""
+    held = np.zeros((4, 0), np.int64)
+
+    def done(pairs: np.ndarray) -> pa.RecordBatch:
+        ends, n = np.unique(pairs[0], return_counts=True)
+        often = pairs[:, (pairs[2:] >= LEAST).any(axis=0)]
+        none, is_end = np.zeros(len(ends), np.int64), np.arange(len(ends) + often.shape[1]) < len(ends)
+        columns = [np.r_[ends, often[0]], np.r_[none, often[1]], np.r_[n, np.zeros(often.shape[1], np.int64)], np.r_[none, often[2]], np.r_[none, often[3]]]
+        return pa.RecordBatch.from_arrays([pa.array(c, mask=is_end) if i == 1 else pa.array(c) for i, c in enumerate(columns)], names=["second", "first", "before", "ordinary", "toxic"])
+
+    for batch in batches:
+        second, first, n = (batch.column(c).to_numpy() for c in ("second", "first", "n"))
+        rows = np.concatenate([held, np.stack([second, first, n & 0xFFFFFFFF, n >> 32])], axis=1)
+        if not rows.shape[1]:
+            continue
+        new = np.flatnonzero(np.r_[True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])
+        pairs = np.concatenate([rows[:2, new], np.add.reduceat(rows[2:], new, axis=1)])
+        if len(new) > 1:
+            yield done(pairs[:, :-1])
+        held = pairs[:, -1:]
+    if held.shape[1]:
+        yield done(held)
 
 
 class Model:
@@ -116,23 +168,27 @@ class Model:
 
 
 def train(texts: DataFrame) -> tuple[DataFrame, float]:
-    """name, word_gap and left of the words and pairs with an entry, and the word_gap of all other words.
-
-    word_gap is the log-probability, toxic less ordinary, of a word or of a pair's second word after the first; left, null for pairs, is that of backing off after a word."""
-    counts = saved(texts.select("pressed", "toxic").mapInArrow(_count, "first long, second long, ordinary long, toxic long")
-                   .groupBy("first", "second").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "toxicity-counts")
+    """name, word_gap, left and n of the words and pairs with an entry, and the word_gap of all other words.
+
+    word_gap is the log-probability, toxic less ordinary, of a word or of a pair's second word after the first; left, null for pairs, is that of backing off after a word;
+    n is the number of times it was met."""
+    texts = texts.select("pressed", "toxic")
+    words = saved(texts.mapInArrow(_count_words, "word long, ordinary long, context_ordinary long, toxic long, context_toxic long")
+                  .groupBy("word").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic", "context_ordinary", "context_toxic")]), "toxicity-words")
+    merged = saved(texts.mapInArrow(_count_pairs, "second long, first long, n long").repartition("second", F.pmod("first", F.lit(COPIES)))
+                   .sortWithinPartitions("second", "first").mapInArrow(_merge_pairs, "second long, first long, before long, ordinary long, toxic long"), "toxicity-pairs")
     often = (F.col("ordinary") >= LEAST) | (F.col("toxic") >= LEAST)
     own = {c: F.when(often, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).otherwise(0.0) for c in ("ordinary", "toxic")}
-    words, pairs = counts.where("second IS NULL"), counts.where("second IS NOT NULL")
+    ends, pairs = merged.where("first IS NULL"), merged.where("first IS NOT NULL")
     of = words.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(k) for k, x in
                                               [("ordinary", F.col("ordinary")), ("toxic", F.col("toxic")), ("own_ordinary", own["ordinary"]), ("own_toxic", own["toxic"])]]).first()
-    places = pairs.count() + of.n + 1
+    places = (ends.agg(F.sum("before")).first()[0] or 0) + of.n + 1
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
     sums = ["ordinary", "toxic", "before", "context_ordinary", "context_toxic", "kept_ordinary", "kept_toxic"]
     row = lambda word, *values: [F.col(word).alias("word"), *[v.alias(k) for k, v in zip(sums, values)]]
-    parts = (words.select(row("first", F.col("ordinary"), F.col("toxic"), zero, zero, zero, none, none))
-             .union(pairs.select(row("second", zero, zero, F.lit(1).cast("long"), zero, zero, none, none)))
-             .union(pairs.select(row("first", zero, zero, zero, F.col("ordinary"), F.col("toxic"), own["ordinary"], own["toxic"]))))
+    parts = (words.where(often).select(row("word", F.col("ordinary"), F.col("toxic"), zero, F.col("context_ordinary"), F.col("context_toxic"), none, none))
+             .union(ends.select(row("second", zero, zero, F.col("before"), zero, zero, none, none)))
+             .union(pairs.select(row("first", zero, zero, zero, zero, zero, own["ordinary"], own["toxic"]))))
     known = parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in sums]).where(often)
     rest = {}
     for c in ("ordinary", "toxic"):
@@ -140,18 +196,18 @@ def train(texts: DataFrame) -> tuple[DataFrame, float]:
         known = known.withColumn(f"uni_{c}", own[c] / total + (F.col("before") + 1.0) / places * rest[c])
         known = known.withColumn(f"context_{c}", F.greatest(f"context_{c}", F.lit(1)))
         known = known.withColumn(f"left_{c}", F.greatest(1 - F.col(f"kept_{c}") / F.col(f"context_{c}"), F.lit(1e-9)))
-    known = saved(known.drop("before", "kept_ordinary", "kept_toxic"), "toxicity-words")
+    known = saved(known.drop("before", "kept_ordinary", "kept_toxic"), "toxicity-known")
 
     gap = lambda x: F.log(x("toxic")) - F.log(x("ordinary"))
     copied = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).drop("ordinary", "toxic")
-    often_pairs = pairs.where(often).withColumn("salt", F.pmod(F.xxhash64("first", "second"), F.lit(COPIES)).cast("int"))
+    often_pairs = pairs.drop("before").withColumn("salt", F.pmod(F.xxhash64("first", "second"), F.lit(COPIES)).cast("int"))
     firsts = copied.select(F.col("word").alias("w1"), F.col("copy").alias("c1"), "context_ordinary", "context_toxic", "left_ordinary", "left_toxic")
     seconds = copied.select(F.col("word").alias("w2"), F.col("copy").alias("c2"), "uni_ordinary", "uni_toxic")
     joined = (often_pairs.join(firsts, (F.col("first") == F.col("w1")) & (F.col("salt") == F.col("c1")))
               .join(seconds, (F.col("second") == F.col("w2")) & (F.col("salt") == F.col("c2"))))
     of_pair = lambda c: own[c] / F.col(f"context_{c}") + F.col(f"left_{c}") * F.col(f"uni_{c}")
-    entries = (known.select(F.col("word").alias("name"), gap(lambda c: F.col(f"uni_{c}")).alias("word_gap"), gap(lambda c: F.col(f"left_{c}")).alias("left"))
-               .union(joined.select(_pair_name("first", "second"), gap(of_pair), F.lit(None).cast("double"))))
+    entries = (known.select(F.col("word").alias("name"), gap(lambda c: F.col(f"uni_{c}")).alias("word_gap"), gap(lambda c: F.col(f"left_{c}")).alias("left"), (F.col("ordinary") + F.col("toxic")).alias("n"))
+               .union(joined.select(_pair_name("first", "second"), gap(of_pair), F.lit(None).cast("double"), F.col("ordinary") + F.col("toxic"))))
     return saved(entries, "toxicity-entries"), float(np.log(max(rest["toxic"], 1e-9)) - np.log(max(rest["ordinary"], 1e-9)))
 
 
@@ -160,103 +216,165 @@ def _pair_name(first: pa.Array, second: pa.Array) -> pa.Array:
     return pa.array(as_long(pair_names(as_unsigned(first.to_numpy()), as_unsigned(second.to_numpy()))))
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the number of their block, which no other task gives."""
-    press, block, size = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        texts, numbers = [], []
-        for t in batch.column(1):
-            text = (t.as_py() or "").encode()
-            if size and size + len(text) > BLOCK_BYTES:
-                block, size = block + 1, 0
-            size += len(text)
-            texts.append(press.compress(text))
-            numbers.append(block)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(numbers, pa.int64())], names=["doc_id", "pressed", "block"])
+def _rank(n: F.Column) -> F.Column:
+    """Counts in steps of a fifth or less, few enough to be counted on the driver."""
+    return F.when(n < 16, n).otherwise(F.floor(4 * F.log2(n))).cast("int")
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """name and block of each distinct word and pair of a block."""
-    unpress, now, asked = zstandard.ZstdDecompressor(), None, np.zeros(0, np.uint64)
+def hot_entries(entries: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """The entries of the highest ranks, at most so many in all, sorted by name, and the least rank among them."""
+    least, total = 1 << 20, 0
+    for r in sorted(entries.groupBy(_rank(F.col("n")).alias("rank")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        if total + r.rows > most:
+            break
+        least, total = r["rank"], total + r.rows
+    some = entries.where(_rank(F.col("n")) >= least).select("name", "word_gap", "left").toArrow()
+    name, gap, left = (some.column(c).to_numpy() for c in ("name", "word_gap", "left"))
+    order = np.argsort(as_unsigned(name))
+    return (as_unsigned(name)[order], gap[order].astype(float), left[order].astype(float)), least
+
+
+def _probes(names: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segment of each name and, a row for each of three probes, its bits there."""
+    bits, hashes = np.uint64(8 * SEGMENT_BYTES), mixed(names)
+    return (names % np.uint64(segments)).astype(np.int64), np.stack([(hashes >> np.uint64(20 * i)) % bits for i in range(3)]).astype(np.int64)
+
+
+def tail_filter(entries: DataFrame, most_bytes: int) -> np.ndarray:
+    """A Bloom filter of names, a row for each segment: ten bits for each name, but no more than `most_bytes` in all."""
+    n = entries.count()
+    segments = int(min(max(-(-10 * n // (8 * SEGMENT_BYTES)), 1), max(most_bytes // SEGMENT_BYTES, 1)))
+    out = np.zeros((segments, SEGMENT_BYTES), np.uint8)
+    if not n:
+        return out
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of names sorted by segment."""
+        now, bits = None, np.zeros(8 * SEGMENT_BYTES, bool)
+        give = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
+        for batch in batches:
+            segment, at = _probes(as_unsigned(batch.column("name").to_numpy()), segments)
+            borders = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1], True]) if len(segment) else []
+            for i, j in zip(borders, borders[1:]):
+                if now is not None and segment[i] != now:
+                    yield give()
+                    bits[:] = False
+                now = int(segment[i])
+                bits[at[:, i:j].ravel()] = True
+        if now is not None:
+            yield give()
 
-    def request() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(as_long(asked)), pa.array(np.full(len(asked), now, np.int64))], names=["name", "block"])
+    split = entries.select("name", _segment(segments)("name").alias("segment")).repartition("segment").sortWithinPartitions("segment")
+    for r in split.mapInArrow(fill, "segment long, bits binary").collect():
+        out[r.segment] = np.frombuffer(r.bits, np.uint8)
+    return out
 
-    for batch in batches:
-        blocks = batch.column("block").to_numpy()
-        borders = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1], True]) if len(blocks) else []
-        for i, j in zip(borders, borders[1:]):
-            if now is not None and blocks[i] != now:
-                yield request()
-                asked = asked[:0]
-            now, found = blocks[i], [asked]
-            for text in batch.column("pressed")[i:j]:
-                names = word_names(plain_words(unpress.decompress(text.as_py())))
-                found.extend((names, pair_names(names[:-1], names[1:])))
-            asked = np.unique(np.concatenate(found))
-    if now is not None:
-        yield request()
-
-
-def differences(names: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray], other: float) -> tuple[float, float]:
-    """Log-likelihood of a text, toxic less ordinary: the mean per word, and the sum of what single words have beyond STRONG. known: sorted names with their gaps and lefts."""
+
+def _segment(segments: int):
+    @F.arrow_udf(T.LongType())
+    def of(names: pa.Array) -> pa.Array:
+        return pa.array((as_unsigned(names.to_numpy()) % np.uint64(segments)).astype(np.int64))
+
+    return of
+
+
+def _held(names: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Which names the filter may hold."""
+    segment, at = _probes(names, len(filled))
+    out = np.ones(len(names), bool)
+    for row in at:
+        out &= (filled[segment, row >> 3] >> (7 - (row & 7)) & 1).astype(bool)
+    return out
+
+
+def _look(asked: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the asked in sorted names, and which are there."""
     if not len(names):
-        return 0.0, 0.0
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    where = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+    return where, names[where] == asked
+
 
-    def look(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        where = np.minimum(np.searchsorted(known[0], asked), max(len(known[0]) - 1, 0))
-        return where, known[0][where] == asked if len(known[0]) else np.zeros(len(asked), bool)
+WORD, LEFT, PAIR = 0, 1, 2
 
-    where, hit = look(names)
-    out, left = np.full(len(names), other), np.zeros(len(names))
-    out[hit], left[hit] = known[1][where[hit]], known[2][where[hit]]
-    out[1:] += left[:-1]
-    where, hit = look(pair_names(names[:-1], names[1:]))
-    out[1:][hit] = known[1][where[hit]]
-    return float(out.mean()), float(np.maximum(out - STRONG, 0).sum())
 
+def resolved(names: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray], filled: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """The log-likelihood of each word of a text, toxic less ordinary, which of them are settled, and what the others ask for: kind, places and names.
 
-def _measure(other: float):
+    What is not settled holds the word's own value and, in the second row, that of backing off, each as if its entry did not exist."""
+    out = np.zeros((2, len(names)))
+    if not len(names):
+        return out, np.zeros(0, bool), []
+    distinct, at = np.unique(names, return_inverse=True)
+    where, hit = _look(distinct, hot[0])
+    own, left = np.full(len(distinct), other), np.zeros(len(distinct))
+    own[hit], left[hit] = hot[1][where[hit]], hot[2][where[hit]]
+    maybe = ~hit
+    maybe[maybe] = _held(distinct[maybe], filled)
+    out[0], out[1, 1:] = own[at], left[at][:-1]
+    of_word, of_left, of_pair = maybe[at], np.r_[False, maybe[at][:-1]], np.zeros(len(names), bool)
+    # a pair has an entry only where both words have one
+    known = (hit | maybe)[at]
+    both = 1 + np.flatnonzero(known[:-1] & known[1:])
+    pairs = pair_names(names[both - 1], names[both])
+    where, found = _look(pairs, hot[0])
+    out[:, both[found]] = np.stack([hot[1][where[found]], np.zeros(int(found.sum()))])
+    of_word[both[found]] = of_left[both[found]] = False
+    rest = ~found
+    rest[rest] = _held(pairs[rest], filled)
+    of_pair[both[rest]] = True
+    asks = [(WORD, np.flatnonzero(of_word), names[of_word]), (LEFT, np.flatnonzero(of_left), names[np.flatnonzero(of_left) - 1]), (PAIR, both[rest], pairs[rest])]
+    return out, ~(of_word | of_left | of_pair), asks
+
+
+def _measure(shared, other: float):
+    """Rows of documents (kind is null) with the sums of their settled words, and of what the others ask for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches sorted by block and kind (0: an entry that the block asked for, 1: a document)."""
-        unpress, now, held, known = zstandard.ZstdDecompressor(), None, [], None
+        hot, filled = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
-            borders, places, found = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), True]), [], []
-            for i, j in zip(borders, borders[1:]):
-                if block[i] != now:
-                    now, held, known = block[i], [], None
-                if kind[i] == 0:
-                    held.append([batch.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in ("name", "word_gap", "left")])
-                    continue
-                if known is None:
-                    name, gap, left = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-                    order = np.argsort(as_unsigned(name))
-                    known, held = (as_unsigned(name)[order], gap[order], left[order]), []
-                for k in range(i, j):
-                    names = word_names(plain_words(unpress.decompress(batch.column("pressed")[k].as_py())))
-                    places.append(k)
-                    found.append((*differences(names, known, other), len(names)))
-            if places:
-                difference, strong, n = zip(*found)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(places)), pa.array(difference, pa.float64()), pa.array(strong, pa.float64()), pa.array(n, pa.int64())],
-                                                 names=["doc_id", "difference", "strong", "n"])
+            docs, asks = [], []
+            for t in batch.column("text"):
+                names = word_names(plain_words((t.as_py() or "").encode()))
+                out, settled, asked = resolved(names, hot, filled, other)
+                values = out.sum(axis=0)[settled]
+                docs.append((row, float(values.sum()), float(np.maximum(values - STRONG, 0).sum()), len(names)))
+                for kind, places, wanted in asked:
+                    if len(places):
+                        asks.append((np.full(len(places), row), np.full(len(places), kind), places, as_long(wanted), out[0][places], out[1][places]))
+                row += 1
+            rows, total, strong, n = zip(*docs) if docs else ((),) * 4
+            none = lambda t: pa.nulls(len(docs), t)
+            names_of = ["row", "doc_id", "total", "strong", "n", "kind", "place", "name", "own", "back"]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column("doc_id"), pa.array(total, pa.float64()), pa.array(strong, pa.float64()), pa.array(n, pa.int64()),
+                                              none(pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names=names_of)
+            if asks:
+                row_of, kind, place, name, own, back = (np.concatenate(x) for x in zip(*asks))
+                none = lambda t: pa.nulls(len(row_of), t)
+                yield pa.RecordBatch.from_arrays([pa.array(row_of), none(batch.column("doc_id").type), none(pa.float64()), none(pa.float64()), none(pa.int64()),
+                                                  pa.array(kind.astype(np.int32)), pa.array(place), pa.array(name), pa.array(own), pa.array(back)], names=names_of)
 
     return run
 
 
-def measured(docs: DataFrame, entries: DataFrame, other: float) -> DataFrame:
-    """doc_id, difference, strong and n (words) of each document."""
-    kind_of_id = docs.schema["doc_id"].dataType
-    id_type = kind_of_id.simpleString()
-    texts = saved(docs.select("doc_id", "text").mapInArrow(_in_blocks, f"doc_id {id_type}, pressed binary, block long"), "toxicity-blocks")
-    asked = texts.select("pressed", "block").mapInArrow(_ask, "name long, block long")
-    none = lambda t: F.lit(None).cast(t)
-    answers = asked.join(entries, "name").select("block", F.lit(0).alias("kind"), "name", "word_gap", "left", none(kind_of_id).alias("doc_id"), none("binary").alias("pressed"))
-    rows = answers.union(texts.select("block", F.lit(1), none("long"), none("double"), none("double"), "doc_id", "pressed"))
-    return rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_measure(other), f"doc_id {id_type}, difference double, strong double, n long")
+def measured(docs: DataFrame, entries: DataFrame, other: float, hot: int = HOT, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """doc_id, difference (mean log-likelihood per word, toxic less ordinary), strong (the sum of what single words have beyond STRONG) and n (words) of each document."""
+    spark = docs.sparkSession
+    known, least = hot_entries(entries, hot)
+    tail = entries.where(_rank(F.col("n")) < least)
+    shared = spark.sparkContext.broadcast((known, tail_filter(tail, filter_bytes)))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = saved(docs.select("doc_id", "text").mapInArrow(_measure(shared, other), f"row long, doc_id {id_type}, total double, strong double, n long, kind int, place long, name long, own double, back double"),
+                 "toxicity-rows")
+    asked = rows.where("kind IS NOT NULL").select("row", "kind", "place", "name", "own", "back")
+    found = asked.join(tail.select(F.col("name").alias("known"), "word_gap", "left"), F.col("name") == F.col("known"), "left")
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.col(value)))
+    places = found.groupBy("row", "place").agg(of(PAIR, "word_gap").alias("pair"), F.coalesce(of(WORD, "word_gap"), F.max("own")).alias("w"), F.coalesce(of(LEFT, "left"), F.max("back")).alias("l"))
+    value = F.coalesce("pair", F.col("w") + F.col("l"))
+    late = places.groupBy("row").agg(F.sum(value).alias("late"), F.sum(F.greatest(value - STRONG, F.lit(0.0))).alias("late_strong")).withColumnRenamed("row", "late_row")
+    whole = rows.where("kind IS NULL").join(late, F.col("row") == F.col("late_row"), "left")
+    return whole.select("doc_id", ((F.col("total") + F.coalesce("late", F.lit(0.0))) / F.greatest("n", F.lit(1))).alias("difference"),
+                        (F.col("strong") + F.coalesce("late_strong", F.lit(0.0))).alias("strong"), "n")
 
 
 FEATURES = ["difference", "strong", "strong_share", "length"]

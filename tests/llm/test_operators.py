@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -360,6 +361,43 @@ def test_toxicity_model_grows_with_the_corpus(spark):
     assert all(signed(name(f"vile{i}".encode())) in got for i in range(60)) and sum(total) > 200_000
 
 
+@pytest.mark.parametrize("hot,full", [(toxicity.HOT, False), (300, False), (0, False), (300, True)])
+def test_toxicity_measures_by_a_plain_loop(spark, monkeypatch, hot, full):
+    """Whatever part of the entries is broadcast, and however full the filter is, a text has the measures of a loop over its words and all entries."""
+    if full:
+        monkeypatch.setattr(toxicity, "tail_filter", lambda entries, most: np.full((2, toxicity.SEGMENT_BYTES), 255, np.uint8))
+    pick = random.Random(4)
+    words = [f"w{int(pick.paretovariate(0.7))}" for _ in range(60_000)]
+    texts = [" ".join(words[i:i + 150]) + (" vile slur" if i % 1200 == 0 else "") for i in range(0, 60_000, 150)]
+    entries, other = toxicity.train(spark.createDataFrame([(bytearray(zstandard.compress(t.encode())), int("vile" in t)) for t in texts[:300]], "pressed binary, toxic int"))
+    given = {r.name % 2**64: r for r in entries.collect()}
+    assert len(given) > 1000
+    asked = [*texts[250:], "never seen words", "", None, texts[300], "VILE, slur!", "w1 " * 3000]
+    want = []
+    for t in asked:
+        names = [xxhash.xxh64_intdigest(w) for w in re.sub("[!,]", " ", (t or "").lower()).encode().split()]
+        out = []
+        for i, w in enumerate(names):
+            pair = given.get(int(toxicity.pair_names(np.array([names[i - 1]], np.uint64), np.array([w], np.uint64))[0])) if i else None
+            gap, back = given[w].word_gap if w in given else other, given[names[i - 1]].left if i and names[i - 1] in given else 0.0
+            out.append(pair.word_gap if pair else gap + back)
+        want.append((sum(out) / max(len(out), 1), sum(max(x - toxicity.STRONG, 0) for x in out), len(out)))
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.difference, r.strong, r.n) for r in toxicity.measured(docs, entries, other, hot).collect()}
+    assert len(got) == len(asked)
+    for i, w in enumerate(want):
+        assert got[i] == pytest.approx(w, abs=1e-9), i
+
+
+def test_toxicity_hot_entries_keep_their_bound(spark):
+    entries = spark.createDataFrame([(i, 0.5, None, 3 + i % 40) for i in range(1000)], "name long, word_gap double, left double, n long")
+    for most in (0, 24, 25, 60, 999, 1000):
+        (names, _, _), least = toxicity.hot_entries(entries, most)
+        assert len(names) <= most and (np.diff(names.astype(float)) > 0).all()
+        assert len(names) + entries.where(toxicity._rank(entries.n) < least).count() == 1000
+    assert len(toxicity.hot_entries(entries, 1000)[0][0]) == 1000 and 0 < len(toxicity.hot_entries(entries, 500)[0][0])
+
+
 def test_html_without_end_tags():
     text = "word " * 40 + "end"
     for page in (f"<datalist><option value=a><option value=b></datalist><article><p>{text}</p></article>", f"<div><button>Send</div><article><p>{text}</article>",
