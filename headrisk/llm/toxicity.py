@@ -28,6 +28,7 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from headrisk.llm.common import MULTIPLIER, as_long, as_unsigned, bounded_batches, mixed, saved
 
@@ -35,11 +36,14 @@ LEAST = 3
 DISCOUNT = 0.75
 SCALE_ROWS = 20_000
 STRONG = 2.0
-#: Entries that every task holds, the most frequent: 24 bytes each.
-HOT = 500_000
+#: Entries that every task holds, the most frequent: 16 bytes each.
+HOT = 2_000_000
 #: Most bytes of the filter of all other entries, and those of one of its segments.
 FILTER_BYTES = 16 << 20
 SEGMENT_BYTES = 64 << 10
+#: Bits of the filter for each name and probes into them, as long as FILTER_BYTES allow.
+NAME_BITS = 16
+PROBES = 6
 #: Words that a task counts together.
 COUNT_WORDS = 2_000_000
 #: Copies of the words' table, so that the pairs of a common word meet it in many tasks.
@@ -231,19 +235,20 @@ def hot_entries(entries: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.nda
     some = entries.where(_rank(F.col("n")) >= least).select("name", "word_gap", "left").toArrow()
     name, gap, left = (some.column(c).to_numpy() for c in ("name", "word_gap", "left"))
     order = np.argsort(as_unsigned(name))
-    return (as_unsigned(name)[order], gap[order].astype(float), left[order].astype(float)), least
+    return (as_unsigned(name)[order], gap[order].astype(np.float32), left[order].astype(np.float32)), least
 
 
 def _probes(names: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """The segment of each name and, a row for each of three probes, its bits there."""
+    """The segment of each name and, a row for each probe, its bits there."""
     bits, hashes = np.uint64(8 * SEGMENT_BYTES), mixed(names)
-    return (names % np.uint64(segments)).astype(np.int64), np.stack([(hashes >> np.uint64(20 * i)) % bits for i in range(3)]).astype(np.int64)
+    start, step = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF) | np.uint64(1)
+    return (names % np.uint64(segments)).astype(np.int64), np.stack([(start + np.uint64(i) * step) % bits for i in range(PROBES)]).astype(np.int64)
 
 
 def tail_filter(entries: DataFrame, most_bytes: int) -> np.ndarray:
-    """A Bloom filter of names, a row for each segment: ten bits for each name, but no more than `most_bytes` in all."""
+    """A Bloom filter of names, a row for each segment: NAME_BITS for each name, but no more than `most_bytes` in all."""
     n = entries.count()
-    segments = int(min(max(-(-10 * n // (8 * SEGMENT_BYTES)), 1), max(most_bytes // SEGMENT_BYTES, 1)))
+    segments = int(min(max(-(-NAME_BITS * n // (8 * SEGMENT_BYTES)), 1), max(most_bytes // SEGMENT_BYTES, 1)))
     out = np.zeros((segments, SEGMENT_BYTES), np.uint8)
     if not n:
         return out
@@ -295,13 +300,14 @@ def _look(asked: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return where, names[where] == asked
 
 
-WORD, LEFT, PAIR = 0, 1, 2
+#: What is asked for at a place: the word's own value, that of backing off after it for the next place, both, or the pair's value.
+WORD, NEXT, BOTH, PAIR = 0, 1, 2, 3
 
 
 def resolved(names: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray], filled: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-    """The log-likelihood of each word of a text, toxic less ordinary, which of them are settled, and what the others ask for: kind, places and names.
+    """The log-likelihood of each word of a text, toxic less ordinary, which of them wait for an answer, and what is asked for: kind, places and names.
 
-    What is not settled holds the word's own value and, in the second row, that of backing off, each as if its entry did not exist."""
+    The first row is a word's own value and the second that of backing off after the word before, each as if what is asked for did not exist."""
     out = np.zeros((2, len(names)))
     if not len(names):
         return out, np.zeros(0, bool), []
@@ -312,47 +318,58 @@ def resolved(names: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray],
     maybe = ~hit
     maybe[maybe] = _held(distinct[maybe], filled)
     out[0], out[1, 1:] = own[at], left[at][:-1]
-    of_word, of_left, of_pair = maybe[at], np.r_[False, maybe[at][:-1]], np.zeros(len(names), bool)
+    asked = maybe[at]
     # a pair has an entry only where both words have one
     known = (hit | maybe)[at]
     both = 1 + np.flatnonzero(known[:-1] & known[1:])
     pairs = pair_names(names[both - 1], names[both])
     where, found = _look(pairs, hot[0])
     out[:, both[found]] = np.stack([hot[1][where[found]], np.zeros(int(found.sum()))])
-    of_word[both[found]] = of_left[both[found]] = False
+    settled = np.zeros(len(names), bool)
+    settled[both[found]] = True
+    of_word, of_next = asked & ~settled, np.r_[asked[:-1] & ~settled[1:], False]
     rest = ~found
     rest[rest] = _held(pairs[rest], filled)
-    of_pair[both[rest]] = True
-    asks = [(WORD, np.flatnonzero(of_word), names[of_word]), (LEFT, np.flatnonzero(of_left), names[np.flatnonzero(of_left) - 1]), (PAIR, both[rest], pairs[rest])]
-    return out, ~(of_word | of_left | of_pair), asks
+    waits = of_word | np.r_[False, of_next[:-1]]
+    waits[both[rest]] = True
+    some = np.flatnonzero(of_word | of_next)
+    kinds = np.where(of_word[some], np.where(of_next[some], BOTH, WORD), NEXT)
+    return out, waits, [(kinds, some, names[some]), (np.full(int(rest.sum()), PAIR), both[rest], pairs[rest])]
 
 
-def _measure(shared, other: float):
-    """Rows of documents (kind is null) with the sums of their settled words, and of what the others ask for."""
+ROWS = "kind int, row long, doc_id {}, total double, strong double, n long, place long, own float, back float, ask long, name long"
+DOCUMENT, WAITING, ASKING = 0, 1, 2
+
+
+def _measure(shared, other: float, schema: pa.Schema):
+    """Documents with the sums of their settled words; places that wait for an answer; and the names that are asked for.
+
+    Places are numbered by task and order, so the next place has the next number; `ask` is four times the place's number plus what is asked for."""
+    def rows_of(kind: int, size: int, **columns) -> pa.RecordBatch:
+        columns["kind"] = np.full(size, kind, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, filled = shared.value
-        row = TaskContext.get().partitionId() << 40
+        row = place = TaskContext.get().partitionId() << 40
         for batch in batches:
-            docs, asks = [], []
+            docs, waiting, asking = [], [], []
             for t in batch.column("text"):
                 names = word_names(plain_words((t.as_py() or "").encode()))
-                out, settled, asked = resolved(names, hot, filled, other)
-                values = out.sum(axis=0)[settled]
+                out, waits, asked = resolved(names, hot, filled, other)
+                values, late = out.sum(axis=0)[~waits], np.flatnonzero(waits)
                 docs.append((row, float(values.sum()), float(np.maximum(values - STRONG, 0).sum()), len(names)))
-                for kind, places, wanted in asked:
-                    if len(places):
-                        asks.append((np.full(len(places), row), np.full(len(places), kind), places, as_long(wanted), out[0][places], out[1][places]))
-                row += 1
-            rows, total, strong, n = zip(*docs) if docs else ((),) * 4
-            none = lambda t: pa.nulls(len(docs), t)
-            names_of = ["row", "doc_id", "total", "strong", "n", "kind", "place", "name", "own", "back"]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column("doc_id"), pa.array(total, pa.float64()), pa.array(strong, pa.float64()), pa.array(n, pa.int64()),
-                                              none(pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], names=names_of)
-            if asks:
-                row_of, kind, place, name, own, back = (np.concatenate(x) for x in zip(*asks))
-                none = lambda t: pa.nulls(len(row_of), t)
-                yield pa.RecordBatch.from_arrays([pa.array(row_of), none(batch.column("doc_id").type), none(pa.float64()), none(pa.float64()), none(pa.int64()),
-                                                  pa.array(kind.astype(np.int32)), pa.array(place), pa.array(name), pa.array(own), pa.array(back)], names=names_of)
+                if len(late):
+                    waiting.append((np.full(len(late), row), place + late, *out[:, late].astype(np.float32)))
+                    asking.extend(((place + places << 2) + kinds, as_long(wanted)) for kinds, places, wanted in asked)
+                row, place = row + 1, place + len(names)
+            if docs:
+                yield rows_of(DOCUMENT, len(docs), doc_id=batch.column("doc_id"), **dict(zip(("row", "total", "strong", "n"), zip(*docs))))
+            if waiting:
+                columns = [np.concatenate(x) for x in zip(*waiting)]
+                yield rows_of(WAITING, len(columns[0]), **dict(zip(("row", "place", "own", "back"), columns)))
+                columns = [np.concatenate(x) for x in zip(*asking)]
+                yield rows_of(ASKING, len(columns[0]), **dict(zip(("ask", "name"), columns)))
 
     return run
 
@@ -360,19 +377,28 @@ def _measure(shared, other: float):
 def measured(docs: DataFrame, entries: DataFrame, other: float, hot: int = HOT, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, difference (mean log-likelihood per word, toxic less ordinary), strong (the sum of what single words have beyond STRONG) and n (words) of each document."""
     spark = docs.sparkSession
+    # values travel as floats, so that an entry says the same wherever it is held
+    entries, other = entries.select("name", F.col("word_gap").cast("float"), F.col("left").cast("float"), "n"), float(np.float32(other))
     known, least = hot_entries(entries, hot)
     tail = entries.where(_rank(F.col("n")) < least)
     shared = spark.sparkContext.broadcast((known, tail_filter(tail, filter_bytes)))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = saved(docs.select("doc_id", "text").mapInArrow(_measure(shared, other), f"row long, doc_id {id_type}, total double, strong double, n long, kind int, place long, name long, own double, back double"),
-                 "toxicity-rows")
-    asked = rows.where("kind IS NOT NULL").select("row", "kind", "place", "name", "own", "back")
-    found = asked.join(tail.select(F.col("name").alias("known"), "word_gap", "left"), F.col("name") == F.col("known"), "left")
-    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.col(value)))
-    places = found.groupBy("row", "place").agg(of(PAIR, "word_gap").alias("pair"), F.coalesce(of(WORD, "word_gap"), F.max("own")).alias("w"), F.coalesce(of(LEFT, "left"), F.max("back")).alias("l"))
-    value = F.coalesce("pair", F.col("w") + F.col("l"))
+    layout = T._parse_datatype_string(ROWS.format(docs.schema["doc_id"].dataType.simpleString()))
+    rows = saved(docs.select("doc_id", "text").mapInArrow(_measure(shared, other, to_arrow_schema(layout)), layout), "toxicity-rows")
+
+    asked = rows.where(F.col("kind") == ASKING).select("ask", "name")
+    answers = asked.join(tail.select(F.col("name").alias("known"), "word_gap", "left"), F.col("name") == F.col("known"))
+    place, what, none = F.shiftright("ask", 2), F.col("ask").bitwiseAND(3), F.lit(None).cast("float")
+    answer = lambda at, word, back, pair: F.struct(at.alias("place"), word.alias("word"), back.alias("after"), pair.alias("pair"))
+    given = F.array(answer(place, F.when(what.isin(WORD, BOTH), F.col("word_gap")), none, F.when(what == PAIR, F.col("word_gap"))),
+                    answer(place + 1, none, F.when(what.isin(NEXT, BOTH), F.col("left")), none))
+    wanted = F.when(what == BOTH, given).when(what == NEXT, F.slice(given, 2, 1)).otherwise(F.slice(given, 1, 1))
+    given = answers.select(F.explode(wanted).alias("a")).select("a.*")
+    waiting = rows.where(F.col("kind") == WAITING).select("place", none.alias("word"), none.alias("after"), none.alias("pair"), "row", "own", "back")
+    places = (waiting.unionByName(given, allowMissingColumns=True).groupBy("place")
+              .agg(*[F.max(c).alias(c) for c in ("row", "word", "after", "pair", "own", "back")]).where("row IS NOT NULL"))
+    value = F.coalesce("pair", F.coalesce("word", "own").cast("double") + F.coalesce("after", "back").cast("double"))
     late = places.groupBy("row").agg(F.sum(value).alias("late"), F.sum(F.greatest(value - STRONG, F.lit(0.0))).alias("late_strong")).withColumnRenamed("row", "late_row")
-    whole = rows.where("kind IS NULL").join(late, F.col("row") == F.col("late_row"), "left")
+    whole = rows.where(F.col("kind") == DOCUMENT).join(late, F.col("row") == F.col("late_row"), "left")
     return whole.select("doc_id", ((F.col("total") + F.coalesce("late", F.lit(0.0))) / F.greatest("n", F.lit(1))).alias("difference"),
                         (F.col("strong") + F.coalesce("late_strong", F.lit(0.0))).alias("strong"), "n")
 

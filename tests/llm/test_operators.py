@@ -370,7 +370,8 @@ def test_toxicity_measures_by_a_plain_loop(spark, monkeypatch, hot, full):
     words = [f"w{int(pick.paretovariate(0.7))}" for _ in range(60_000)]
     texts = [" ".join(words[i:i + 150]) + (" vile slur" if i % 1200 == 0 else "") for i in range(0, 60_000, 150)]
     entries, other = toxicity.train(spark.createDataFrame([(bytearray(zstandard.compress(t.encode())), int("vile" in t)) for t in texts[:300]], "pressed binary, toxic int"))
-    given = {r.name % 2**64: r for r in entries.collect()}
+    given = {r.name % 2**64: r for r in entries.select("name", F.col("word_gap").cast("float"), F.col("left").cast("float")).collect()}
+    other = float(np.float32(other))
     assert len(given) > 1000
     asked = [*texts[250:], "never seen words", "", None, texts[300], "VILE, slur!", "w1 " * 3000]
     want = []
