@@ -50,6 +50,40 @@ class Pacer:
         return []
 
 
+class Wait:
+    """One message: an alert waits for a delay and is shown if the message has not gone meanwhile.
+
+    Where the message is holds for ``keep`` from when it was told; after that it counts as still there.
+    What falls due at the time of an event is settled before the event.
+    """
+
+    def __init__(self, delay: int, keep: int, requested=None, place_at=None, gone=None):
+        self.delay, self.keep, self.requested, self.place_at, self.gone = delay, keep, requested, place_at, gone
+
+    def settle(self, now: int) -> list:
+        """The request and the time of the alert that is due by ``now``, if it is shown."""
+        if self.requested is None or self.requested + self.delay > now:
+            return []
+        asked, due, self.requested = self.requested, self.requested + self.delay, None
+        gone = self.place_at is not None and self.gone and due - self.place_at <= self.keep
+        return [] if gone else [(asked, due)]
+
+    def alert(self, at: int) -> list:
+        shown = self.settle(at)
+        self.requested = at if self.requested is None else self.requested
+        return shown
+
+    def moved(self, at: int, gone: bool) -> list:
+        shown = self.settle(at)
+        self.place_at, self.gone = at, gone
+        return shown
+
+    def forget(self, now: int) -> None:
+        """Drop a place that can no longer hide an alert; what is due by ``now`` is settled already."""
+        if self.place_at is not None and self.place_at + self.keep < now:
+            self.place_at = self.gone = None
+
+
 def pace_sorted(interval: int, queue_max: int):
     """Pace the stretches of a partition sorted by owner, stretch and time."""
     def run(batches):

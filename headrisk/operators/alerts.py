@@ -10,6 +10,9 @@ from headrisk.functions.address import filled, strip
 from headrisk.functions.pacing import PACED_DDL, keep_after_wait, pace_sorted
 from headrisk.settings import Settings
 
+#: How long a message counts as where it was last seen; it is there again for alerts that fall due later.
+PLACE_KEEP_MS = 3_600_000
+
 
 def alert_eligible(assessments: DataFrame, settings: Settings) -> DataFrame:
     keep = F.col("score") <= F.lit(float(settings.alert_max_score))
@@ -70,6 +73,26 @@ def pending_alerts(alerts: DataFrame, delay_ms: int = C.ALERT_DELAY_MS) -> DataF
             .mapInPandas(keep_after_wait(delay_ms), "msg_id bigint, at_ms bigint"))
 
 
+def settled_alerts(events: DataFrame, delay_ms: int = C.ALERT_DELAY_MS, keep_ms: int = PLACE_KEEP_MS) -> DataFrame:
+    """Alerts that still stand after the delay: ``msg_id``, ``requested_at`` and ``shown_at``.
+
+    ``events(msg_id, at_ms, kind, junk, folder_type)`` as for the stream ``jobs.delayed_alerts``. An alert and the changes of
+    the ``keep_ms`` before it falls due lie in one or two neighbouring cells of the time line, so a change goes to its own
+    cell and the next, and no ordering covers more of a message than two cells.
+    """
+    gone = (F.col("kind") == "deleted") | F.coalesce("junk", F.lit(False)) | is_junk_folder(F.col("folder_type"))
+    cell = F.floor(F.col("at_ms") / (keep_ms + 1)).cast("bigint")
+    kept = pending_alerts(events.where("kind = 'alert'"), delay_ms).withColumn("at_ms", F.col("at_ms") + delay_ms)
+    due = kept.select("msg_id", cell.alias("cell"), "at_ms", F.lit(0).alias("rank"), F.lit(None).cast("struct<at:bigint,gone:boolean>").alias("place"))
+    changes = events.where("kind <> 'alert'").select(
+        "msg_id", F.explode(F.array(cell, cell + 1)).alias("cell"), "at_ms", (1 + gone.cast("int")).alias("rank"),
+        F.struct(F.col("at_ms").alias("at"), gone.alias("gone")).alias("place"))
+    before = Window.partitionBy("msg_id", "cell").orderBy("at_ms", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    last = due.unionByName(changes).withColumn("last", F.last("place", ignorenulls=True).over(before)).where("rank = 0")
+    hidden = F.coalesce(F.col("last.gone") & (F.col("at_ms") - F.col("last.at") <= keep_ms), F.lit(False))
+    return last.where(~hidden).select("msg_id", (F.col("at_ms") - delay_ms).alias("requested_at"), F.col("at_ms").alias("shown_at"))
+
+
 def paced_alerts(alerts: DataFrame, interval_ms: int = C.ALERT_INTERVAL_MS,
                  queue_max: int = C.ALERT_QUEUE_MAX) -> DataFrame:
     """Alerts as an owner sees them: one per interval, waiting ones folded by account and folder.

@@ -291,6 +291,26 @@ def pending_alerts(spark, sf):
     return AL.pending_alerts(e, 3_600_000)
 
 
+def event_changes(spark, sf) -> DataFrame:
+    """Events of a user as those of a message: views and clicks ask for an alert, the others tell where the message is."""
+    kind = F.when(F.col("event_type").isin("view", "click"), "alert").when(F.col("event_type") == "signup", "deleted").otherwise("moved")
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("msg_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), kind.alias("kind"), F.lit(False).alias("junk"),
+        F.when(F.col("event_type") == "error", "trash").otherwise("inbox").alias("folder_type"))
+
+
+@query("settled_alerts",
+       "WITH RECURSIVE c AS (SELECT user_id AS msg_id, epoch_us(ts) // 1000 AS at_ms, event_type IN ('error', 'signup') AS gone FROM events WHERE event_type NOT IN ('view', 'click')), "
+       "e AS (SELECT DISTINCT user_id AS msg_id, epoch_us(ts) // 1000 AS at_ms FROM events WHERE event_type IN ('view', 'click')), "
+       "kept AS (SELECT msg_id, min(at_ms) AS at_ms FROM e GROUP BY msg_id UNION ALL "
+       "SELECT k.msg_id, (SELECT min(at_ms) FROM e WHERE e.msg_id = k.msg_id AND e.at_ms >= k.at_ms + 3600000) FROM kept k WHERE k.at_ms IS NOT NULL), "
+       "seen AS (SELECT k.msg_id, k.at_ms, max_by(c.gone, c.at_ms * 2 + c.gone::INT) AS gone FROM kept k LEFT JOIN c ON c.msg_id = k.msg_id AND c.at_ms < k.at_ms + 3600000 "
+       "AND c.at_ms >= k.at_ms + 3600000 - 43200000 WHERE k.at_ms IS NOT NULL GROUP BY k.msg_id, k.at_ms) "
+       "SELECT msg_id, at_ms AS requested_at, at_ms + 3600000 AS shown_at FROM seen WHERE NOT coalesce(gone, false)")
+def settled_alerts(spark, sf):
+    return AL.settled_alerts(event_changes(spark, sf), 3_600_000, 43_200_000)
+
+
 @query("paced_alerts")  # a state machine over time; tested against a plain simulation
 def paced_alerts(spark, sf):
     return AL.paced_alerts(event_alerts(spark, sf), interval_ms=7_200_000)

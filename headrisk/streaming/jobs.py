@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headrisk import constants as C
 from headrisk.functions.domains import SuffixRules
+from headrisk.operators.alerts import PLACE_KEEP_MS
 from headrisk.operators.history import log_entries, retain_latest
 from headrisk.operators.scoring import assess
 from headrisk.settings import Settings
@@ -75,20 +76,25 @@ def dedup_alerts(alerts: DataFrame, delay: str = f"{C.ALERT_DELAY_MS} millisecon
     return alerts.withWatermark("assessed_at", delay).dropDuplicatesWithinWatermark(["msg_id"])
 
 
-def delayed_alerts(events: DataFrame, delay_ms: int = C.ALERT_DELAY_MS, watermark: str = "0 seconds") -> DataFrame:
-    """Alerts that still stand after the delay.
+def delayed_alerts(events: DataFrame, delay_ms: int = C.ALERT_DELAY_MS, watermark: str = "0 seconds",
+                   keep_ms: int = PLACE_KEEP_MS) -> DataFrame:
+    """Alerts that still stand after the delay; ``operators.alerts.settled_alerts`` is the batch form.
 
     ``events(msg_id, at timestamp, kind, junk, folder_type)``: kind ``alert`` asks for an alert,
-    ``moved`` and ``deleted`` report where the message is now.
+    ``moved`` and ``deleted`` report where the message is now, which holds for ``keep_ms``. Of changes
+    at one time, one that takes the message away counts. An alert comes out when the watermark passes its time.
     """
     return (events.withWatermark("at", watermark).groupBy("msg_id").transformWithStateInPandas(
-        statefulProcessor=DelayedAlert(delay_ms), outputStructType=DELAYED_DDL, outputMode="append",
+        statefulProcessor=DelayedAlert(delay_ms, keep_ms), outputStructType=DELAYED_DDL, outputMode="append",
         timeMode="eventTime"))
 
 
 def paced_stream(alerts: DataFrame, interval_ms: int = C.ALERT_INTERVAL_MS, queue_max: int = C.ALERT_QUEUE_MAX,
                  watermark: str = "0 seconds") -> DataFrame:
-    """Paced alerts per owner; ``alerts(owner, at timestamp, msg_id, group_key, eligible)``."""
+    """Paced alerts per owner; ``alerts(owner, at timestamp, msg_id, group_key, eligible)``.
+
+    An alert is taken when the watermark passes it, in order of time and message, and so gives what ``operators.alerts.paced_alerts`` does.
+    """
     return (alerts.withWatermark("at", watermark).groupBy("owner").transformWithStateInPandas(
         statefulProcessor=PacedAlerts(interval_ms, queue_max), outputStructType=PACED_STREAM_DDL,
         outputMode="append", timeMode="eventTime"))

@@ -1,6 +1,8 @@
 import json
+import os
 import random
 import uuid
+import zlib
 
 import pandas as pd
 from conftest import mail
@@ -98,6 +100,68 @@ def test_delayed_alerts_stream(spark, tmp_path):
     assert got == {(1, 1_003_000), (3, 1_004_000)}
 
 
+def streamed(spark, tmp_path, rows, ddl, job, name):
+    """Rows of a streaming job that gets each list of rows as a micro-batch of its own."""
+    src = tmp_path / f"{name}-in"
+    src.mkdir()
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, ddl).coalesce(1).write.parquet(str(tmp_path / f"{name}-{i}"))
+        file = next((tmp_path / f"{name}-{i}").glob("part-*.parquet"))
+        file.rename(src / f"{i}.parquet")
+        os.utime(src / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = (job(stream).writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out"))
+         .option("checkpointLocation", str(tmp_path / f"{name}-progress")).trigger(availableNow=True).start())
+    assert q.awaitTermination(240) and q.exception() is None
+    return sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / f"{name}-out")).collect())
+
+
+def splits(events, at, late):
+    """The events in one batch, in four batches, and in four whose events come out of order by up to ``late`` seconds."""
+    by_time, mixed = sorted(events, key=at), sorted(events, key=lambda e: (at(e) + zlib.crc32(repr(e).encode()) % late, repr(e)))
+    return [[by_time], [by_time[25 * i:25 * i + 25] for i in range(4)], [mixed[25 * i:25 * i + 25] for i in range(4)]]
+
+
+def test_delayed_alerts_do_not_depend_on_batches(spark, tmp_path):
+    rnd = random.Random(8)
+    kinds = [("alert", None), ("alert", None), ("moved", "junk"), ("moved", "inbox"), ("deleted", None)]
+    events = [(rnd.randint(1, 4), rnd.randint(0, 300), *rnd.choice(kinds)) for _ in range(100)]
+    delay, keep = 4000, 15_000
+    twin = spark.createDataFrame([(k, 1000 * s, kind, False, f) for k, s, kind, f in events], "msg_id bigint, at_ms bigint, kind string, junk boolean, folder_type string")
+    want = []
+    for key in range(1, 5):
+        wait = None
+        own = sorted((s, kind == "alert", kind == "deleted" or f == "junk") for k, s, kind, f in events if k == key)
+        for s, is_alert, _gone in own:
+            if is_alert and (wait is None or s >= wait + 4):
+                wait = s
+                places = [(t, g) for t, a, g in own if not a and s + 4 - 15 <= t < s + 4]
+                if not (places and max(places)[1]):
+                    want.append((key, 1000 * s, 1000 * s + delay))
+    want.sort()
+    assert sorted(tuple(r) for r in AL.settled_alerts(twin, delay, keep).collect()) == want and 10 < len(want) < 40
+    ddl = "msg_id bigint, at timestamp, kind string, junk boolean, folder_type string"
+    stamp = lambda e: (e[0], pd.Timestamp(e[1], unit="s").to_pydatetime(), e[2], False, e[3])
+    for n, parts in enumerate(splits(events, lambda e: e[1], 20)):
+        rows = [[stamp(e) for e in part] for part in [*parts, [(99, 5000, "moved", None)]]]
+        got = streamed(spark, tmp_path, rows, ddl, lambda s: jobs.delayed_alerts(s, delay, "60 seconds", keep), f"d{n}")
+        assert got == want, n
+
+
+def test_paced_stream_equals_its_batch_form(spark, tmp_path):
+    rnd = random.Random(9)
+    alerts = [(f"o{rnd.randint(1, 3)}", i, rnd.randint(0, 300), rnd.choice("ab"), rnd.random() < 0.8) for i in range(100)]
+    batch = spark.createDataFrame([(o, 1000 * s, i, g, e) for o, i, s, g, e in alerts], "owner string, at_ms bigint, msg_id bigint, group_key string, eligible boolean")
+    want = sorted(tuple(r) for r in AL.paced_alerts(batch, 9000, 3).collect())
+    assert len(want) > 30
+    ddl = "owner string, at timestamp, msg_id bigint, group_key string, eligible boolean"
+    stamp = lambda a: (a[0], pd.Timestamp(a[2], unit="s").to_pydatetime(), a[1], a[3], a[4])
+    for n, parts in enumerate(splits(alerts, lambda a: a[2], 20)):
+        rows = [[stamp(a) for a in part] for part in [*parts, [("end", 1000, 5000, "a", True)]]]
+        got = streamed(spark, tmp_path, rows, ddl, lambda s: jobs.paced_stream(s, 9000, 3, "60 seconds"), f"p{n}")
+        assert [r for r in got if r[0] != "end"] == want, n
+
+
 def test_settings_document(spark, tmp_path):
     doc = {"trustedDomains": ["old.example.com"], "senderDomainRules": [{"domain": "a.com", "matchType": "exact", "score": 3}],
            "settings": {"heuristicScores": {"randomFromDomainLabel": 30, "randomFromLocalPart": 10, "layer3Cap": 40},
