@@ -11,7 +11,7 @@ from headrisk.operators.alerts import PLACE_KEEP_MS
 from headrisk.operators.history import log_entries, retain_latest
 from headrisk.operators.scoring import assess
 from headrisk.settings import Settings
-from headrisk.streaming.state import DELAYED_DDL, PACED_STREAM_DDL, DelayedAlert, PacedAlerts
+from headrisk.streaming.state import DELAYED_DDL, PACED_STREAM_DDL, PENDING_DDL, DelayedAlert, PacedAlerts, PendingAlert
 
 PERIOD_PARTS = 8
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -71,9 +71,14 @@ def compact_log(spark: SparkSession, path: str, target: str, n: int = C.LOG_MAX,
     return spark.read.parquet(target)
 
 
-def dedup_alerts(alerts: DataFrame, delay: str = f"{C.ALERT_DELAY_MS} milliseconds") -> DataFrame:
-    """Ignore a message that came up already within the delay."""
-    return alerts.withWatermark("assessed_at", delay).dropDuplicatesWithinWatermark(["msg_id"])
+def dedup_alerts(alerts: DataFrame, delay_ms: int = C.ALERT_DELAY_MS, watermark: str = "0 seconds") -> DataFrame:
+    """Ignore a message that waits already; ``msg_id`` and ``at_ms`` of the others. ``operators.alerts.pending_alerts`` is the batch form.
+
+    ``alerts(msg_id, assessed_at timestamp)``. Dropping duplicates within a watermark would not do: it forgets a message
+    only at the end of a later batch, so a request after the delay is lost or not as the batches fall.
+    """
+    return (alerts.withWatermark("assessed_at", watermark).groupBy("msg_id").transformWithStateInPandas(
+        statefulProcessor=PendingAlert(delay_ms), outputStructType=PENDING_DDL, outputMode="append", timeMode="eventTime"))
 
 
 def delayed_alerts(events: DataFrame, delay_ms: int = C.ALERT_DELAY_MS, watermark: str = "0 seconds",

@@ -16,6 +16,7 @@ from headrisk.functions.pacing import Pacer, Wait
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+PENDING_DDL = "msg_id bigint, at_ms bigint"
 DELAYED_DDL = "msg_id bigint, requested_at bigint, shown_at bigint"
 PACED_STREAM_DDL = "owner string, msg_id bigint, group_key string, shown_at bigint, folded bigint"
 JUNK_LIKE = ("junk", "trash", "spam")
@@ -27,6 +28,49 @@ def millis(column) -> list:
             for t in column]
 
 
+class PendingAlert(StatefulProcessor):
+    """One message: requests that the watermark has not passed, and the one that waits."""
+
+    def __init__(self, delay_ms: int):
+        self.delay_ms = delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.requests = handle.getListState("requests", "at bigint")
+        self.waiting = handle.getValueState("waiting", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for requests in rows:
+            at = sorted(set(millis(requests["assessed_at"])))
+            self.requests.appendList([(t,) for t in at])
+            for t in at:
+                self.handle.registerTimer(t)
+        yield pd.DataFrame({"msg_id": [], "at_ms": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted({int(at) for (at,) in self.requests.get()})
+        last, kept = int(self.waiting.get()[0]) if self.waiting.exists() else None, []
+        for at in held:
+            if at <= now and (last is None or at >= last + self.delay_ms):
+                last = at
+                kept.append((key[0], at))
+        later = [(at,) for at in held if at > now]
+        if later:
+            self.requests.put(later)
+        else:
+            self.requests.clear()
+        if last is not None and last + self.delay_ms > now:
+            self.waiting.update((last,))
+            self.handle.registerTimer(last + self.delay_ms)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame(kept, columns=["msg_id", "at_ms"])
+
+    def close(self) -> None:
+        pass
+
+
 class DelayedAlert(StatefulProcessor):
     """One message: events that the watermark has not passed, the alert that waits, and where the message was last."""
 

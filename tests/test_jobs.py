@@ -148,6 +148,20 @@ def test_delayed_alerts_do_not_depend_on_batches(spark, tmp_path):
         assert got == want, n
 
 
+def test_dedup_alerts_equals_its_batch_form(spark, tmp_path):
+    stamp = lambda k, s: (k, pd.Timestamp(s, unit="s").to_pydatetime())
+    batches = [[stamp(1, 100), stamp(1, 102), stamp(2, 101)], [stamp(1, 102), stamp(2, 103)], [stamp(3, 120)], [stamp(1, 121), stamp(1, 122), stamp(3, 122)], [stamp(99, 5000)]]
+    ddl, job = "msg_id bigint, assessed_at timestamp", lambda s: jobs.dedup_alerts(s, 5000, "60 seconds")
+    got = streamed(spark, tmp_path, batches, ddl, job, "u")
+    assert got == [(1, 100_000), (1, 121_000), (2, 101_000), (3, 120_000)]
+    rnd = random.Random(12)
+    requests = [(rnd.randint(1, 4), rnd.randint(0, 300)) for _ in range(100)]
+    batch = spark.createDataFrame([(k, 1000 * s) for k, s in requests], "msg_id bigint, at_ms bigint")
+    want = sorted(tuple(r) for r in AL.pending_alerts(batch, 5000).collect())
+    for n, parts in enumerate(splits(requests, lambda r: r[1], 20)[1:]):
+        assert streamed(spark, tmp_path, [[stamp(*r) for r in part] for part in [*parts, [(99, 5000)]]], ddl, job, f"u{n}") == want
+
+
 def test_paced_stream_equals_its_batch_form(spark, tmp_path):
     rnd = random.Random(9)
     alerts = [(f"o{rnd.randint(1, 3)}", i, rnd.randint(0, 300), rnd.choice("ab"), rnd.random() < 0.8) for i in range(100)]
