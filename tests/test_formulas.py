@@ -50,3 +50,17 @@ def test_context_has_the_promised_types(spark, suffixes):
 @pytest.mark.parametrize("text", ["with.x + 1", "over + table"])
 def test_names_are_not_keywords(text):
     FX.check_formula(text, "add")
+
+
+def test_formulas_and_score_are_computed_once_a_row(spark, suffixes):
+    from conftest import mail
+
+    from headrisk.operators import scoring as S
+    from headrisk.settings import Settings
+    settings = Settings(formulas=(("a", "", "length(from_.domain) * 7919", "add"), ("b", "", "base_score + 1", "add")))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = S.assess(mail(spark, {"from": "a@example.com"}), settings, suffixes)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("7919") == 1
