@@ -2,6 +2,7 @@
 
 import pytest
 
+from headrisk.operators import history as H
 from headrisk.operators import lookups as L
 from headrisk.operators import scoring as S
 from headrisk.settings import Settings
@@ -37,3 +38,27 @@ def test_tables_above_the_bound_are_joined_in_parts(spark, monkeypatch, bound):
     large = L.lookup_join(left, right, ["key"], L.F.col("msg_id"))
     assert "_salt" in _plan(large)
     assert {tuple(r) for r in large.select("msg_id", "key", "n").collect()} == small and len(small) == 1000
+
+
+def test_review_folders_do_not_move_the_messages(spark, monkeypatch):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        messages = spark.range(1000).selectExpr("id AS msg_id", "IF(id % 5 = 0, NULL, concat('account', id % 2)) AS account_id", "'f' AS folder_id", "'Auth Review' AS folder_name",
+                                                "IF(id % 3 = 0, 'normal', 'review') AS classification")
+        folders = spark.range(100000).selectExpr("concat('account', id % 2 * 2) AS account_id").distinct().selectExpr("account_id", "'g' AS review_folder_id")
+        for bound in (L.SMALL_ROWS, 1):
+            monkeypatch.setattr(L, "SMALL_ROWS", bound)
+            routed, reviewed = S.route(messages, Settings(), folders), H.in_review_folder(messages, folders)
+            for joined in (routed, reviewed):
+                if bound > 1:
+                    assert "SortMergeJoin" not in _plan(joined) and "Exchange" not in _plan(joined).split("BroadcastHashJoin")[0]
+                else:
+                    assert "_salt" in _plan(joined)
+                assert joined.columns[:6] == [*messages.columns, "review_folder_id"]
+            has_folder = lambda i: i % 5 != 0 and i % 2 == 0
+            assert {r.msg_id: r.action for r in routed.collect()} == {
+                i: "classified-normal" if i % 3 == 0 else "move-review" if has_folder(i) else "no-review-folder-configured" for i in range(1000)}
+            assert {r.msg_id: r.in_review for r in reviewed.collect()} == {i: not has_folder(i) for i in range(1000)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
