@@ -62,3 +62,16 @@ def test_review_folders_do_not_move_the_messages(spark, monkeypatch):
             assert {r.msg_id: r.in_review for r in reviewed.collect()} == {i: not has_folder(i) for i in range(1000)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_scoring_queries_join_nothing_by_moving_the_messages(spark):
+    import __spark_entry__ as entry
+    names = ("scores_with_own_rules last_formula_results recent_log alert_eligible apply_formulas non_zero_reasons protective_facts reason_context "
+             "reason_rows reason_texts rescore route_messages rule_drilldown score_messages top_reasons activity_summary").split()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # less than the estimate for the keys of ``orders``, more than the list of scenarios
+    try:
+        plans = {n: _plan(entry.queries()[n](spark, "/root/testdata/sf0.01")) for n in names}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert [n for n, p in plans.items() if "SortMergeJoin" in p or "Exchange hashpartitioning" in p.split("BroadcastHashJoin")[0]] == []
