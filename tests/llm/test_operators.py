@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -453,3 +454,25 @@ def test_columns_with_names_of_the_operators_own(spark, name, run):
     rows = got.select(full.columns).collect()
     assert Counter((r["doc_id"], r["text"]) for r in rows) == texts(want)
     assert all(r[c] == (None if r["doc_id"] is None else f"{i}:{r['doc_id']}") for r in rows for i, c in enumerate(CLASHES))
+
+
+def test_driver_holds_the_frequent_entries_once(spark):
+    """What the driver allocates for them, and for the filter of the others, stays near the size of what it gives."""
+    entries = spark.range(600_000).select(F.xxhash64("id").alias("name"), (F.col("id") / 7).cast("float").alias("word_gap"), F.when(F.col("id") % 2 == 0, 0.5).cast("float").alias("left"),
+                                          F.when(F.col("id") < 400_000, 9).otherwise(3).cast("long").alias("n"))
+    tracemalloc.start()
+    try:
+        (names, gaps, lefts), least = toxicity.hot_entries(entries, 500_000)
+        held, most = sum(x.nbytes for x in (names, gaps, lefts)), tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        filled = toxicity.tail_filter(entries.where(toxicity._rank(F.col("n")) < least), 1 << 20)
+        more = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert len(names) == 400_000 and least == 9 and most < 2 * held and more < 2 * filled.nbytes + (2 << 20)
+    want = {r.name: (r.word_gap, r.left) for r in entries.where("n = 9").collect()}
+    some = range(0, len(names), 997)
+    assert (names[1:] > names[:-1]).all() and all((gaps[i], None if np.isnan(lefts[i]) else lefts[i]) == want[int(names[i].astype(np.int64))] for i in some)
+    tail = toxicity.as_unsigned(np.array([r.name for r in entries.where("n = 3").limit(1000).collect()], np.int64))
+    assert toxicity._held(tail, filled).all()
