@@ -82,3 +82,41 @@ def test_rule_sets(spark, suffixes):
     for bad in (lambda: R.STANDARD.without("no.such"), lambda: rules.with_rule(own), lambda: R.Rule("x", "L9", lambda: F.lit(True), 1.0, "x")):
         with pytest.raises(ValueError):
             bad()
+
+
+@pytest.mark.parametrize("listed,small", [(1000, True), (0, True), (1000, False)])
+def test_compaction_ranks_only_owner_time_and_id(spark, tmp_path, monkeypatch, listed, small):
+    """Rows that come twice, ties, and owners, times and ids that are null: as many rows of an owner stay as before, and the newest."""
+    seen, retain = [], J.retain_latest
+    monkeypatch.setattr(J, "retain_latest", lambda log, *a: seen.append(log.columns) or retain(log, *a))
+    monkeypatch.setattr(J, "LISTED_FILES", listed)
+    monkeypatch.setattr(J, "is_small", lambda df: small)
+    pick = random.Random(2)
+    rows = [(pick.choice([i, 7, None]), pick.choice(["a", "b", None]), pick.choice([f"2024-0{pick.randrange(1, 9)}-01 10:00:00", None]), f"s{i}") for i in range(200)]
+    rows += rows[:60]
+    df = spark.createDataFrame(rows, "msg_id long, account_id string, at string, subject string").withColumn("assessed_at", F.col("at").cast("timestamp"))
+    write = J.log_sink(str(tmp_path / "log"), "s", "month")
+    for batch in (0, 1, 1):
+        write(df.where(F.length("subject") % 2 == batch).withColumn("more", F.struct(F.lit(1).alias("x"))), batch)
+    got: dict = {}
+    kept = J.compact_log(spark, str(tmp_path / "log"), str(tmp_path / "small"), 20, period="month")
+    assert set(kept.columns) == {*df.columns, "more", "assessed_on"}
+    for r in kept.collect():
+        got.setdefault(r.account_id, []).append((r["at"] or "", -1 if r.msg_id is None else r.msg_id))
+    for owner in ("a", "b", None):
+        mine = sorted(((t or "", -1 if m is None else m) for m, a, t, _s in rows if a == owner), reverse=True)
+        assert sorted(got[owner], reverse=True) == mine[:20]
+    assert [len(c) for c in seen] == [5]
+
+
+def test_stored_log_scores_its_messages_once(spark, monkeypatch):
+    from headrisk.plans import log_queries as LQ
+    taken, sink = [], J.log_sink
+
+    def recorded(*args):
+        write = sink(*args)
+        return lambda rows, batch: taken.append((batch, rows._jdf.queryExecution().optimizedPlan().toString())) or write(rows, batch)
+    monkeypatch.setattr(J, "log_sink", recorded)
+    log = LQ.stored_log(spark, "/root/testdata/sf0.001")
+    assert [b for b, _ in taken] == [0, 1, 1] and not any("Generate" in p or "Join" in p for _, p in taken)
+    assert log.count() == 1500
