@@ -1,7 +1,8 @@
 """Messages of many accounts scored in one run, each under its account's own settings.
 
 Weights and options become one typed row per account, joined once per message; trust lists, whitelists
-and sender rules stay tables that are joined on equal keys (``operators.lookups``). The rules are
+and sender rules go to the messages of their account where they are short, else they stay tables that are
+joined on equal keys (``operators.lookups``). The rules are
 those of ``operators.rules``: they ask a ``Settings`` for a weight and get a column instead of a number.
 Formulas are still those of the run.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from headrisk import constants as C
 from headrisk.functions.domains import SuffixRules
 from headrisk.operators.facts import with_facts
-from headrisk.operators.lookups import salted_join, with_sender_hits, with_trusted_ids, with_whitelist_hit
+from headrisk.operators.lookups import lookup_join, with_sender_hits, with_trusted_ids, with_whitelist_hit
 from headrisk.operators.scoring import score_facts, with_lookups
 from headrisk.operators.settings import GROUPS, _flat, merge_weights, migrate_weights
 from headrisk.settings import Settings
@@ -112,7 +113,7 @@ def owner_parameters(weights: DataFrame, versions: DataFrame | None = None, opti
 
 def with_parameters(messages: DataFrame, parameters: DataFrame) -> DataFrame:
     """Add ``params``, the parameters of the message's account."""
-    joined = salted_join(messages, parameters, ["account_id"], F.col("msg_id"))
+    joined = lookup_join(messages, parameters, ["account_id"], F.col("msg_id"))
     return joined.withColumn("params", F.coalesce("params", default_parameters()))
 
 

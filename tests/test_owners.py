@@ -83,3 +83,44 @@ def test_rules_in_order_and_of_the_own_account(spark):
                                   "account_id string, pos int, domain string, match_type string, score double")
     got = {(r.account_id, r.host): [h.score for h in r.sender_hits] for r in L.suffix_matches(hosts, rules).collect()}
     assert got == {("a", "x.y.com"): [1.0, 2.0, 5.0], ("a", "com"): [1.0], ("b", "x.y.com"): [4.0]}
+
+
+RULES_OF = ("account_id string, value string, match_type string", "account_id string, pos int, value string, match_type string",
+            "account_id string, pos int, domain string, match_type string, score double")
+
+
+def some_owners(spark):
+    trust = [("a", "MX.example.net", "exact"), ("a", "Trusted.org", "domain"), ("a", "trusted.org", "domain"), ("b", "unknown.test", "domain"), ("b", "", "domain"), (None, "mx.example.net", "exact"),
+             ("b", None, "exact"), ("c", "mx.example.net", "other")]
+    white = [("a", 1, "Friend@Partner.com", "exact"), ("a", 0, "friend@partner.com", "exact"), ("b", 0, "Friend@Partner.com", "suffix"), (None, 0, "friend@partner.com", "exact"), ("c", 0, None, "exact")]
+    send = [("a", 2, "Bulk.net", "suffix", 20.0), ("a", 1, "x.bulk.net", "exact", 5.0), ("a", 3, "ulk.net", "suffix", 9.0), ("a", 1, "x.bulk.net", "exact", 5.0), ("b", 0, ".net", "suffix", 1.0),
+            ("b", None, "net", "suffix", 2.0), ("b", 4, "", "suffix", 3.0), ("b", 5, None, "suffix", 3.0), (None, 0, "net", "suffix", 7.0), ("c", 0, "other.org", None, 4.0)]
+    return OW.OwnerTables(OW.owner_parameters(spark.createDataFrame([("a", "auth", "spf.fail", 31.0)], "account_id string, group string, key string, weight double")),
+                          *[spark.createDataFrame(rows, schema) for rows, schema in zip((trust, white, send), RULES_OF)])
+
+
+def test_short_lists_give_what_joined_ones_give(spark, suffixes, monkeypatch):
+    odd = [*MAIL, {"from": "x <a@b..net>", "authentication-results": ["a.; spf=fail", "; dkim=fail", "mail.unknown.test; spf=fail"]}]
+    accounts = F.explode(F.array(*[F.lit(a) for a in ("a", "b", "c", None)]))
+    box = mail(spark, *odd, *odd).drop("account_id").withColumn("account_id", accounts)
+    give = lambda: sorted((str(r.account_id), r.msg_id, sorted(r.trusted_ids), r.whitelist_hit, [tuple(h) for h in r.sender_hits])
+                          for r in hits(L.with_trusted_ids(box, some_owners(spark).trusted)).select("account_id", "msg_id", "trusted_ids", "whitelist_hit", "sender_hits").collect())
+
+    def hits(rows):
+        host = F.get("headers.from", F.lit(0))
+        rows = rows.withColumn("from_domain", F.regexp_extract(host, "@([^>]*)", 1)).withColumn("sender_address", F.lower(host))
+        return L.with_sender_hits(L.with_whitelist_hit(rows, some_owners(spark).whitelist), some_owners(spark).sender_rules)
+    short = give()
+    assert any(r[2] for r in short) and {r[3] for r in short} == {None, "friend@partner.com"} and any(len(r[4]) == 3 for r in short)
+    for bound, value in (("OWNER_LIST_MAX", 0), ("SMALL_ROWS", 1), ("SMALL_TEXT", 10)):
+        with monkeypatch.context() as m:
+            m.setattr(L, bound, value)
+            assert give() == short, bound
+
+
+def test_settings_of_accounts_do_not_move_the_messages(spark, suffixes):
+    """Short lists are broadcast: messages are not dealt to tasks by account, address or host."""
+    box = mail(spark, *MAIL).withColumn("account_id", F.lit("a"))
+    scored = OW.assess_by_owner(box, some_owners(spark), suffixes).select("msg_id", "score")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan
