@@ -84,6 +84,42 @@ def test_rule_sets(spark, suffixes):
             bad()
 
 
+@pytest.mark.parametrize("busy", [100_000, 0])
+def test_ids_of_all_kinds_are_resolved_as_by_a_loop(spark, monkeypatch, busy):
+    """Shared, repeated and missing ids, entries that come twice, with and without busy ids."""
+    monkeypatch.setattr(H, "BUSY_ROWS", busy)
+    monkeypatch.setattr(H, "KEY_BUCKETS", 64)
+    pick = random.Random(5)
+    ids = ["<same@x>", "same@x", *[f"<{i}@x>" for i in range(40)], "", " <7@x> ", None]
+    log = [(pick.choice([i, 3, None]) if i % 9 == 0 else i, pick.choice(["a", "b", "c", None]), "<same@x>" if i % 2 else pick.choice(ids)) for i in range(300)]
+    box = [(pick.choice([1000 + i, None]) if i % 11 == 0 else 1000 + i, pick.choice(["same@x", "<same@x>", "<7@x>", *[f"{k}@x" for k in range(30)], None]), pick.choice(["a", "b", None])) for i in range(200)]
+    got = H.resolve_log(spark.createDataFrame(log, "msg_id long, account_id string, rfc_message_id string"),
+                        spark.createDataFrame([(*b, "f", "n", "t", False) for b in box], "msg_id long, header_message_id string, account_id string, folder_id string, folder_name string, folder_type string, junk boolean"), [])
+    of: dict = {}
+    for m, a, k in log:
+        t = (k or "").strip()
+        for v, key in enumerate(dict.fromkeys([t, t[1:-1]] if t.startswith("<") else [t]) if t else ()):
+            hits = [b for b in box if b[1] == key]
+            if not hits:
+                continue
+            own = [b for b in hits if b[2] == a and a is not None and b[0] is not None]
+            best = min((b for b in own or hits if b[0] is not None), default=None, key=lambda b: b[0])
+            of.setdefault(m, []).append(((0 if own else 1, v, best[0] if best else -1), best, len(hits)))
+    want = []
+    for m, a, k in log:
+        mine = of.get(m, []) if m is not None else []
+        found = [x for x in mine if x[1]]
+        want.append((str(m), str(a), str(k), min(found)[1][2] if found else None, sum(x[2] for x in mine) if mine else None, bool(found)))
+    assert sorted(want, key=str) == sorted(((str(r.msg_id), str(r.account_id), str(r.rfc_message_id), r.current_account_id, r.match_count, r.found) for r in got.collect()), key=str)
+
+
+def test_ids_that_are_not_busy_are_not_copied(spark):
+    log = spark.range(2000).selectExpr("id AS msg_id", "concat('a', id % 7) AS account_id", "concat('<', id, '@x>') AS rfc_message_id")
+    box = spark.range(2000).selectExpr("id AS msg_id", "concat(id, '@x') AS header_message_id", "concat('a', id % 5) AS account_id", "'f' AS folder_id", "'n' AS folder_name", "'t' AS folder_type", "false AS junk")
+    df = H.resolve_log(log, box, [])
+    assert "_salt" not in df._jdf.queryExecution().optimizedPlan().toString() and df.where("match_count = 1").count() == 2000
+
+
 @pytest.mark.parametrize("listed,small", [(1000, True), (0, True), (1000, False)])
 def test_compaction_ranks_only_owner_time_and_id(spark, tmp_path, monkeypatch, listed, small):
     """Rows that come twice, ties, and owners, times and ids that are null: as many rows of an owner stay as before, and the newest."""
